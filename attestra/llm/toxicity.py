@@ -1,7 +1,7 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax, both trained together in numpy.
 
 A word is the mean of the vectors of its character n-grams and of itself, each taken from a hashed table; a text is the mean of its
-words; a linear layer and a softmax give the probability of label 1. Since a word never seen shares n-grams with those seen, a
+words, each distinct one weighted by the square root of its count, so that no repeated word stands for the text; a linear layer and a softmax give the probability of label 1. Since a word never seen shares n-grams with those seen, a
 misspelling scores like what it imitates.
 
 Training takes TRAIN_ROWS labelled documents at most, those whose doc_id has the smallest hashes, by Adagrad over single documents;
@@ -25,13 +25,16 @@ from pyspark.sql import functions as F
 from attestra.llm import staging
 from attestra.llm.kernels import MULTIPLIER, U64, batches, lower_ascii, mask_spans, mix, pieces, ranges, rows_of, span_hashes, utf8
 
-TRAIN_ROWS = 6000
-#: A training text is cut into parts of so many words at most when features are gathered, to bound memory; all parts are used.
-GRAMS = (3, 4, 5, 6)
-BUCKET_BITS = 18
+TRAIN_ROWS = 16000
+GRAMS = (4, 5)
+BUCKET_BITS = 17
 DIMENSIONS = 8
-EPOCHS = 12
-RATE = 0.3
+EPOCHS = 6
+RATE = 1.0
+#: n-grams of fewer training documents keep a vector of zeros: they would only learn by heart.
+MIN_DOCS = 3
+#: One training document in so many is left out to set the layer's scale and bias.
+CALIBRATE = 5
 THRESHOLD = 0.7
 #: Letters of any script and apostrophes are bytes of words; digits and other ASCII are not.
 WORD = np.zeros(256, dtype=bool)
@@ -92,11 +95,19 @@ class ToxicityModel:
         if not len(texts):
             return cls(table * 0, layer, bias)
         bags = [_bag(t) for t in texts]
+        common = np.zeros(n, np.int64)
+        for idx, _ in bags:
+            common[idx] += 1
+        common = common >= MIN_DOCS
+        table[~common] = 0
+        bags = [(idx[keep], w[keep]) for idx, w in bags for keep in (common[idx],)]
+        apart = np.arange(len(bags)) % CALIBRATE == CALIBRATE - 1
+        learn = np.flatnonzero(~apart)
         seen = np.full(n, 1e-8, np.float32)
         seen_layer, seen_bias = np.full((d, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
         for epoch in range(EPOCHS):
             rate = RATE * (1 - epoch / EPOCHS)
-            for i in rng.permutation(len(bags)):
+            for i in rng.permutation(learn):
                 idx, w = bags[i]
                 rows = table[idx]
                 mean = w @ rows
@@ -114,7 +125,10 @@ class ToxicityModel:
                 if len(idx):
                     seen[idx] += w * w * float(back @ back) / d
                     table[idx] = rows - (rate * w / np.sqrt(seen[idx]))[:, None] * back
-        return cls(table, layer, bias)
+        odds = table.astype(np.float64) @ (layer[:, 1] - layer[:, 0])
+        z = np.array([w @ odds[idx] for idx, w in bags]) + float(bias[1] - bias[0])
+        slope, shift = _calibrated(z[apart], labels[apart]) if len(np.unique(labels[apart])) == 2 else (1.0, 0.0)
+        return cls(table, layer * np.float32(slope), np.array([0.0, slope * float(bias[1] - bias[0]) + shift], np.float32))
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The probability of label 1 for each text of a batch."""
@@ -125,20 +139,42 @@ class ToxicityModel:
             if len(row):
                 bucket, word = _subwords(words, sizes)
                 odds = np.bincount(word, self.odds[bucket], len(sizes)) / np.bincount(word, minlength=len(sizes))
-                out[i:j] = np.bincount(row, odds[place], j - i) / np.maximum(1, np.bincount(row, minlength=j - i))
+                at, of, weight = _weights(row, place, j - i, len(sizes))
+                out[i:j] = np.bincount(at, odds[of] * weight, j - i)
         return 1 / (1 + np.exp(-(out + float(self.bias[1] - self.bias[0]))))
 
 
+def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The slope, 0.2 to 20, and shift that make z the log-odds of y, by Newton's method with a small ridge."""
+    slope, shift = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -40, 40)))
+        v = p * (1 - p) + 1e-6
+        g = np.array([((p - y) * z).sum() + 1e-2 * (slope - 1), (p - y).sum()])
+        h = np.array([[(v * z * z).sum() + 1e-2, (v * z).sum()], [(v * z).sum(), v.sum()]])
+        step = np.linalg.solve(h + 1e-9 * np.eye(2), g)
+        slope, shift = float(np.clip(slope - step[0], 0.2, 20)), float(np.clip(shift - step[1], -20, 20))
+    return slope, shift
+
+
+def _weights(row: np.ndarray, place: np.ndarray, n_rows: int, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, weight) for each distinct word of each row; a row's weights sum to 1."""
+    pair, count = np.unique(row * n_words + place, return_counts=True)
+    at, word = pair // n_words, pair % n_words
+    root = np.sqrt(count)
+    return at, word, root / np.bincount(at, root, n_rows)[at]
+
+
 def _bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a text and their weights, which sum to 1."""
     data = np.frombuffer(text, np.uint8)
     row, place, words, sizes = _distinct_words(data, np.array([0, len(data)]))
     if not len(row):
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     bucket, word = _subwords(words, sizes)
-    share = np.bincount(place, minlength=len(sizes)) / len(row) / np.bincount(word, minlength=len(sizes))
+    share = _weights(row, place, 1, len(sizes))[2] / np.bincount(word, minlength=len(sizes))
     idx, at = np.unique(bucket, return_inverse=True)
-    return idx, np.bincount(at, share[word]).astype(np.float32)
+    return idx.astype(np.int32), np.bincount(at, share[word]).astype(np.float32)
 
 
 def held_out(doc_id: Column) -> Column:
