@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, decontaminate, fingerprints, jaccard_join, line_dedup, staging, toxicity, url_filter
+from attestra.llm import bpe, decontaminate, fingerprints, jaccard_join, line_dedup, staging, toxicity, url_filter, warc
 
 #: Fixed values of the url rules: host, path, verdict.
 URL_RULES = (
@@ -113,6 +113,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(_read(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    path = staging.new_path(spark, "warc")
+    warc.write_pages(pages, path)
+    return warc.read_pages(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -121,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": SQL_OP4,
