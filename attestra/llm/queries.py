@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, decontaminate, fingerprints, jaccard_join, line_dedup, staging, toxicity, url_filter, warc
+from attestra.llm import bpe, decontaminate, fingerprints, jaccard_join, line_dedup, staging, token_binary, toxicity, url_filter, warc
 
 #: Fixed values of the url rules: host, path, verdict.
 URL_RULES = (
@@ -83,6 +83,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.new_path(spark, "ids")
+    manifest = token_binary.write_ids(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_binary.digests(token_binary.read_ids(manifest, path))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find_contamination(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -125,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
+    "op5_token_binary": op5_token_binary,
     "op7_decontamination": op7_decontamination,
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
