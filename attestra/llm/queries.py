@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, decontaminate, fingerprints, jaccard_join, line_dedup, staging, token_binary, toxicity, url_filter, warc
+from attestra.llm import bpe, chat, decontaminate, fingerprints, jaccard_join, line_dedup, staging, token_binary, toxicity, url_filter, warc
 
 #: Fixed values of the url rules: host, path, verdict.
 URL_RULES = (
@@ -89,6 +89,11 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.digests(token_binary.read_ids(manifest, path))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.build_conversations(_read(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "position", "thread", "turn", "role", "reply_to", "n_quotes", "n_linked", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find_contamination(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -132,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_binary": op5_token_binary,
+    "op6_chat": op6_chat,
     "op7_decontamination": op7_decontamination,
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
