@@ -4,7 +4,7 @@ A word is the mean of the vectors of its character n-grams and of itself, each t
 words, each distinct one weighted by the square root of its count, so that no repeated word stands for the text; a linear layer and a softmax give the probability of label 1. Since a word never seen shares n-grams with those seen, a
 misspelling scores like what it imitates.
 
-Training takes TRAIN_ROWS labelled documents at most, those whose doc_id has the smallest hashes, by Adagrad over single documents;
+Training takes TRAIN_ROWS labelled documents of each label at most, those whose doc_id has the smallest hashes, by Adagrad over single documents;
 labels are used for it alone. Every text is scored whole. As the layer is linear, a word's part in the score is one number, so a task
 computes it once for each distinct word of a piece of its texts.
 
@@ -15,7 +15,7 @@ score is 0.5; further columns stay, but those named held_out, score or predicted
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from attestra.llm import staging
 from attestra.llm.kernels import MULTIPLIER, U64, batches, lower_ascii, mask_spans, mix, pieces, ranges, rows_of, span_hashes, utf8
 
-TRAIN_ROWS = 16000
+#: Of each label at most; the layer is set for the labels' shares among all labelled rows.
+TRAIN_ROWS = {1: 3000, 0: 5000}
 GRAMS = (4, 5)
 BUCKET_BITS = 17
 DIMENSIONS = 8
@@ -86,15 +87,16 @@ class ToxicityModel:
         self.odds = table.astype(np.float64) @ (layer[:, 1] - layer[:, 0])
 
     @classmethod
-    def train(cls, texts: list[bytes], labels: np.ndarray, seed: int = 7) -> ToxicityModel:
+    def train(cls, texts: Iterable[bytes], labels: np.ndarray, share: float | None = None, seed: int = 7) -> ToxicityModel:
+        """share: how often label 1 occurs, if other than in labels."""
         rng = np.random.default_rng(seed)
         n, d = 1 << BUCKET_BITS, DIMENSIONS
         table = rng.uniform(-1 / d, 1 / d, (n, d)).astype(np.float32) * 0.01
         layer = rng.normal(0, 1, (d, 2)).astype(np.float32)
         bias = np.zeros(2, np.float32)
-        if not len(texts):
+        bags = [_bag(t) for t in texts]  # one text at a time
+        if not bags:
             return cls(table * 0, layer, bias)
-        bags = [_bag(t) for t in texts]
         common = np.zeros(n, np.int64)
         for idx, _ in bags:
             common[idx] += 1
@@ -127,7 +129,9 @@ class ToxicityModel:
                     table[idx] = rows - (rate * w / np.sqrt(seen[idx]))[:, None] * back
         odds = table.astype(np.float64) @ (layer[:, 1] - layer[:, 0])
         z = np.array([w @ odds[idx] for idx, w in bags]) + float(bias[1] - bias[0])
-        slope, shift = _calibrated(z[apart], labels[apart]) if len(np.unique(labels[apart])) == 2 else (1.0, 0.0)
+        ones = labels.mean()
+        weigh = np.where(labels == 1, (ones if share is None else share) / max(ones, 1e-9), (1 - (ones if share is None else share)) / max(1 - ones, 1e-9))
+        slope, shift = _calibrated(z[apart], labels[apart], weigh[apart]) if len(np.unique(labels[apart])) == 2 else (1.0, 0.0)
         return cls(table, layer * np.float32(slope), np.array([0.0, slope * float(bias[1] - bias[0]) + shift], np.float32))
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -144,13 +148,13 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(out + float(self.bias[1] - self.bias[0]))))
 
 
-def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _calibrated(z: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> tuple[float, float]:
     """The slope, 0.2 to 20, and shift that make z the log-odds of y, by Newton's method with a small ridge."""
     slope, shift = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -40, 40)))
-        v = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * z).sum() + 1e-2 * (slope - 1), (p - y).sum()])
+        v = weigh * p * (1 - p) + 1e-6
+        g = np.array([(weigh * (p - y) * z).sum() + 1e-2 * (slope - 1), (weigh * (p - y)).sum()])
         h = np.array([[(v * z * z).sum() + 1e-2, (v * z).sum()], [(v * z).sum(), v.sum()]])
         step = np.linalg.solve(h + 1e-9 * np.eye(2), g)
         slope, shift = float(np.clip(slope - step[0], 0.2, 20)), float(np.clip(shift - step[1], -20, 20))
@@ -182,14 +186,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Train on rows labelled documents at most, none of them held out. labels: doc_id, toxic."""
-    known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def fit(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = TRAIN_ROWS) -> ToxicityModel:
+    """Train on rows[label] documents of each label at most, none of them held out. labels: doc_id, toxic."""
+    known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     there = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    count = {r.toxic: r.n for r in there.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    of = [there.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in rows.items()]
+    chosen = of[0].unionByName(of[1])
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(chosen), texts._id == chosen.doc_id).select("doc_id", "text", "toxic").orderBy("doc_id", "text").toArrow()  # rows at most
-    return ToxicityModel.train([(t or "").encode() for t in got["text"].to_pylist()], np.array(got["toxic"].to_pylist(), np.int64))
+    got = texts.join(F.broadcast(chosen), texts._id == chosen.doc_id).select("doc_id", "text", "toxic").orderBy("doc_id", "text").toArrow()  # of rows at most
+    share = count.get(1, 0) / max(1, sum(count.values()))
+    return ToxicityModel.train(((t.as_py() or "").encode() for t in got["text"]), got["toxic"].to_numpy().astype(np.int64), share)
 
 
 def _apply(held):
