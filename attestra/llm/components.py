@@ -9,7 +9,7 @@ from attestra.llm import staging
 
 #: A node with more than this share of all rows, and more than HEAVY_ROWS, gets its minimum by broadcast: at most 1 / HEAVY_SHARE nodes.
 HEAVY_SHARE = 0.005
-HEAVY_ROWS = 20_000
+HEAVY_ROWS = 1000
 
 
 def _with_min(df: DataFrame, rows: int) -> DataFrame:

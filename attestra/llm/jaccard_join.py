@@ -36,6 +36,11 @@ CHUNK = 1 << 14
 #: Most classes of a tile or bucket, and most shingles of a bucket, before it is cut.
 TILE = 3000
 BUCKET_SHINGLES = 4_000_000
+SAME_TILE = 64
+#: So many places of classes in buckets, of some 80 bytes, are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
+#: Bits of the bitmap of documents whose texts are sent: 4 MB at most, however many there are.
+WANTED_BITS = 1 << 24
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +57,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
 
 
 def bitmap_bits(n: int) -> int:
-    return max(64, 1 << int(max(1, n - 1)).bit_length() - 1)
+    """At least half of n, from 1024 on a quarter: enough for sets that share little to differ in more bits than linked ones may."""
+    return max(64, 1 << int(max(1, n - 1)).bit_length() - (1 if n <= 1024 else 2))
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
@@ -115,6 +121,14 @@ class _Group:
         return edges
 
 
+def _key(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def _half(key: bytes | None) -> int:
+    return int.from_bytes(key[:8], "little", signed=True) if key else 0
+
+
 def _count(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -154,7 +168,10 @@ def shingle_classes(docs: DataFrame, k: int) -> np.ndarray:
 
 def _postings(held, k: int, num: int, den: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each document (null token, key, n, doc_id, bitmap), and for each new set (token, key, n) of its first shingles."""
+        """For each document (null token, id, n, doc_id, key, bitmap), and for each new set (token, id, n) of its first shingles.
+
+        An id is half of a key. Sets that share it by chance only meet more often than they need to.
+        """
         classes, seen = held.value, set()
         for b in batches(it):
             data, offsets = utf8(b.column(1))
@@ -164,13 +181,14 @@ def _postings(held, k: int, num: int, den: int):
                 end = np.cumsum(n)
                 keys, maps, fresh = [], [], np.zeros(j - i, dtype=bool)
                 for r, (a, z) in enumerate(zip((end - n).tolist(), end.tolist(), strict=True)):
-                    key = hashlib.blake2b(h[a:z].tobytes(), digest_size=16).digest() if z > a else None
+                    key = _key(h[a:z]) if z > a else None
                     keys.append(key)
                     fresh[r] = key is not None and key not in seen
                     maps.append(bitmap(h[a:z]).tobytes() if fresh[r] else None)
                     if fresh[r]:
                         seen.add(key)
-                yield _rows(None, keys, n, ids[i:j], maps)
+                half = np.array([_half(x) for x in keys], np.int64)
+                yield _rows(None, half, n, ids[i:j], keys, maps)
                 keep = n - -(-num * n // den) + 1
                 keep[~fresh] = 0
                 row = np.repeat(np.arange(j - i), n)
@@ -180,13 +198,13 @@ def _postings(held, k: int, num: int, den: int):
                 token, of = h[order][take], row[take]
                 for lo in range(0, len(token), 50_000):
                     part = of[lo : lo + 50_000]
-                    yield _rows(token[lo : lo + 50_000].view(np.int64), [keys[x] for x in part], n[part], None, None)
+                    yield _rows(token[lo : lo + 50_000].view(np.int64), half[part], n[part], None, None, None)
 
     return run
 
 
-_POSTING = [("token", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("doc_id", pa.int64()), ("bitmap", pa.binary())]
-_POSTING_SQL = "token long, key binary, n int, doc_id long, bitmap binary"
+_POSTING = [("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()), ("key", pa.binary()), ("bitmap", pa.binary())]
+_POSTING_SQL = "token long, id long, n int, doc_id long, key binary, bitmap binary"
 
 
 def _rows(*cols) -> pa.RecordBatch:
@@ -194,8 +212,16 @@ def _rows(*cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else pa.array(c, t) for c, (_, t) in zip(cols, _POSTING, strict=True)], [n for n, _ in _POSTING])
 
 
-def _shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, key), without those of tokens that only one key has and without repeats; documents' rows pass."""
+def _shared(num: int, den: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _with_company(it, num, den)
+
+    return run
+
+
+def _with_company(it: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (token, n, id), without repeats and without those that share their token with no set of a size near theirs;
+    documents' rows pass."""
     held = None
     for b in batches(it):
         docs = b.filter(b.column(0).is_null())
@@ -210,43 +236,61 @@ def _shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = b.column(0).to_numpy()
         last = int(np.flatnonzero(token == token[-1])[0])
         held = _unique(b.slice(last))
-        out = _of_two(_unique(b.slice(0, last)))
+        out = _of_two(_unique(b.slice(0, last)), num, den)
         if out.num_rows:
             yield out
-    if held is not None and (out := _of_two(held)).num_rows:
+    if held is not None and (out := _of_two(held, num, den)).num_rows:
         yield out
 
 
 def _unique(b: pa.RecordBatch) -> pa.RecordBatch:
     if b.num_rows < 2:
         return b
-    token, key = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), object)
+    token, own = b.column(0).to_numpy(), b.column(1).to_numpy()
     new = np.ones(len(token), dtype=bool)
-    new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+    new[1:] = (token[1:] != token[:-1]) | (own[1:] != own[:-1])
     return b.filter(pa.array(new))
 
 
-def _of_two(b: pa.RecordBatch) -> pa.RecordBatch:
+def _of_two(b: pa.RecordBatch, num: int, den: int) -> pa.RecordBatch:
     if not b.num_rows:
         return b
-    token = b.column(0).to_numpy()
+    token, n = b.column(0).to_numpy(), b.column(2).to_numpy().astype(np.int64)
     same = np.zeros(len(token) + 1, dtype=bool)
-    same[1:-1] = token[1:] == token[:-1]
-    return b.filter(pa.array(same[1:] | same[:-1]))
-
-
-def _cut_large(df: DataFrame, group: str, num: int, den: int, weight: bool = False) -> DataFrame:
-    """df (group, key, n, ...) with band and part: a group that is too large comes as several tiles, in which all its pairs meet."""
+    # sizes are in order: whoever has a partner of a size that can link has one beside it
+    same[1:-1] = (token[1:] == token[:-1]) & (den * n[:-1] >= num * n[1:])
+    chain = np.cumsum(~same[:-1])[same[1:] | same[:-1]]
+    b = b.filter(pa.array(same[1:] | same[:-1]))
+    if not b.num_rows:
+        return b
+    # copies share most of their shingles: small tiles of the same classes get the same name, and one of them is enough
+    token = b.column(0).to_numpy().copy()
+    start = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]])
+    size = np.diff(np.r_[start, len(token)])
+    held = mix(b.column(1).to_numpy().view(U64))
+    name = mix(np.add.reduceat(held, start) + size.astype(U64)).view(np.int64)
+    small = np.repeat(size <= SAME_TILE, size)
+    token[small] = np.repeat(name, size)[small]
+    return pa.RecordBatch.from_arrays([pa.array(token), *b.columns[1:]], b.schema.names)
+
+
+def _cut_large(df: DataFrame, group: str, num: int, den: int, salt: str, weight: bool = False) -> DataFrame:
+    """df (group, salt, n, ...) with band and part: a group that is too large comes as several tiles, in which all its pairs meet.
+
+    First by size: each member goes to the band of its size and to the next. A band that is still too large is cut by a hash of salt.
+    """
     parts = F.ceil(F.count("*") / TILE)
     if weight:
         parts = F.greatest(parts, F.ceil(F.sum("n") / BUCKET_SHINGLES))
-    large = df.groupBy(group).agg(parts.cast("int").alias("_k")).where("_k > 1").hint("rebalance")
+    parts = parts.cast("int").alias("_k")
+    large = df.groupBy(group).agg(parts).where("_k > 1").select(group, F.lit(True).alias("_large")).hint("rebalance")
     # bands a little wider than the ratio: rounding never puts a pair that can link two bands apart
     band = F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(den / num)) * 1.0001)).cast("int")
-    met = df.join(large, group, "left").withColumn("_b", band).withColumn("_s", F.expr("cast(pmod(xxhash64(key), coalesce(_k, 1)) as int)"))
-    tiles = F.expr("""case when _k is null then array(struct(0 as band, 0 as part))
-        else flatten(transform(array(_b, _b + 1), t -> transform(sequence(0, _k - 1), j -> struct(t as band, least(_s, j) * _k + greatest(_s, j) as part)))) end""")
-    return met.withColumn("_t", F.explode(tiles)).select(*df.columns, "_t.band", "_t.part")
+    banded = df.join(large, group, "left").withColumn("band", F.explode(F.when(F.col("_large"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))))
+    again = banded.where("_large").groupBy(group, "band").agg(parts).where("_k > 1").hint("rebalance")
+    cut = banded.join(again, [group, "band"], "left").withColumn("_s", F.expr(f"cast(pmod(xxhash64({salt}), coalesce(_k, 1)) as int)"))
+    tiles = F.expr("case when _k is null then array(0) else transform(sequence(0, _k - 1), j -> least(_s, j) * _k + greatest(_s, j)) end")
+    return cut.withColumn("part", F.explode(tiles)).select(*df.columns, "band", "part")
 
 
 def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,14 +324,14 @@ def _bounds(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return start, np.r_[start[1:], b.num_rows]
 
 
-def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+def _edges(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     pairs = sorted(set(pairs))
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], kind), pa.array([y for _, y in pairs], kind)], ["a", "b"])
 
 
 def _tiles(num: int, den: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (token, band, part, key, n, bitmap) by tile: edges that span what may link."""
+        """Rows (token, band, part, id, n, bitmap) by tile: edges that span what may link."""
         for b in _groups(it):
             keys, n = b.column(3).to_pylist(), b.column(4).to_numpy().astype(np.int64)
             maps = [np.frombuffer(m, U64) for m in b.column(5).to_pylist()]
@@ -306,7 +350,7 @@ def _tiles(num: int, den: int):
                 g = _Group(n[a:z], maps[a:z], num, den)
                 pairs += [(keys[a + x], keys[a + y]) for x, y in g.spanning(g.possible)]
             if pairs:
-                yield _edges(pairs)
+                yield _edges(pairs, pa.int64())
 
     return run
 
@@ -322,11 +366,14 @@ def _buckets(k: int, num: int, den: int):
                 h, n = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 sets += np.split(h, np.cumsum(n)[:-1])
             pairs = []
+            # rows that share a doc_id may come with each other's texts
+            right = np.array([_key(h) == k for h, k in zip(sets, keys, strict=True)])
             for a, z in zip(*_bounds(b), strict=True):
-                if z - a > 1:
-                    pairs += [(keys[a + x], keys[a + y]) for x, y in _linked(sets[a:z], num, den)]
+                own = a + np.flatnonzero(right[a:z])
+                if len(own) > 1:
+                    pairs += [(keys[own[x]], keys[own[y]]) for x, y in _linked([sets[i] for i in own], num, den)]
             if pairs:
-                yield _edges(pairs)
+                yield _edges(pairs, pa.binary())
 
     return run
 
@@ -356,20 +403,23 @@ def link(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> Da
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     held = spark.sparkContext.broadcast(shingle_classes(docs, shingle))
     rows = docs.mapInArrow(_postings(held, shingle, num, den), _POSTING_SQL)
-    dealt = rows.withColumn("deal", F.coalesce("token", F.xxhash64("doc_id"))).repartition("deal").sortWithinPartitions("token", "key").drop("deal")
-    both = staging.staged(dealt.mapInArrow(_shared, _POSTING_SQL), "jaccard")
-    vertices = both.where("token is null").select("doc_id", "n", "key", "bitmap")
-    classes = vertices.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap"))
-    postings = both.where("token is not null").select("token", "key", "n")
-    tiles = _cut_large(postings.join(classes.select("key", "bitmap"), "key"), "token", num, den)
-    tiles = tiles.select("token", "band", "part", "key", "n", "bitmap").repartition("token", "band", "part").sortWithinPartitions("token", "band", "part")
-    maybe = components(tiles.mapInArrow(_tiles(num, den), "a binary, b binary"))
-    members = maybe.join(classes.select("key", "first", "n"), maybe.node == F.col("key")).select("root", "key", "first", "n")
-    members = staging.staged(members, "members")
-    cut = _cut_large(members.select(F.col("root"), "key", "n", "first"), "root", num, den, weight=True)
-    # the texts of the classes, once each; a doc_id with several texts is told apart by the key of its set
-    texts = docs.join(members.select(F.col("first").alias("_first")).distinct(), F.col("doc_id") == F.col("_first"), "left_semi").select(F.col("doc_id").alias("first"), "text").dropDuplicates(["first", "text"])
-    sent = cut.join(texts, "first").select("root", "band", "part", "key", "text").repartition("root", "band", "part").sortWithinPartitions("root", "band", "part")
+    dealt = rows.withColumn("deal", F.coalesce("token", F.xxhash64("doc_id"))).repartition("deal").sortWithinPartitions("token", "n", "id").drop("deal")
+    both = staging.staged(dealt.mapInArrow(_shared(num, den), _POSTING_SQL), "jaccard")
+    vertices = both.where("token is null").select("doc_id", "n", "key", "id", "bitmap")
+    classes = vertices.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("id").alias("id"), F.max("bitmap").alias("bitmap"))
+    postings = both.where("token is not null").select("token", "id", "n").dropDuplicates(["token", "id"])
+    tiles = _cut_large(postings, "token", num, den, "id").join(classes.select("id", "bitmap"), "id")
+    tiles = tiles.select("token", "band", "part", "id", "n", "bitmap").repartition("token", "band", "part").sortWithinPartitions("token", "band", "part")
+    maybe = components(tiles.mapInArrow(_tiles(num, den), "a long, b long"))
+    members = staging.staged(maybe.join(classes.select("id", "key", "first", "n"), maybe.node == F.col("id")).select("root", "key", "first", "n"), "members")
+    cut = staging.staged(_cut_large(members, "root", num, den, "key", weight=True).select("root", "band", "part", "key", "first"), "buckets")
+    if cut.count() <= BROADCAST_ROWS:
+        cut = F.broadcast(cut)
+    # only texts that a bitmap of fixed size may hold are shuffled; the join drops those that it lets pass in vain
+    place = lambda c: F.expr(f"pmod(xxhash64({c}), {WANTED_BITS}L)")
+    wanted = members.select(place("first").alias("p")).groupBy(F.expr("p div 64").alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    texts = docs.withColumn("p", place("doc_id")).join(F.broadcast(wanted), F.expr("p div 64") == wanted.block).where("shiftrightunsigned(bits, cast(p % 64 as int)) & 1L = 1L").select(F.col("doc_id").alias("first"), "text")
+    sent = texts.join(cut, "first").select("root", "band", "part", "key", "text").repartition("root", "band", "part").sortWithinPartitions("root", "band", "part")
     found = components(sent.mapInArrow(_buckets(shingle, num, den), "a binary, b binary"))
     named = classes.select("key", "first").join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
