@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding by a shuffle of distinct words.
 
 Texts are split into pre-tokens. A block, the texts of up to BLOCK_BYTES that a task reads one after the other, gives each of its
-distinct words once, and for each text the places of its words among them. The words of all blocks are shuffled by word, so that each
-distinct word of the corpus meets the merges once; its ids go back to the blocks that hold it, where the texts are put together by
-position. Decoding joins ids to the table of token bytes, whose size is the vocabulary's, so that it is broadcast.
+distinct words once, and for each text the places of its words among them. The words of all blocks are shuffled by a hash of the word,
+so that each distinct word of the corpus meets the merges once; its ids go back to the blocks that hold it, where the texts are put
+together by position. A row carries those of a block's words that go the same way, packed, since one row for each word would shuffle
+more than the texts. Decoding joins ids to the table of token bytes, whose size is the vocabulary's, so that it is broadcast.
 
-A hot word costs one row for each block. Blocks are named by a digest of their texts: should a rerun deal the rows otherwise, a
+A hot word is sent once for each block. Blocks are named by a digest of their texts: should a rerun deal the rows otherwise, a
 block misses its words and the job fails instead of giving wrong ids.
 
 Defined cases: null and empty texts have no ids and decode to nothing; texts of any length are encoded whole; repeated rows and ids
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,10 @@ from attestra.llm import staging
 from attestra.llm.kernels import U64, batches, pieces, ranges, span_hashes, utf8
 from attestra.llm.pretokens import code_points, split_with_spaces
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
+#: Words are dealt by hash into so many buckets for each shuffle partition, up to MAX_BUCKETS.
+BUCKETS = 4
+MAX_BUCKETS = 4096
 _loaded: dict[str, object] = {}
 
 
@@ -79,22 +84,34 @@ class _Block:
         self.places.append(place.astype(np.int32))
         self.bytes += len(data)
 
-    def finish(self) -> tuple[int, pa.Array, list[np.ndarray]]:
-        """(name, distinct words by falling count, each text's places)."""
-        piece = np.concatenate([[len(k)] for k in self.keys]).astype(np.int64)
+    def finish(self, buckets: int) -> tuple[int, list[tuple[int, bytes]], np.ndarray, list[np.ndarray]]:
+        """(name, packed words of each bucket, each word's place among them all by falling count, each text's places)."""
+        piece = np.array([len(k) for k in self.keys], np.int64)
         keys, pick, place = np.unique(np.concatenate(self.keys), return_index=True, return_inverse=True)
         base = np.r_[0, np.cumsum(piece)]
+        place = place.astype(np.int32)
         flat = np.concatenate([place[b : b + n][p] for b, n, p in zip(base[:-1], piece, self.places, strict=True)])
         order = np.argsort(-np.bincount(flat, minlength=len(keys)), kind="stable")
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
+        rank = np.empty(len(keys), np.int32)
+        rank[order] = np.arange(len(keys), dtype=np.int32)
         sizes, words = np.concatenate(self.sizes), np.concatenate(self.words)
         first = np.cumsum(sizes) - sizes
-        pick = pick[order]
-        held = words[ranges(first[pick], sizes[pick])].tobytes()
-        offs = np.r_[0, np.cumsum(sizes[pick])].astype(np.int64)
-        arr = pa.Array.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer(offs), pa.py_buffer(held)]).cast(pa.binary())
-        return int.from_bytes(self.name.digest(), "big"), arr, np.split(rank[flat], np.cumsum(np.concatenate(self.counts))[:-1])
+        of = (keys % U64(buckets)).astype(np.int64)
+        dealt = np.argsort(of, kind="stable")
+        bounds = np.searchsorted(of[dealt], np.arange(buckets + 1))
+        packed = []
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            own = pick[dealt[bounds[b] : bounds[b + 1]]]
+            packed.append((b, _squeeze(np.array([len(own)], "<i4").tobytes() + sizes[own].astype("<i4").tobytes() + words[ranges(first[own], sizes[own])].tobytes())))
+        return int.from_bytes(self.name.digest(), "big"), packed, rank[dealt], np.split(rank[flat], np.cumsum(np.concatenate(self.counts))[:-1])
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _open(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
 
 
 def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
@@ -132,64 +149,93 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.add.reduceat((b & 127).astype(np.int64) << (7 * part), first)
 
 
-def _emit_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in _blocks(it):
-        name, words, _ = block.finish()
-        for i in range(0, len(words), 50_000):
-            part = words.slice(i, 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), part], ["block", "place", "word"])
+def _emit_words(buckets: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(it):
+            name, packed, _, _ = block.finish(buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(packed), pa.int64()), pa.array([b for b, _ in packed], pa.int32()), pa.array([w for _, w in packed], pa.binary())], ["block", "bucket", "words"])
+
+    return run
+
 
+def _emit_texts(buckets: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's texts, after a row without a text that has the places of its words, bucket by bucket."""
+        for block in _blocks(it):
+            name, _, dealt, places = block.finish(buckets)
+            ids, packed, kind = [None, *block.ids], [_squeeze(dealt.astype("<i4").tobytes()), *map(_pack, places)], [0, *[1] * len(places)]
+            for i in range(0, len(packed), 2000):
+                n = len(packed[i : i + 2000])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array(kind[i : i + 2000], pa.int32()), pa.array(ids[i : i + 2000], pa.int64()), pa.array(packed[i : i + 2000], pa.binary())], ["block", "kind", "doc_id", "places"])
 
-def _emit_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in _blocks(it):
-        name, _, places = block.finish()
-        packed = [_pack(p) for p in places]
-        for i in range(0, len(packed), 2000):
-            part = packed[i : i + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(block.ids[i : i + 2000], pa.int64()), pa.array(part, pa.binary())], ["block", "doc_id", "places"])
+    return run
 
 
 def _encode_words(path: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by word: each distinct one is encoded at its first row."""
-        enc, word, ids = _encoder(path), None, b""
+        """Rows come sorted by bucket; within one, each distinct word is encoded once."""
+        enc, bucket, known = _encoder(path), None, {}
         for b in batches(it):
             out = []
-            for w in b.column(2).to_pylist():
-                if w != word:
-                    word, ids = w, np.array(enc._encode_single_piece(w), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["block", "place", "ids"])
+            for own, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if own != bucket:
+                    bucket, known = own, {}
+                raw = _open(raw)
+                n = int(np.frombuffer(raw[:4], "<i4")[0])
+                cut = np.cumsum(np.frombuffer(raw, "<i4", n, 4)).tolist()
+                at, ids = 4 + 4 * n, []
+                for x, y in zip([0, *cut], cut):  # noqa: B905
+                    word = raw[at + x : at + y]
+                    got = known.get(word)
+                    if got is None:
+                        known[word] = got = enc._encode_single_piece(word)
+                    ids.append(got)
+                counts = np.array([len(i) for i in ids], "<i4")
+                out.append(_squeeze(counts.tobytes() + np.array([i for own_ids in ids for i in own_ids], "<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary()), pa.array([_count_words(r) for r in b.column(2).to_pylist()], pa.int32())], ["block", "bucket", "ids", "n_words"])
 
     return run
 
 
+def _count_words(packed: bytes) -> int:
+    return int(np.frombuffer(_open(packed)[:4], "<i4")[0])
+
+
 def _assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-    order = np.argsort(words["place"].to_numpy(), kind="stable")
-    raw = words["ids"].combine_chunks()
-    offs = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int32)
-    flat = np.frombuffer(raw.buffers()[2], "<u4") if len(raw) and raw.buffers()[2] is not None and raw.buffers()[2].size else np.zeros(0, "<u4")
-    start, count = (offs[:-1].astype(np.int64) // 4)[order], (np.diff(offs).astype(np.int64) // 4)[order]
+    by = words.sort_by("bucket")
+    counts, flats = [], []
+    for raw, n in zip(by["ids"].to_pylist(), by["n_words"].to_pylist(), strict=True):
+        raw = _open(raw)
+        counts.append(np.frombuffer(raw, "<i4", n))
+        flats.append(np.frombuffer(raw, "<u4", offset=4 * n))
+    count = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
+    flat = np.concatenate(flats) if flats else np.zeros(0, "<u4")
+    head = texts.filter(pa.compute.equal(texts["kind"], 0))["places"].to_pylist()
+    dealt = np.frombuffer(_open(head[0]), "<i4") if head else np.zeros(0, "<i4")
+    if len(dealt) != len(count):
+        raise RuntimeError("a block's words are missing: its rows were dealt otherwise in a rerun")
+    start, size = np.empty(len(count), np.int64), np.empty(len(count), np.int64)
+    start[dealt], size[dealt] = np.cumsum(count) - count, count
+    texts = texts.filter(pa.compute.equal(texts["kind"], 1))
     ids, sizes = [], []
     for packed in texts["places"].to_pylist():
         p = _unpack(packed)
-        if len(p) and p.max() >= len(order):
-            raise RuntimeError("a block's words are missing: its rows were dealt otherwise in a rerun")
-        own = flat[ranges(start[p], count[p])]
+        own = flat[ranges(start[p], size[p])]
         ids.append(own)
         sizes.append(len(own))
     values = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
-    return pa.table({"doc_id": texts["doc_id"], "ids": lists})
+    return pa.table({"doc_id": texts["doc_id"].combine_chunks(), "ids": lists})
 
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, ids) of each row. docs must give its rows in the same order when it is read again, as a table does."""
     staging.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    words = docs.mapInArrow(_emit_words, "block long, place int, word binary")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(ranks_path), "block long, place int, ids binary")
-    texts = docs.mapInArrow(_emit_texts, "block long, doc_id long, places binary")
+    buckets = min(MAX_BUCKETS, BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    words = docs.mapInArrow(_emit_words(buckets), "block long, bucket int, words binary")
+    ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks_path), "block long, bucket int, ids binary, n_words int")
+    texts = docs.mapInArrow(_emit_texts(buckets), "block long, kind int, doc_id long, places binary")
     return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
