@@ -2,8 +2,8 @@
 
 Encoding: texts are lower-cased and split with numpy, as the tokenizer's own normalizer and pattern do, and each distinct word meets
 the tokenizers library once for a piece of texts; a text with a character whose normalisation depends on its neighbours, or with a
-special token, goes to the library whole. A first job counts the ids, from which the driver makes the code (its size is the
-vocabulary's). A second deals documents in ranges of doc_id, and each task writes one file.
+special token, goes to the library whole. The ids are staged; a first job counts them, from which the driver makes the code (its size
+is the vocabulary's). A second deals documents in ranges of doc_id, and each task writes one file.
 
 File: MAGIC, the code lengths, then blocks, each with its documents' ids, their token counts, the bit offset of every CHECK_EVERY-th
 token, and the bits. Each block is decoded by itself, all its checkpoints at once, by a table of the next 16 bits.
@@ -137,19 +137,16 @@ def _ids_of(b: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[list, l
         yield ids[i:j], [np.append(x, np.uint32(end_id)) for x in tokenize(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _words(path))]
 
 
-def _count(path: str, end_id: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for b in batches(it):
-            for _, ids in _ids_of(b, path, end_id):
-                c = np.bincount(np.concatenate(ids))
-                if len(c) > len(total):
-                    total, c = c, total
-                total[: len(c)] += c
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
-
-    return run
+def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
+    for b in batches(it):
+        for raw in b.column(0).to_pylist():
+            c = np.bincount(np.frombuffer(zlib.decompress(raw), "<u4"))
+            if len(c) > len(total):
+                total, c = c, total
+            total[: len(c)] += c
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -284,14 +281,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2)
     spark = docs.sparkSession
     staging.prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counts = docs.mapInArrow(_count(tokenizer_path, end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many as the vocabulary has
+    coded = staging.staged(docs.mapInArrow(_encode(tokenizer_path, end_id), "doc_id long, ids binary"), "ids", "none")
+    counts = coded.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many as the vocabulary has
     total = np.zeros(1 + max((r.id for r in counts), default=0), np.int64)
     for r in counts:
         total[r.id] = r.n
     held = spark.sparkContext.broadcast(Code(code_lengths(total)))
-    coded = docs.mapInArrow(_encode(tokenizer_path, end_id), "doc_id long, ids binary")
     dealt = coded.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     files = staging.staged(dealt.mapInArrow(_write(held, path), "file string, first_doc long, n_ids long"), "id-files")
+    staging.discard(coded)
     # one row for each file
     order = Window.orderBy(F.col("first_doc").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     return staging.staged(files.withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0))), "id-manifest")
