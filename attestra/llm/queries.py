@@ -127,7 +127,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
     path = staging.new_path(spark, "warc")
-    warc.write_pages(pages, path)
+    warc.write_pages(pages, path, compression="gzip")
     return warc.read_pages(spark, path)
 
 

@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is run from a checkout."""
-    env = spark.sparkContext.environment
-    path = env.get("PYTHONPATH", "")
-    if _ROOT not in path.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(p for p in (_ROOT, path) if p)
+from attestra.session import prepare as prepare
 
 
 def shared_dir(spark: SparkSession) -> str:
