@@ -38,10 +38,12 @@ def components(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(node, hops): what seeds (node) reach within hops undirected edges (a, b), at the least number of them."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = seeds.select("node").distinct().withColumn("hops", F.lit(0))
+    both = checkpointed(both)
+    seen = checkpointed(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
     front = seen
     for k in range(1, hops + 1):
         front = front.select("node").join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(k))
+        front = checkpointed(front)
         seen = seen.unionByName(front)
     return seen
 
@@ -72,7 +74,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 4) -> DataFra
         step = step.select("src", "dst", F.col("y").alias("at"), F.concat("nodes", F.array("y")).alias("nodes"), F.concat("edges", F.array("id")).alias("edges"), F.concat("key", F.array(F.concat_ws("\x1f", "type", "id"))).alias("key"))
         # one path to each node is enough, the first
         first = Window.partitionBy("src", "dst", "at").orderBy("key")
-        step = step.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+        step = checkpointed(step.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r"))
         hit = step.where("at = dst").select("src", "dst", F.lit(k).alias("hops"), "nodes", "edges")
         found = hit if found is None else found.unionByName(hit.join(found, ["src", "dst"], "left_anti"))
         front = step.where("at <> dst")
