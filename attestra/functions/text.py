@@ -85,6 +85,10 @@ def name_similarity(a: Column, b: Column) -> Column:
     return jaro_winkler(token_form(a), token_form(b))
 
 
+def _same_as(term: str):
+    return lambda x: x == term
+
+
 def bm25(docs: DataFrame, query: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(id, score) of docs (id, tokens) for the query's terms, which are few: one pass for statistics, one to score."""
     n = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg"), *[F.count(F.when(F.array_contains("tokens", t), 1)).alias(f"d{i}") for i, t in enumerate(query)]).first()
@@ -92,7 +96,7 @@ def bm25(docs: DataFrame, query: list[str], k1: float = 1.5, b: float = 0.75) ->
     for i, t in enumerate(query):
         df = n[f"d{i}"]
         idf = F.log(F.lit((n.n - df + 0.5) / (df + 0.5) + 1.0))
-        tf = F.size(F.filter("tokens", lambda x, t=t: x == t)).cast("double")
+        tf = F.size(F.array_remove(F.transform("tokens", _same_as(t)), False)).cast("double")
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("tokens") / F.lit(n.avg or 1.0)))
     return docs.select("id", score.alias("score")).where("score > 0")
 

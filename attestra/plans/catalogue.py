@@ -513,7 +513,7 @@ def normalize_name(spark, d):
     return star.table(spark, d, "documents").where("text is not null").select("doc_id", text.normalise_name(F.col("text")).alias("name"))
 
 
-@register("SELECT p_partkey, array_to_string(list_sort(list_filter(string_split(p_name, ' '), x -> x <> '')), ' ') AS form, array_to_string(list_transform(list_filter(string_split(p_name, ' '), x -> x <> ''), x -> left(x, 1)), '') AS initials FROM part", base=False)
+@register("SELECT p_partkey, array_to_string(list_sort(list_filter(string_split(p_name, ' '), lambda x: x <> '')), ' ') AS form, array_to_string(list_transform(list_filter(string_split(p_name, ' '), lambda x: x <> ''), lambda x: left(x, 1)), '') AS initials FROM part", base=False)
 def name_tokens(spark, d):
     return star.table(spark, d, "part").select("p_partkey", text.token_form(F.col("p_name")).alias("form"), text.acronym(F.col("p_name")).alias("initials"))
 
@@ -559,7 +559,7 @@ def containment_pairs(spark, d):
     return resolve.containment_pairs(_contacts(spark, d))
 
 
-@register(f"WITH {_CONTACTS} SELECT DISTINCT a.name AS short, b.name AS long FROM names a JOIN names b ON len(string_split(b.name, ' ')) >= 2 AND a.name = array_to_string(list_transform(string_split(b.name, ' '), x -> left(x, 1)), '')", base=False)
+@register(f"WITH {_CONTACTS} SELECT DISTINCT a.name AS short, b.name AS long FROM names a JOIN names b ON len(string_split(b.name, ' ')) >= 2 AND a.name = array_to_string(list_transform(string_split(b.name, ' '), lambda x: left(x, 1)), '')", base=False)
 def acronym_pairs(spark, d):
     return resolve.acronym_pairs(_contacts(spark, d))
 
@@ -659,7 +659,7 @@ def dms_and_quantity_parse(spark, d):
     return star.table(spark, d, "supplier").select("s_suppkey", F.round(geo.parse_dms(dms), 6).alias("lat"), geo.parse_quantity(q).alias("q")).select("s_suppkey", "lat", "q.low", "q.high", "q.approx")
 
 
-_SIGNS = "signs AS (SELECT vec_id, label, list_sum(list_transform(range(1, 33), i -> CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT AS a, list_sum(list_transform(range(33, 65), i -> CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 33)) ELSE 0 END))::BIGINT AS b FROM embeddings)"
+_SIGNS = "signs AS (SELECT vec_id, label, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT AS a, list_sum(list_transform(range(33, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 33)) ELSE 0 END))::BIGINT AS b FROM embeddings)"
 
 
 @register(f"WITH {_SIGNS} SELECT x.vec_id AS a, y.vec_id AS b, (bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)))::INTEGER AS distance FROM signs x JOIN signs y ON x.label = y.label AND x.vec_id < y.vec_id WHERE bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 12 AND (x.a & 255 = y.a & 255)", base=False)
@@ -673,12 +673,12 @@ def hamming_pairs(spark, d):
 # -- documents
 
 
-@register("SELECT doc_id, i AS line, p AS start, p + length(l) AS \"end\" FROM (SELECT doc_id, i, ls[i] AS l, coalesce(list_sum(list_transform(ls[1:i - 1], x -> length(x) + 1)), 0)::INTEGER AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), range(1, len(ls) + 1) AS r(i)) WHERE trim(l) <> ''", base=False)
+@register("SELECT doc_id, i AS line, p AS start, p + length(l) AS \"end\" FROM (SELECT doc_id, i, ls[i] AS l, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0)::INTEGER AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), range(1, len(ls) + 1) AS r(i)) WHERE trim(l) <> ''", base=False)
 def line_offsets(spark, d):
     return ingest.line_regions(star.table(spark, d, "documents").where("text is not null")).select("doc_id", F.col("line").cast("long").alias("line"), "start", "end")
 
 
-@register("SELECT doc_id, i AS line FROM (SELECT doc_id, n_chars, i, ls[i] AS l, coalesce(list_sum(list_transform(ls[1:i - 1], x -> length(x) + 1)), 0) AS p FROM (SELECT doc_id, length(text) AS n_chars, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), range(1, len(ls) + 1) AS r(i)) WHERE trim(l) <> '' AND p < n_chars // 2 + 50 AND n_chars // 2 < p + length(l)", base=False)
+@register("SELECT doc_id, i AS line FROM (SELECT doc_id, n_chars, i, ls[i] AS l, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS p FROM (SELECT doc_id, length(text) AS n_chars, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), range(1, len(ls) + 1) AS r(i)) WHERE trim(l) <> '' AND p < n_chars // 2 + 50 AND n_chars // 2 < p + length(l)", base=False)
 def span_overlap_join(spark, d):
     docs = star.table(spark, d, "documents").where("text is not null")
     spans = docs.select("doc_id", F.lit(0).alias("span"), F.floor(F.length("text") / 2).cast("int").alias("start")).withColumn("end", F.col("start") + 50)
