@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,3 +167,24 @@ def type_sets(mentions: DataFrame) -> DataFrame:
 
 def top_in_group(df: DataFrame, group: list[str], order: list[Column], n: int = 1) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def sign_pairs(signs: DataFrame, within: int = 12, bands: int = 7) -> DataFrame:
+    """(a, b, distance): all pairs a < b of (vec_id, signs long) whose 64 bits differ in at most within places.
+
+    So few differences over so many bands leave a band with at most within // bands of them; one side's bands are looked up as they are,
+    the other's with each such change, and every candidate is compared in full. Equal signs are met once, then stand for all their ids.
+    """
+    width, few = 64 // bands, within // bands
+    at = [(k, k * width, width if k < bands - 1 else 64 - k * width) for k in range(bands)]
+    flips = lambda n: [sum(1 << i for i in c) for r in range(few + 1) for c in itertools.combinations(range(n), r)]
+    band = lambda lo, n: F.shiftrightunsigned("signs", lo).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+    key = lambda k, value: F.struct(F.lit(k).alias("band"), value.alias("value"))
+    one = signs.select("signs").distinct()
+    held = one.select(F.explode(F.array(*[key(k, band(lo, n)) for k, lo, n in at])).alias("k"), F.col("signs").alias("q")).select("k.*", "q")
+    asked = one.select(F.explode(F.array(*[key(k, band(lo, n).bitwiseXOR(F.lit(x))) for k, lo, n in at for x in flips(n)])).alias("k"), F.col("signs").alias("p")).select("k.*", "p")
+    distance = F.bit_count(F.col("p").bitwiseXOR(F.col("q"))).alias("distance")
+    near = asked.join(held, ["band", "value"]).where("p < q").select("p", "q", distance).where(F.col("distance") <= within).distinct()
+    near = near.unionByName(one.select(F.col("signs").alias("p"), F.col("signs").alias("q"), F.lit(0).alias("distance")))
+    met = near.join(signs.select(F.col("signs").alias("p"), F.col("vec_id").alias("i")), "p").join(signs.select(F.col("signs").alias("q"), F.col("vec_id").alias("j")), "q")
+    return met.where("i < j or (p < q and i > j)").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")

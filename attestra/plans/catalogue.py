@@ -665,9 +665,8 @@ _SIGNS = "signs AS (SELECT vec_id, label, list_sum(list_transform(range(1, 33),
 @register(f"WITH {_SIGNS} SELECT x.vec_id AS a, y.vec_id AS b, (bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)))::INTEGER AS distance FROM signs x JOIN signs y ON x.label = y.label AND x.vec_id < y.vec_id WHERE bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 12 AND (x.a & 255 = y.a & 255)", base=False)
 def hamming_pairs(spark, d):
     half = lambda lo: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda acc, i: acc + F.when(F.element_at("embedding", i + lo + 1) > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("long"))
-    s = star.table(spark, d, "embeddings").select("vec_id", "label", half(0).alias("x"), half(32).alias("y")).withColumn("band", F.col("x").bitwiseAND(F.lit(255)))
-    p = s.select("label", "band", F.col("vec_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")).join(s.select("label", "band", F.col("vec_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), ["label", "band"]).where("a < b")
-    return p.select("a", "b", (F.bit_count(F.col("ax").bitwiseXOR(F.col("bx"))) + F.bit_count(F.col("ay").bitwiseXOR(F.col("by")))).alias("distance")).where("distance <= 12")
+    e = star.table(spark, d, "embeddings").select("vec_id", F.shiftleft(half(32), 32).bitwiseOR(half(0)).alias("signs"))
+    return resolve.sign_pairs(e, 12)
 
 
 # -- documents
