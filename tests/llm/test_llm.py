@@ -166,3 +166,66 @@ def test_warc(spark, compression):
     some = warc.read_warc(spark, folder, payload=False).where("record_type = 'response' and target_uri like 'v%'").collect()
     assert [(r.record_id, r.target_uri, r.payload) for r in some] == [("urn:x-page:1", "v\r\n%", None)]
     assert re.fullmatch("[A-Z2-7]{32}", got[1][1])
+
+
+def _replies(rows):
+    """(turn, reply_to, n_linked) by brute force, for one message to a turn."""
+    norm = lambda t: " ".join(t.lower().split())
+    split = lambda t: [p for p in re.split(r"\n\s*\n", t) if p.strip()]
+    out, earlier = [], []
+    for turn, text in rows:
+        mark = re.compile(r"[ \t]*(?:>[ \t]*)+")
+        lines = [(m[0].count(">") if (m := mark.match(x)) else 0, x[m.end() :] if m else x) for x in text.split("\n")]
+        quotes, own, parts, run = [], [], set(), []
+        for i, (d, x) in enumerate(lines):
+            if d and i and lines[i - 1][0] == d:
+                quotes[-1][1].append(x)
+            elif d:
+                quotes.append((d, [x]))
+            else:
+                own.append(x)
+            if not d and x.strip():
+                run.append(x)
+            if run and (d or not x.strip() or i == len(lines) - 1):
+                later = [e for e, _ in lines[i:]] if d else [e for e, y in lines[i:] if e or y.strip()]
+                cut = len(run) - (run[-1].rstrip().endswith(":") and bool(later) and later[0] > 0)
+                parts |= {norm(" ".join(run[:cut])), norm(" ".join(run[cut:]))}
+                run = []
+        own_text = "\n".join(own).strip("\n")
+        parts = (parts | {norm(own_text), *map(norm, split(own_text)), *map(norm, own)}) - {""}
+        links = {}
+        for d, q in quotes:
+            q = "\n".join(q)
+            holds = lambda has, q=q: norm(q) in has or all(norm(p) in has or all(norm(x) in has for x in p.split("\n") if x.strip()) for p in split(q))
+            to = [t for t, has in earlier if holds(has)] if norm(q) else []
+            if to:
+                links[d, norm(q)] = max(to)
+        out.append((turn, min(((d, -t) for (d, _), t in links.items()), default=(0, None))[1], len(links)))
+        earlier.append((turn, parts))
+    return [(t, None if r is None else -r, n) for t, r, n in out]
+
+
+def test_chat_partial_quotes(spark):
+    cases = [
+        (["p one\n\np two\n\np three", "other", "> p one\n>\n> p three\nyes"], 0),
+        (["line a\nline b\nline c", "other", "> line b\nyes"], 0),
+        (["q", "a1\na1 more\n> q\na2\na2 more", "> a2 a2 more\nyes"], 1),
+        (["q", "a1\na1 more\nX wrote:\n> q\na2", "> a1 a1 more\nyes"], 1),
+        (["q", "a1\nX wrote:\n\n> q\na2", "> X wrote:\n> a2\nyes"], 1),
+        (["p one\n\np two", "p one", "p two", "> p two\n>\n> p one\nyes"], 0),  # both in one message only
+        (["p one", "p two", "> p one\n>\n> p two\nyes"], None),
+    ]
+    rows = [(c, i, "u", t) for c, (texts, _) in enumerate(cases) for i, t in enumerate(texts)]
+    rows += [(None, i, "u", t) for i, t in enumerate(["line a\nline b", "other", "> line b\nyes"])]
+    rnd = random.Random(4)
+    for c in range(100, 130):
+        for i in range(25):
+            own = ["%s %s" % (rnd.choice("abc"), rnd.choice("xy")) for _ in range(rnd.randrange(1, 7))]
+            rows.append((c, i, "u", "\n".join(rnd.choice(["", "", "> ", "> ", ">> "]) + rnd.choice([x, x, x, "", "Z wrote:"]) for x in own)))
+    got = {(r.conv_id, r.turn): (r.reply_to, r.n_linked) for r in chat.build_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for c, (texts, to) in enumerate(cases):
+        assert got[c, len(texts) - 1][0] == to, texts
+    assert got[None, 2] == (0, 1)
+    for c in {r[0] for r in rows}:
+        want = {(c, t): (r, n) for t, r, n in _replies([(t, x) for k, t, _, x in rows if k == c])}
+        assert {k: v for k, v in got.items() if k[0] == c} == want
