@@ -32,3 +32,36 @@ def test_hamming_pairs(spark, tmp_path):
     far = {(i, j): sum(x != y for x, y in zip(signs[i], signs[j], strict=True)) for i, j in itertools.combinations(range(len(signs)), 2)}
     want = sorted([(*k, v) for k, v in far.items() if v <= 12], key=repr)
     assert max(w[2] for w in want) == 12 and rows(catalogue.hamming_pairs(spark, d)) == want
+
+
+def star_tables(folder, seed=3, n_orders=60, n_parts=12, n_supp=7):
+    """Small tables whose facts mostly stand on other lines than the first."""
+    rnd, i64 = random.Random(seed), pa.int64()
+    orders = range(1, n_orders + 1)
+    lines = [(o, n, rnd.randrange(1, n_parts + 1), rnd.randrange(1, n_supp + 1)) for o in orders for n in range(1, rnd.randrange(1, 5))]
+    t = {
+        "nation": {"n_nationkey": pa.array(range(25), i64), "n_regionkey": pa.array([i % 5 for i in range(25)], i64)},
+        "supplier": {"s_suppkey": pa.array(range(1, n_supp + 1), i64), "s_nationkey": pa.array([rnd.randrange(25) for _ in range(n_supp)], i64)},
+        "customer": {"c_custkey": pa.array(range(1, 9), i64), "c_nationkey": pa.array([rnd.randrange(25) for _ in range(8)], i64)},
+        "part": {"p_partkey": pa.array(range(1, n_parts + 1), i64), "p_size": pa.array([i % 4 + 1 for i in range(n_parts)], i64)},
+        "orders": {"o_orderkey": pa.array(orders, i64), "o_custkey": pa.array([rnd.randrange(1, 9) for _ in orders], i64)},
+        "lineitem": {k: pa.array([x[i] for x in lines], i64) for i, k in enumerate(("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))},
+    }
+    return write(folder, **t), {k: {c: v.to_pylist() for c, v in x.items()} for k, x in t.items()}
+
+
+def lookup(table, key, value):
+    return dict(zip(table[key], table[value], strict=True))
+
+
+def test_closure_counts(spark, tmp_path):
+    d, t = star_tables(tmp_path, n_orders=8)
+    nation, cust, supp = lookup(t["orders"], "o_orderkey", "o_custkey"), lookup(t["customer"], "c_custkey", "c_nationkey"), lookup(t["supplier"], "s_suppkey", "s_nationkey")
+    deps = {(cust[nation[o]], supp[s]) for o, s in zip(t["lineitem"]["l_orderkey"], t["lineitem"]["l_suppkey"], strict=True)}
+    want = []
+    for n in range(25):
+        seen = {n} if any(n in x for x in deps) else set()
+        while more := {b for a, b in deps if a in seen} - seen:
+            seen |= more
+        want.append((f"n{n}", sum(x % 3 == 0 for x in seen)))
+    assert rows(catalogue.closure_counts(spark, d)) == sorted(want, key=repr)
