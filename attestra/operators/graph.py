@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 
@@ -64,18 +65,29 @@ def closure(edges: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 4) -> DataFrame:
     """(src, dst, hops, nodes, edges) of the first shortest path for each pair (src, dst).
 
-    edges: (id, type, a, b), walked both ways. Of equally short paths the one wins whose steps come first by type and id.
+    edges: (id, type, a, b), walked both ways. Of equally short paths the one wins whose steps come first by type and id. Distances are
+    found from the ends first, then paths take only steps that come nearer, so that no other branch of a node is followed.
     """
-    both = edges.select("id", "type", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select("id", "type", F.col("b").alias("x"), F.col("a").alias("y")))
-    front = pairs.select("src", "dst").distinct().select("src", "dst", F.col("src").alias("at"), F.array("src").alias("nodes"), F.array().cast("array<string>").alias("edges"), F.array().cast("array<string>").alias("key"))
+    most = min(hops, 4)
+    both = checkpointed(edges.select("id", "type", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select("id", "type", F.col("b").alias("x"), F.col("a").alias("y"))))
+    near = checkpointed(pairs.select("dst").distinct().select("dst", F.col("dst").alias("node"), F.lit(0).alias("left")))
+    ring, steps = near, []
+    for k in range(1, most + 1):
+        ahead = ring.join(both, F.col("node") == F.col("x")).select("dst", F.col("y").alias("node"), F.col("node").alias("next"), "id", "type").join(near, ["dst", "node"], "left_anti")
+        steps.append(checkpointed(ahead))
+        ring = checkpointed(steps[-1].select("dst", "node").distinct().withColumn("left", F.lit(k)))
+        near = near.unionByName(ring)
+    nearer = functools.reduce(DataFrame.unionByName, steps).select(F.col("dst").alias("_d"), F.col("node").alias("_n"), F.col("next").alias("y"), "id", "type")
+    start = pairs.select("src", "dst").distinct().join(near.select("dst", F.col("node").alias("src"), F.col("left").alias("hops")), ["src", "dst"]).where("hops > 0")
+    front = start.select("src", "dst", "hops", F.col("src").alias("at"), F.array("src").alias("nodes"), F.array().cast("array<string>").alias("edges"), F.array().cast("array<string>").alias("key"))
     found = None
-    for k in range(1, min(hops, 4) + 1):
-        step = front.join(both, F.col("at") == F.col("x")).where(~F.array_contains("nodes", F.col("y")))
-        step = step.select("src", "dst", F.col("y").alias("at"), F.concat("nodes", F.array("y")).alias("nodes"), F.concat("edges", F.array("id")).alias("edges"), F.concat("key", F.array(F.concat_ws("\x1f", "type", "id"))).alias("key"))
+    for k in range(1, most + 1):
+        step = front.join(nearer, (F.col("dst") == F.col("_d")) & (F.col("at") == F.col("_n")))
+        step = step.select("src", "dst", "hops", F.col("y").alias("at"), F.concat("nodes", F.array("y")).alias("nodes"), F.concat("edges", F.array("id")).alias("edges"), F.concat("key", F.array(F.concat_ws("\x1f", "type", "id"))).alias("key"))
         # one path to each node is enough, the first
         first = Window.partitionBy("src", "dst", "at").orderBy("key")
         step = checkpointed(step.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r"))
-        hit = step.where("at = dst").select("src", "dst", F.lit(k).alias("hops"), "nodes", "edges")
-        found = hit if found is None else found.unionByName(hit.join(found, ["src", "dst"], "left_anti"))
+        hit = step.where("at = dst").select("src", "dst", "hops", "nodes", "edges")
+        found = hit if found is None else found.unionByName(hit)
         front = step.where("at <> dst")
     return found

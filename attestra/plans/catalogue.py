@@ -444,7 +444,7 @@ def _graph(spark, d):
     cat = lambda *x: F.concat(*[F.lit(v) if v.endswith(":") or len(v) == 1 else F.col(v) for v in x])
     n = star.table(spark, d, "nation").select(cat("loc:", "n_nationkey").alias("id"), F.lit("located-in").alias("type"), cat("n", "n_nationkey").alias("source"), cat("r", "n_regionkey").alias("target"))
     s = star.table(spark, d, "supplier").select(cat("sup:", "s_suppkey").alias("id"), F.lit("based-in").alias("type"), cat("s", "s_suppkey").alias("source"), cat("n", "s_nationkey").alias("target"))
-    p = star.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("del:"), "l_partkey", F.lit(":"), "l_suppkey").alias("id"), F.lit("delivers").alias("type"), cat("s", "l_suppkey").alias("source"), cat("p", "l_partkey").alias("target")).distinct()
+    p = star.table(spark, d, "lineitem").select(F.concat(F.lit("del:"), "l_partkey", F.lit(":"), "l_suppkey").alias("id"), F.lit("delivers").alias("type"), cat("s", "l_suppkey").alias("source"), cat("p", "l_partkey").alias("target")).distinct()
     return n.unionByName(s).unionByName(p)
 
 
@@ -471,7 +471,7 @@ paths AS (SELECT src, dst, p.id AS e1, s.id AS e2, n.id AS e3, p.source AS n1, s
 SELECT src, dst, 3 AS hops, src || '>' || n1 || '>' || n2 || '>' || dst AS route FROM paths QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY e1, e2, e3) = 1""")
 def shortest_path(spark, d):
     e = _graph(spark, d).select("id", "type", F.col("source").alias("a"), F.col("target").alias("b"))
-    pairs = star.table(spark, d, "part").where("p_size = 1").select(F.concat(F.lit("p"), "p_partkey").alias("src"), F.concat(F.lit("r"), F.col("p_partkey") % 5).alias("dst"))
+    pairs = star.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("src"), F.concat(F.lit("r"), F.col("p_partkey") % 5).alias("dst"))
     return graph.shortest_paths(e, pairs, 3).select("src", "dst", "hops", F.array_join("nodes", ">").alias("route"))
 
 

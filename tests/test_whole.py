@@ -65,3 +65,28 @@ def test_closure_counts(spark, tmp_path):
             seen |= more
         want.append((f"n{n}", sum(x % 3 == 0 for x in seen)))
     assert rows(catalogue.closure_counts(spark, d)) == sorted(want, key=repr)
+
+
+def test_graph_queries(spark, tmp_path):
+    d, t = star_tables(tmp_path, n_orders=40, n_parts=30, n_supp=9)
+    edges = {(f"loc:{n}", "located-in", f"n{n}", f"r{r}") for n, r in lookup(t["nation"], "n_nationkey", "n_regionkey").items()}
+    edges |= {(f"sup:{s}", "based-in", f"s{s}", f"n{n}") for s, n in lookup(t["supplier"], "s_suppkey", "s_nationkey").items()}
+    edges |= {(f"del:{p}:{s}", "delivers", f"s{s}", f"p{p}") for p, s in zip(t["lineitem"]["l_partkey"], t["lineitem"]["l_suppkey"], strict=True)}
+    near = {}
+    for _, _, a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    reached = {"r1": 0}
+    for k in (1, 2, 3):
+        reached |= {y: k for x in list(reached) for y in near[x] if y not in reached}
+    assert rows(catalogue.k_hop_reach(spark, d)) == sorted(reached.items(), key=repr)
+    kept = {x for x in reached if not x.startswith("n")}
+    assert rows(catalogue.lens_scope(spark, d)) == sorted((e for e in edges if e[2] in kept and e[3] in kept), key=repr)
+    # the first path by its edges' ids: delivered, based in, located in
+    routes = {}
+    for e1, _, s, p in (e for e in edges if e[1] == "delivers"):
+        for e2, _, _, n in (e for e in edges if e[1] == "based-in" and e[2] == s):
+            for e3, _, _, r in (e for e in edges if e[1] == "located-in" and e[2] == n):
+                if r == f"r{int(p[1:]) % 5}":
+                    routes.setdefault((p, r), []).append(((e1, e2, e3), f"{p}>{s}>{n}>{r}"))
+    assert len(routes) > 5 and rows(catalogue.shortest_path(spark, d)) == sorted(((*k, 3, min(v)[1]) for k, v in routes.items()), key=repr)
