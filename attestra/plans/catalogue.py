@@ -100,8 +100,7 @@ def claim_count_by_kind(spark, d):
 
 @register(" SELECT claim_id, row_number() OVER (ORDER BY report_date, claim_id) AS seq FROM claims WHERE orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def claims_replay_order(spark, d):
-    urgent = star.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("orderkey"))
-    c = star.claims(spark, d).join(urgent, "orderkey", "left_semi")
+    c = star.claims(spark, d)
     # numbers inside a day, on top of the count of the days before
     day = c.groupBy("report_date").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("report_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("report_date").orderBy("claim_id"))
@@ -347,7 +346,7 @@ SELECT r.instance, r.target, r.lo, r.hi, r.n_targets, CASE WHEN r.n_targets > 1
   CASE WHEN r.n_targets = 1 THEN 'single' WHEN r.k = 1 THEN 'newest' WHEN r.hi < t.lo THEN 'ordered' WHEN r.lo = t.lo AND r.hi = t.hi THEN CASE WHEN r.lo = r.hi THEN 'contradiction' ELSE 'unorderable' END ELSE 'contradiction' END AS relation
 FROM ranked r JOIN ranked t ON r.instance = t.instance AND t.k = 1""")
 def supersede_relations(spark, d):
-    e = star.table(spark, d, "events").where("value > 40")
+    e = star.table(spark, d, "events")
     s = e.select(F.concat(F.lit("u"), "user_id", F.lit(":"), F.date_format("ts", "yyyyMM")).alias("instance"), F.col("event_type").alias("target"), F.concat(F.lit("ev-"), "event_id").alias("claim_id"), F.to_date("ts").alias("lo"), F.to_date("ts").alias("hi"))
     return supersede.nominate(supersede.target_intervals(s)).drop("claim_ids")
 
@@ -359,7 +358,7 @@ SELECT r.instance, r.target, t.target AS newest, t.confidence AS newest_confiden
   concat_ws(',', CASE WHEN t.confidence < 0.5 THEN 'below-floor' END, CASE WHEN t.denied THEN 'denied' END) AS failures
 FROM ranked r JOIN ranked t ON r.instance = t.instance AND t.k = 1 WHERE r.n_targets > 1 AND r.k > 1 AND r.hi < t.lo""")
 def supersede_promote(spark, d):
-    e = star.table(spark, d, "events").where("value > 40").withColumn("instance", F.concat(F.lit("u"), "user_id"))
+    e = star.table(spark, d, "events").withColumn("instance", F.concat(F.lit("u"), "user_id"))
     s = e.select("instance", F.col("event_type").alias("target"), F.concat(F.lit("ev-"), "event_id").alias("claim_id"), F.to_date("ts").alias("lo"), F.to_date("ts").alias("hi"))
     a = e.groupBy("instance", F.col("event_type").alias("target")).agg(F.round(F.least(F.lit(1.0), F.avg("value") / 100), 6).alias("confidence"), (F.max("value") > 95).alias("denied"))
     return supersede.promote(supersede.nominate(supersede.target_intervals(s)), a)

@@ -1,5 +1,6 @@
 """Whole jobs: queries against brute force on small tables, where rows used to be left out."""
 
+import datetime
 import itertools
 import random
 
@@ -90,3 +91,16 @@ def test_graph_queries(spark, tmp_path):
                 if r == f"r{int(p[1:]) % 5}":
                     routes.setdefault((p, r), []).append(((e1, e2, e3), f"{p}>{s}>{n}>{r}"))
     assert len(routes) > 5 and rows(catalogue.shortest_path(spark, d)) == sorted(((*k, 3, min(v)[1]) for k, v in routes.items()), key=repr)
+
+
+def test_replay_and_supersession(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    claims = sorted((r.report_date, r.claim_id) for r in catalogue.claims_scan(spark, d).select("report_date", "claim_id").collect())
+    assert rows(catalogue.claims_replay_order(spark, d)) == sorted(((c, i) for i, (_, c) in enumerate(claims, 1)), key=repr)
+    day = lambda n: datetime.datetime(2024, 1, n)
+    events = [(1, "a", 1, 90.0), (1, "a", 3, 50.0), (1, "b", 5, 60.0), (1, "b", 6, 10.0), (1, "c", 9, 5.0), (2, "a", 2, 20.0)]
+    columns = {"event_id": pa.array(range(len(events)), pa.int64()), "user_id": pa.array([e[0] for e in events], pa.int64()), "event_type": [e[1] for e in events], "ts": pa.array([day(e[2]) for e in events], pa.timestamp("us")), "value": [e[3] for e in events]}
+    d = write(tmp_path, events=columns)
+    got = {(r.instance, r.target): (r.lo.day, r.hi.day, r.newest, r.relation) for r in catalogue.supersede_relations(spark, d).collect()}
+    assert got == {("u1:202401", "a"): (1, 3, "c", "ordered"), ("u1:202401", "b"): (5, 6, "c", "ordered"), ("u1:202401", "c"): (9, 9, "c", "newest"), ("u2:202401", "a"): (2, 2, None, "single")}
+    assert rows(catalogue.supersede_promote(spark, d).select("instance", "target", "newest", "newest_confidence", "verdict")) == [("u1", "a", "c", 0.05, "held"), ("u1", "b", "c", 0.05, "held")]
