@@ -6,8 +6,9 @@ so that each distinct word of the corpus meets the merges once; its ids go back
 together by position. A row carries those of a block's words that go the same way, packed, since one row for each word would shuffle
 more than the texts. Decoding joins ids to the table of token bytes, whose size is the vocabulary's, so that it is broadcast.
 
-A hot word is sent once for each block. Blocks are named by a digest of their texts: should a rerun deal the rows otherwise, a
-block misses its words and the job fails instead of giving wrong ids.
+A word is known by its bytes, never by a hash alone. A hot word is sent once for each block. Blocks are named by their partition, their
+place in it and a digest of their texts: should a rerun deal the rows otherwise, a block misses its words and the job fails instead of
+giving wrong ids. A plan with a shuffle, which may do so, is therefore staged first.
 
 Defined cases: null and empty texts have no ids and decode to nothing; texts of any length are encoded whole; repeated rows and ids
 are encoded one by one; an empty table gives an empty table; special tokens are ordinary text.
@@ -23,17 +24,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import staging
-from attestra.llm.kernels import U64, batches, pieces, ranges, span_hashes, utf8
+from attestra.llm.kernels import U64, batches, distinct_spans, pieces, ranges, span_hashes, utf8
 from attestra.llm.pretokens import code_points, split_with_spaces
 
 BLOCK_BYTES = 12 << 20
-#: Words are dealt by hash into so many buckets for each shuffle partition, up to MAX_BUCKETS.
+#: Words are dealt by hash into so many buckets for each shuffle partition.
 BUCKETS = 4
-MAX_BUCKETS = 4096
 _loaded: dict[str, object] = {}
 
 
@@ -63,9 +64,9 @@ def token_bytes(path: str) -> pa.Array:
 class _Block:
     """Texts read so far, as places among the distinct words of each piece."""
 
-    def __init__(self):
-        self.ids, self.keys, self.words, self.sizes, self.places, self.counts = [], [], [], [], [], []
-        self.bytes, self.name = 0, hashlib.blake2b(digest_size=7)
+    def __init__(self, part: int, place: int):
+        self.ids, self.words, self.sizes, self.places, self.counts = [], [], [], [], []
+        self.bytes, self.name = 0, hashlib.blake2b(b"%d %d " % (part, place), digest_size=7)
 
     def add(self, ids: list, data: np.ndarray, own: np.ndarray) -> None:
         raw = data.tobytes()
@@ -75,10 +76,9 @@ class _Block:
         at = split_with_spaces(codes, begin[:-1][np.diff(begin) > 0])
         starts = lead[at] if len(at) else at
         ends = np.r_[starts[1:], len(data)] if len(at) else at
-        keys, pick, place = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        pick, place = distinct_spans(data, starts, ends)
         self.ids += ids
         self.counts.append(np.diff(np.searchsorted(starts, own)))
-        self.keys.append(keys)
         self.sizes.append((ends - starts)[pick])
         self.words.append(data[ranges(starts[pick], (ends - starts)[pick])])
         self.places.append(place.astype(np.int32))
@@ -86,17 +86,18 @@ class _Block:
 
     def finish(self, buckets: int) -> tuple[int, list[tuple[int, bytes]], np.ndarray, list[np.ndarray]]:
         """(name, packed words of each bucket, each word's place among them all by falling count, each text's places)."""
-        piece = np.array([len(k) for k in self.keys], np.int64)
-        keys, pick, place = np.unique(np.concatenate(self.keys), return_index=True, return_inverse=True)
+        piece = np.array([len(s) for s in self.sizes], np.int64)
+        sizes, words = np.concatenate(self.sizes), np.concatenate(self.words)
+        end = np.cumsum(sizes)
+        pick, place = distinct_spans(words, end - sizes, end)
         base = np.r_[0, np.cumsum(piece)]
         place = place.astype(np.int32)
         flat = np.concatenate([place[b : b + n][p] for b, n, p in zip(base[:-1], piece, self.places, strict=True)])
-        order = np.argsort(-np.bincount(flat, minlength=len(keys)), kind="stable")
-        rank = np.empty(len(keys), np.int32)
-        rank[order] = np.arange(len(keys), dtype=np.int32)
-        sizes, words = np.concatenate(self.sizes), np.concatenate(self.words)
-        first = np.cumsum(sizes) - sizes
-        of = (keys % U64(buckets)).astype(np.int64)
+        order = np.argsort(-np.bincount(flat, minlength=len(pick)), kind="stable")
+        rank = np.empty(len(pick), np.int32)
+        rank[order] = np.arange(len(pick), dtype=np.int32)
+        first = end - sizes
+        of = (span_hashes(words, first[pick], end[pick]) % U64(buckets)).astype(np.int64)
         dealt = np.argsort(of, kind="stable")
         bounds = np.searchsorted(of[dealt], np.arange(buckets + 1))
         packed = []
@@ -115,7 +116,8 @@ def _open(raw: bytes) -> bytes:
 
 
 def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
-    block = _Block()
+    part, n = TaskContext.get().partitionId(), 0
+    block = _Block(part, n)
     for b in batches(it):
         ids = b.column(0).to_pylist()
         data, offsets = utf8(b.column(1))
@@ -123,7 +125,8 @@ def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
             block.add(ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             if block.bytes >= BLOCK_BYTES:
                 yield block
-                block = _Block()
+                n += 1
+                block = _Block(part, n)
     if block.ids:
         yield block
 
@@ -188,7 +191,7 @@ def _encode_words(path: str):
                     word = raw[at + x : at + y]
                     got = known.get(word)
                     if got is None:
-                        known[word] = got = enc._encode_single_piece(word)
+                        known[word] = got = enc.encode_ordinary(word.decode())
                     ids.append(got)
                 counts = np.array([len(i) for i in ids], "<i4")
                 out.append(_squeeze(counts.tobytes() + np.array([i for own_ids in ids for i in own_ids], "<u4").tobytes()))
@@ -229,10 +232,12 @@ def _assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
 
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, ids) of each row. docs must give its rows in the same order when it is read again, as a table does."""
+    """(doc_id, ids) of each row."""
     staging.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    buckets = min(MAX_BUCKETS, BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = staging.staged(docs, "texts")
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = docs.mapInArrow(_emit_words(buckets), "block long, bucket int, words binary")
     ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks_path), "block long, bucket int, ids binary, n_words int")
     texts = docs.mapInArrow(_emit_texts(buckets), "block long, kind int, doc_id long, places binary")

@@ -9,18 +9,21 @@ import numpy as np
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 _SPACES = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _made: dict[str, np.ndarray] = {}
+_BLOCK = 8
 
 
-def classes() -> np.ndarray:
-    """The class of each code point."""
+def classes(codes: np.ndarray) -> np.ndarray:
+    """The class of each code point. The table is filled for the blocks of code points that occur."""
     if "class" not in _made:
-        out = np.full(0x110000, OTHER, np.uint8)
-        cat = np.array([unicodedata.category(chr(c))[0] for c in range(0x110000)])
-        out[cat == "L"] = LETTER
-        out[cat == "N"] = NUMBER
-        out[list(_SPACES)] = SPACE
-        _made["class"] = out
-    return _made["class"]
+        _made["class"], _made["filled"] = np.zeros(0x110000, np.uint8), np.zeros(0x110000 >> _BLOCK, dtype=bool)
+    out, filled = _made["class"], _made["filled"]
+    for block in np.flatnonzero((np.bincount(codes >> _BLOCK, minlength=len(filled)) > 0) & ~filled).tolist():
+        lo, hi = block << _BLOCK, (block + 1) << _BLOCK
+        cat = np.array([unicodedata.category(chr(c))[0] for c in range(lo, hi)])
+        out[lo:hi] = np.select([cat == "L", cat == "N"], [LETTER, NUMBER], OTHER)
+        out[[c for c in _SPACES if lo <= c < hi]] = SPACE
+        filled[block] = True
+    return out[codes]
 
 
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +57,7 @@ def split_with_spaces(codes: np.ndarray, texts: np.ndarray) -> np.ndarray:
     first = np.zeros(n + 1, dtype=bool)
     first[texts] = True
     first[n] = True
-    rs, re, rc = _runs(codes, classes()[codes], first[:n])
+    rs, re, rc = _runs(codes, classes(codes), first[:n])
     mark = np.zeros(n + 1, dtype=bool)
     space = rc == SPACE
     mark[rs[space]] = True
@@ -80,7 +83,7 @@ def split_words(codes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(codes)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kinds = classes()[codes]
+    kinds = classes(codes)
     first = np.zeros(n, dtype=bool)
     first[texts] = True
     rs, re, rc = _runs(codes, kinds, first | (kinds == NUMBER))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import staging
-from attestra.llm.kernels import MULTIPLIER, U64, batches, lower_ascii, mask_spans, mix, pieces, ranges, rows_of, span_hashes, utf8
+from attestra.llm.kernels import MULTIPLIER, U64, batches, distinct_spans, lower_ascii, mask_spans, mix, pieces, ranges, rows_of, utf8
 
 #: Of each label at most; the layer is set for the labels' shares among all labelled rows.
 TRAIN_ROWS = {1: 3000, 0: 5000}
@@ -73,7 +73,7 @@ def _distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     """(row of each word, its place among the distinct ones, bytes of the distinct ones, their sizes)."""
     low = lower_ascii(data)
     s, e = mask_spans(WORD[low], offsets)
-    _, first, place = np.unique(span_hashes(low, s, e), return_index=True, return_inverse=True)
+    first, place = distinct_spans(low, s, e)
     sizes = e[first] - s[first]
     return rows_of(s, offsets), place, low[ranges(s[first], sizes)], sizes
 
