@@ -46,4 +46,6 @@ def components(edges: DataFrame) -> DataFrame:
         cur, done, mark = nxt, after == mark, after
         if done:
             break
-    return cur.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = cur.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out._staged_path = cur._staged_path  # for discard
+    return out

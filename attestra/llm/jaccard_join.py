@@ -1,24 +1,26 @@
 """N-gram Jaccard join: links of documents whose sets of word shingles are alike, exactly, and what they connect.
 
-A document's set is that of its distinct shingles, as 64-bit hashes. Documents of equal sets are one class from the start. Two
-classes that link share one of the first shingles of both sets in any common order (prefix filter); the order used puts shingles
-first that few documents hold, by counts over all documents in a table of fixed size. The classes that share such a shingle are a
-tile. In a tile, sizes must be close enough, and parity bitmaps bound the overlap from above: each shingle flips one bit, so two
-bitmaps differ in no more bits than the sets differ in shingles. What may link is put in one bucket, to which each set goes once; there
-sorted arrays are intersected exactly. A tile or bucket too large for a task is cut by size bands, of which only neighbours can link,
-and by a hash into tiles for each pair of parts, so that every pair still meets in some task. Pairs that are already connected are
-not compared again, so neither pairs nor links of a group of copies are ever spelled out.
+A document's set is that of its distinct shingles, as 64-bit hashes with a seed drawn for each call. Documents of equal sets are one
+class from the start. Two classes that link share one of the first shingles of both sets in any common order (prefix filter); the order
+used puts shingles first that few documents hold, by counts over all documents in a table of fixed size. Tiles are size bands of the
+classes that share such a shingle: a band holds sizes up to 1 / threshold apart, so what links is in one band or in neighbours, and a
+tile is a band with the one below it, whose own members are compared with each other and with those below. In a tile, parity bitmaps
+bound the overlap from above: each shingle flips one bit, so two bitmaps differ in no more bits than the sets differ in shingles. What
+may link is put in one bucket, to which each set goes once; there sorted arrays are intersected exactly. A tile or bucket too large
+for a task is cut by a hash into tiles for each pair of parts, so that every pair still meets in some task. Pairs that are already
+connected are not compared again, so neither pairs nor links of a group of copies are ever spelled out.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. A document of fewer words than a shingle has one, its whole sequence.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; rows that repeat a doc_id are one document
-where they are equal, and else each counts; a null doc_id is never the smallest of its component unless it is alone; an empty table
-gives an empty table.
+where they are equal, and else each counts; rows with a null doc_id link like others, and take the smallest doc_id of their component,
+or null if none has one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 import zlib
 from collections.abc import Iterator
 
@@ -37,18 +39,20 @@ CHUNK = 1 << 14
 TILE = 3000
 BUCKET_SHINGLES = 4_000_000
 SAME_TILE = 64
+#: A task forgets the sets that it has met beyond so many; repeats go when their rows meet.
+SEEN = 200_000
 #: So many places of classes in buckets, of some 80 bytes, are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 250_000
 #: Bits of the bitmap of documents whose texts are sent: 4 MB at most, however many there are.
 WANTED_BITS = 1 << 24
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of each text, one after the other; how many each has)."""
     low = lower_ascii(data)
     s, e = mask_spans(~SPACE[low], offsets)
     n = len(offsets) - 1
-    h, g = group_windows(span_hashes(low, s, e), np.bincount(rows_of(s, offsets), minlength=n), k)
+    h, g = group_windows(span_hashes(low, s, e, seed), np.bincount(rows_of(s, offsets), minlength=n), k)
     order = np.lexsort((h, g))
     h, g = h[order], g[order]
     new = np.ones(len(h), dtype=bool)
@@ -76,11 +80,18 @@ def _fold(rows: np.ndarray, words: int) -> np.ndarray:
     return rows
 
 
+def bands(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The size band of each set: sizes that can link are in one band or in neighbours."""
+    # a little wider than the ratio: rounding never puts a pair that can link two bands apart
+    return np.floor(np.log(n) / (np.log(den / num) * 1.0001)).astype(np.int64)
+
+
 class _Group:
-    """The classes of a tile or bucket."""
+    """The classes of a tile or bucket; two from below its band are not compared there."""
 
-    def __init__(self, n: np.ndarray, maps: list[np.ndarray], num: int, den: int):
+    def __init__(self, n: np.ndarray, maps: list[np.ndarray], num: int, den: int, below: np.ndarray | None = None):
         self.n, self.num, self.den = n.astype(np.int64), num, den
+        self.below = np.zeros(len(n), dtype=bool) if below is None else below
         self.width = np.array([len(m) for m in maps])
         self.by_width = {}
         for w in np.unique(self.width):
@@ -95,6 +106,8 @@ class _Group:
 
     def possible(self, x: int, others: np.ndarray) -> np.ndarray:
         """Those of others that may link with x by size and bitmap."""
+        if self.below[x]:
+            others = others[~self.below[others]]
         nx, no = self.n[x], self.n[others]
         others = others[(self.den * np.minimum(nx, no) >= self.num * np.maximum(nx, no))]
         out = []
@@ -129,14 +142,14 @@ def _half(key: bytes | None) -> int:
     return int.from_bytes(key[:8], "little", signed=True) if key else 0
 
 
-def _count(k: int):
+def _count(k: int, seed: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches(it):
             total = np.zeros(1 << COUNTER_BITS, np.uint32) if total is None else total
             data, offsets = utf8(b.column(0))
             for i, j in pieces(offsets):
-                h, _ = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                h, _ = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k, seed)
                 at, c = np.unique((h >> U64(64 - COUNTER_BITS)).astype(np.int64), return_counts=True)
                 total[at] += c.astype(np.uint32)
         if total is not None:
@@ -157,16 +170,16 @@ def _add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.log2(v + 1).astype(np.uint8).tobytes() for v in sums.values()], pa.binary())], ["chunk", "classes"])
 
 
-def shingle_classes(docs: DataFrame, k: int) -> np.ndarray:
+def shingle_classes(docs: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     """log2 of how many documents hold a shingle, at least, by the leading bits of its hash: 2 MB at any size of docs."""
-    rows = docs.select("text").mapInArrow(_count(k), "chunk int, counts binary").repartition("chunk").mapInArrow(_add, "chunk int, classes binary").collect()
+    rows = docs.select("text").mapInArrow(_count(k, seed), "chunk int, counts binary").repartition("chunk").mapInArrow(_add, "chunk int, classes binary").collect()
     out = np.zeros(1 << COUNTER_BITS, np.uint8)
     for r in rows:
         out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.classes, np.uint8)
     return out
 
 
-def _postings(held, k: int, num: int, den: int):
+def _postings(held, k: int, seed: int, num: int, den: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each document (null token, id, n, doc_id, key, bitmap), and for each new set (token, id, n) of its first shingles.
 
@@ -177,7 +190,7 @@ def _postings(held, k: int, num: int, den: int):
             data, offsets = utf8(b.column(1))
             ids = b.column(0).to_pylist()
             for i, j in pieces(offsets):
-                h, n = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                h, n = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k, seed)
                 end = np.cumsum(n)
                 keys, maps, fresh = [], [], np.zeros(j - i, dtype=bool)
                 for r, (a, z) in enumerate(zip((end - n).tolist(), end.tolist(), strict=True)):
@@ -186,6 +199,8 @@ def _postings(held, k: int, num: int, den: int):
                     fresh[r] = key is not None and key not in seen
                     maps.append(bitmap(h[a:z]).tobytes() if fresh[r] else None)
                     if fresh[r]:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(key)
                 half = np.array([_half(x) for x in keys], np.int64)
                 yield _rows(None, half, n, ids[i:j], keys, maps)
@@ -205,6 +220,7 @@ def _postings(held, k: int, num: int, den: int):
 
 _POSTING = [("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()), ("key", pa.binary()), ("bitmap", pa.binary())]
 _POSTING_SQL = "token long, id long, n int, doc_id long, key binary, bitmap binary"
+_BANDED_SQL = "token long, band int, below boolean, id long, n int, doc_id long, key binary, bitmap binary"
 
 
 def _rows(*cols) -> pa.RecordBatch:
@@ -214,33 +230,34 @@ def _rows(*cols) -> pa.RecordBatch:
 
 def _shared(num: int, den: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _with_company(it, num, den)
+        """Rows sorted by (token, n, id), without repeats and without those that share their token with no set of a size near theirs, in
+        tiles; documents' rows pass."""
+        held = None
+        for b in batches(it):
+            docs = b.filter(b.column(0).is_null())
+            if docs.num_rows:
+                yield _in_band(docs, np.arange(docs.num_rows), None, None)
+            b = b.filter(b.column(0).is_valid())
+            if held is not None:
+                b = pa.concat_batches([held, b]) if b.num_rows else held
+                held = None
+            if not b.num_rows:
+                continue
+            token = b.column(0).to_numpy()
+            last = int(np.flatnonzero(token == token[-1])[0])
+            held = _unique(b.slice(last))
+            if (out := _banded(_unique(b.slice(0, last)), num, den)) is not None:
+                yield out
+        if held is not None and (out := _banded(held, num, den)) is not None:
+            yield out
 
     return run
 
 
-def _with_company(it: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, n, id), without repeats and without those that share their token with no set of a size near theirs;
-    documents' rows pass."""
-    held = None
-    for b in batches(it):
-        docs = b.filter(b.column(0).is_null())
-        if docs.num_rows:
-            yield docs
-        b = b.filter(b.column(0).is_valid())
-        if held is not None:
-            b = pa.concat_batches([held, b]) if b.num_rows else held
-            held = None
-        if not b.num_rows:
-            continue
-        token = b.column(0).to_numpy()
-        last = int(np.flatnonzero(token == token[-1])[0])
-        held = _unique(b.slice(last))
-        out = _of_two(_unique(b.slice(0, last)), num, den)
-        if out.num_rows:
-            yield out
-    if held is not None and (out := _of_two(held, num, den)).num_rows:
-        yield out
+def _in_band(b: pa.RecordBatch, take: np.ndarray, band: np.ndarray | None, below: np.ndarray | None) -> pa.RecordBatch:
+    b = b.take(pa.array(take))
+    extra = [pa.nulls(len(take), t) if c is None else pa.array(c, t) for c, t in ((band, pa.int32()), (below, pa.bool_()))]
+    return pa.RecordBatch.from_arrays([b.column(0), *extra, *b.columns[1:]], [b.schema.names[0], "band", "below", *b.schema.names[1:]])
 
 
 def _unique(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -252,53 +269,61 @@ def _unique(b: pa.RecordBatch) -> pa.RecordBatch:
     return b.filter(pa.array(new))
 
 
-def _of_two(b: pa.RecordBatch, num: int, den: int) -> pa.RecordBatch:
+def _banded(b: pa.RecordBatch, num: int, den: int) -> pa.RecordBatch | None:
+    """Each row in the tile of its own band, and in the next where that band has members."""
     if not b.num_rows:
-        return b
+        return None
     token, n = b.column(0).to_numpy(), b.column(2).to_numpy().astype(np.int64)
     same = np.zeros(len(token) + 1, dtype=bool)
     # sizes are in order: whoever has a partner of a size that can link has one beside it
     same[1:-1] = (token[1:] == token[:-1]) & (den * n[:-1] >= num * n[1:])
-    chain = np.cumsum(~same[:-1])[same[1:] | same[:-1]]
-    b = b.filter(pa.array(same[1:] | same[:-1]))
-    if not b.num_rows:
-        return b
+    near = np.flatnonzero(same[1:] | same[:-1])
+    if not len(near):
+        return None
+    band = bands(n[near], num, den)
+    # the tiles that have members of their own band; rows are sorted by token and band
+    start = np.flatnonzero(np.r_[True, (token[near][1:] != token[near][:-1]) | (band[1:] != band[:-1])])
+    count = np.diff(np.r_[start, len(near)])
+    after = np.zeros(len(start), dtype=bool)
+    after[:-1] = (token[near][start[1:]] == token[near][start[:-1]]) & (band[start[1:]] == band[start[:-1]] + 1)
+    up = np.flatnonzero(np.repeat(after, count))
+    tile = np.repeat(np.arange(len(start)), count)
+    take, of, below = np.r_[np.arange(len(near)), up], np.r_[tile, tile[up] + 1], np.r_[np.zeros(len(near), dtype=bool), np.ones(len(up), dtype=bool)]
+    order = np.argsort(of, kind="stable")
+    take, of, below = take[order], of[order], below[order]
+    size = np.bincount(of, minlength=len(start))
+    keep = size[of] > 1
+    take, of, below = take[keep], of[keep], below[keep]
+    if not len(take):
+        return None
+    out = _in_band(b, near[take], band[start][of], below)
     # copies share most of their shingles: small tiles of the same classes get the same name, and one of them is enough
-    token = b.column(0).to_numpy().copy()
-    start = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]])
-    size = np.diff(np.r_[start, len(token)])
-    held = mix(b.column(1).to_numpy().view(U64))
-    name = mix(np.add.reduceat(held, start) + size.astype(U64)).view(np.int64)
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    size = np.diff(np.r_[first, len(of)])
+    held = mix(out.column(3).to_numpy().view(U64) + below.astype(U64))
+    name = mix(np.add.reduceat(held, first) + size.astype(U64)).view(np.int64)
     small = np.repeat(size <= SAME_TILE, size)
-    token[small] = np.repeat(name, size)[small]
-    return pa.RecordBatch.from_arrays([pa.array(token), *b.columns[1:]], b.schema.names)
-
+    named = np.where(small, np.repeat(name, size), out.column(0).to_numpy())
+    return pa.RecordBatch.from_arrays([pa.array(named), *out.columns[1:]], out.schema.names)
 
-def _cut_large(df: DataFrame, group: str, num: int, den: int, salt: str, weight: bool = False) -> DataFrame:
-    """df (group, salt, n, ...) with band and part: a group that is too large comes as several tiles, in which all its pairs meet.
 
-    First by size: each member goes to the band of its size and to the next. A band that is still too large is cut by a hash of salt.
-    """
+def _cut_large(df: DataFrame, group: list[str], salt: str, weight: bool = False) -> DataFrame:
+    """df with part: a group too large for a task comes as a tile for each pair of its parts by a hash of salt, so that all its pairs meet."""
     parts = F.ceil(F.count("*") / TILE)
     if weight:
         parts = F.greatest(parts, F.ceil(F.sum("n") / BUCKET_SHINGLES))
-    parts = parts.cast("int").alias("_k")
-    large = df.groupBy(group).agg(parts).where("_k > 1").select(group, F.lit(True).alias("_large")).hint("rebalance")
-    # bands a little wider than the ratio: rounding never puts a pair that can link two bands apart
-    band = F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(den / num)) * 1.0001)).cast("int")
-    banded = df.join(large, group, "left").withColumn("band", F.explode(F.when(F.col("_large"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))))
-    again = banded.where("_large").groupBy(group, "band").agg(parts).where("_k > 1").hint("rebalance")
-    cut = banded.join(again, [group, "band"], "left").withColumn("_s", F.expr(f"cast(pmod(xxhash64({salt}), coalesce(_k, 1)) as int)"))
+    large = df.groupBy(*group).agg(parts.cast("int").alias("_k")).where("_k > 1").hint("rebalance")
+    split = df.join(large, group, "left").withColumn("_s", F.expr(f"cast(pmod(xxhash64({salt}), coalesce(_k, 1)) as int)"))
     tiles = F.expr("case when _k is null then array(0) else transform(sequence(0, _k - 1), j -> least(_s, j) * _k + greatest(_s, j)) end")
-    return cut.withColumn("part", F.explode(tiles)).select(*df.columns, "band", "part")
+    return split.withColumn("part", F.explode(tiles)).select(*df.columns, "part")
 
 
-def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches that end where a tile ends; tiles are the runs of equal first three columns."""
+def _groups(it: Iterator[pa.RecordBatch], named: int) -> Iterator[pa.RecordBatch]:
+    """Batches that end where a tile ends; tiles are the runs of equal first columns, as many as named."""
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches(it):
-        ident = list(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
+        ident = list(zip(*(b.column(c).to_pylist() for c in range(named)), strict=True))
         if last is not None and ident[0] != last:
             yield pa.concat_batches(held)
             held = []
@@ -314,10 +339,10 @@ def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def _bounds(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _bounds(b: pa.RecordBatch, named: int) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(b.num_rows, dtype=bool)
     new[1:] = False
-    for c in range(3):
+    for c in range(named):
         v = b.column(c).to_numpy(zero_copy_only=False) if not pa.types.is_binary(b.column(c).type) else np.array(b.column(c).to_pylist(), object)
         new[1:] |= v[1:] != v[:-1]
     start = np.flatnonzero(new)
@@ -331,14 +356,16 @@ def _edges(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 def _tiles(num: int, den: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (token, band, part, id, n, bitmap) by tile: edges that span what may link."""
-        for b in _groups(it):
-            keys, n = b.column(3).to_pylist(), b.column(4).to_numpy().astype(np.int64)
+        """Rows (token, band, part, id, n, bitmap, below) by tile: edges that span what may link."""
+        for b in _groups(it, 3):
+            keys, n, below = b.column(3).to_pylist(), b.column(4).to_numpy().astype(np.int64), b.column(6).to_numpy(zero_copy_only=False)
             maps = [np.frombuffer(m, U64) for m in b.column(5).to_pylist()]
-            start, end = _bounds(b)
+            start, end = _bounds(b, 3)
             pairs = []
             for a, z in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
                 if z - a == 2:
+                    if below[a] and below[a + 1]:
+                        continue
                     x, y = (a, a + 1) if n[a] <= n[a + 1] else (a + 1, a)
                     both = n[x] + n[y]
                     if den * n[x] >= num * n[y]:
@@ -347,7 +374,7 @@ def _tiles(num: int, den: int):
                         if (both - apart) // 2 * (num + den) >= num * both:
                             pairs.append((keys[x], keys[y]))
                     continue
-                g = _Group(n[a:z], maps[a:z], num, den)
+                g = _Group(n[a:z], maps[a:z], num, den, below[a:z])
                 pairs += [(keys[a + x], keys[a + y]) for x, y in g.spanning(g.possible)]
             if pairs:
                 yield _edges(pairs, pa.int64())
@@ -355,20 +382,20 @@ def _tiles(num: int, den: int):
     return run
 
 
-def _buckets(k: int, num: int, den: int):
+def _buckets(k: int, seed: int, num: int, den: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (bucket, band, part, key, text) by bucket: edges that span what links."""
-        for b in _groups(it):
-            keys = b.column(3).to_pylist()
-            data, offsets = utf8(b.column(4))
+        """Rows (bucket, part, key, text) by bucket: edges that span what links."""
+        for b in _groups(it, 2):
+            keys = b.column(2).to_pylist()
+            data, offsets = utf8(b.column(3))
             sets: list[np.ndarray] = []
             for i, j in pieces(offsets):
-                h, n = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                h, n = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k, seed)
                 sets += np.split(h, np.cumsum(n)[:-1])
             pairs = []
             # rows that share a doc_id may come with each other's texts
             right = np.array([_key(h) == k for h, k in zip(sets, keys, strict=True)])
-            for a, z in zip(*_bounds(b), strict=True):
+            for a, z in zip(*_bounds(b, 2), strict=True):
                 own = a + np.flatnonzero(right[a:z])
                 if len(own) > 1:
                     pairs += [(keys[own[x]], keys[own[y]]) for x, y in _linked([sets[i] for i in own], num, den)]
@@ -396,33 +423,53 @@ def _linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]
     return group.spanning(linked)
 
 
+def _keys(k: int, seed: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            data, offsets = utf8(b.column(0))
+            for i, j in pieces(offsets):
+                h, n = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k, seed)
+                cut = np.r_[0, np.cumsum(n)].tolist()
+                keys = [_key(h[a:z]) if z > a else None for a, z in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0).slice(i, j - i)], ["key", "text"])
+
+    return run
+
+
 def link(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: documents link when den * intersection >= num * union."""
     spark = docs.sparkSession
     staging.prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    held = spark.sparkContext.broadcast(shingle_classes(docs, shingle))
-    rows = docs.mapInArrow(_postings(held, shingle, num, den), _POSTING_SQL)
-    dealt = rows.withColumn("deal", F.coalesce("token", F.xxhash64("doc_id"))).repartition("deal").sortWithinPartitions("token", "n", "id").drop("deal")
-    both = staging.staged(dealt.mapInArrow(_shared(num, den), _POSTING_SQL), "jaccard")
+    seed = secrets.randbits(64)
+    held = spark.sparkContext.broadcast(shingle_classes(docs, shingle, seed))
+    rows = docs.mapInArrow(_postings(held, shingle, seed, num, den), _POSTING_SQL)
+    dealt = rows.withColumn("deal", F.coalesce("token", F.xxhash64("doc_id", "key"))).repartition("deal").sortWithinPartitions("token", "n", "id").drop("deal")
+    both = staging.staged(dealt.mapInArrow(_shared(num, den), _BANDED_SQL), "jaccard")
+    held.unpersist()
     vertices = both.where("token is null").select("doc_id", "n", "key", "id", "bitmap")
     classes = vertices.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("id").alias("id"), F.max("bitmap").alias("bitmap"))
-    postings = both.where("token is not null").select("token", "id", "n").dropDuplicates(["token", "id"])
-    tiles = _cut_large(postings, "token", num, den, "id").join(classes.select("id", "bitmap"), "id")
-    tiles = tiles.select("token", "band", "part", "id", "n", "bitmap").repartition("token", "band", "part").sortWithinPartitions("token", "band", "part")
+    postings = both.where("token is not null").select("token", "band", "below", "id", "n").dropDuplicates(["token", "band", "id"])
+    tiles = _cut_large(postings, ["token", "band"], "id").join(classes.select("id", "bitmap"), "id")
+    tiles = tiles.select("token", "band", "part", "id", "n", "bitmap", "below").repartition("token", "band", "part").sortWithinPartitions("token", "band", "part")
     maybe = components(tiles.mapInArrow(_tiles(num, den), "a long, b long"))
     members = staging.staged(maybe.join(classes.select("id", "key", "first", "n"), maybe.node == F.col("id")).select("root", "key", "first", "n"), "members")
-    cut = staging.staged(_cut_large(members, "root", num, den, "key", weight=True).select("root", "band", "part", "key", "first"), "buckets")
-    if cut.count() <= BROADCAST_ROWS:
-        cut = F.broadcast(cut)
+    cut = staging.staged(_cut_large(members, ["root"], "key", weight=True).select("root", "part", "key", "first"), "buckets")
+    small = cut.count() <= BROADCAST_ROWS
+    to = lambda c: F.broadcast(c) if small else c
     # only texts that a bitmap of fixed size may hold are shuffled; the join drops those that it lets pass in vain
     place = lambda c: F.expr(f"pmod(xxhash64({c}), {WANTED_BITS}L)")
     wanted = members.select(place("first").alias("p")).groupBy(F.expr("p div 64").alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
     texts = docs.withColumn("p", place("doc_id")).join(F.broadcast(wanted), F.expr("p div 64") == wanted.block).where("shiftrightunsigned(bits, cast(p % 64 as int)) & 1L = 1L").select(F.col("doc_id").alias("first"), "text")
-    sent = texts.join(cut, "first").select("root", "band", "part", "key", "text").repartition("root", "band", "part").sortWithinPartitions("root", "band", "part")
-    found = components(sent.mapInArrow(_buckets(shingle, num, den), "a binary, b binary"))
+    sent = texts.join(to(cut), "first").select("root", "part", "key", "text")
+    # a class without a doc_id is found by its set
+    nameless = docs.where("doc_id is null").select("text").mapInArrow(_keys(shingle, seed), "key binary, text string").join(to(cut.where("first is null")), "key")
+    sent = sent.unionByName(nameless.select(*sent.columns)).repartition("root", "part").sortWithinPartitions("root", "part")
+    found = components(sent.mapInArrow(_buckets(shingle, seed, num, den), "a binary, b binary"))
     named = classes.select("key", "first").join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     names = named.join(least.hint("rebalance"), "root").select(F.col("key").alias("_key"), "component_id").hint("rebalance")
     out = vertices.join(names, vertices.key == names._key, "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = staging.staged(out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "links")
+    staging.discard(both, maybe, members, cut, found)
+    return out
