@@ -205,6 +205,7 @@ def _count_words(packed: bytes) -> int:
 
 
 def _assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
+    """(doc_id, ids) of a block's texts."""
     by = words.sort_by("bucket")
     counts, flats = [], []
     for raw, n in zip(by["ids"].to_pylist(), by["n_words"].to_pylist(), strict=True):
@@ -231,8 +232,8 @@ def _assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"doc_id": texts["doc_id"].combine_chunks(), "ids": lists})
 
 
-def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, ids) of each row."""
+def _encoded(docs: DataFrame, ranks_path: str, finish, schema: str) -> DataFrame:
+    """finish(doc_id, ids of a block's texts) of each block."""
     staging.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
@@ -241,22 +242,33 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     words = docs.mapInArrow(_emit_words(buckets), "block long, bucket int, words binary")
     ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks_path), "block long, bucket int, ids binary, n_words int")
     texts = docs.mapInArrow(_emit_texts(buckets), "block long, kind int, doc_id long, places binary")
-    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
+    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(lambda t, w: finish(_assemble(t, w)), schema)
+
+
+def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """(doc_id, ids) of each row."""
+    return _encoded(docs, ranks_path, lambda t: t, "doc_id long, ids array<int>")
+
+
+def _bytes_of(lists: pa.ListArray, table: pa.Array) -> Iterator[pa.Array]:
+    """The bytes that each list of ids stands for, a piece of the lists after the other."""
+    offs = lists.offsets.to_numpy().astype(np.int64)
+    for i, j in pieces(offs, 1 << 19):
+        taken = table.take(lists.values.slice(offs[i], offs[j] - offs[i]))
+        pos = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+        cut = pos[offs[i : j + 1] - offs[i]]
+        data = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
+        yield pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(np.ascontiguousarray(cut)), data])
 
 
 def _decode(held):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            lists = b.column("ids")
-            offs = lists.offsets.to_numpy().astype(np.int64)
-            for i, j in pieces(offs, 1 << 19):
-                taken = held.value.take(lists.values.slice(offs[i], offs[j] - offs[i]))
-                pos = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
-                cut = pos[offs[i : j + 1] - offs[i]]
-                data = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
-                out = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(np.ascontiguousarray(cut)), data]).cast(pa.binary())
-                part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, "decoded"])
+            at = 0
+            for out in _bytes_of(b.column("ids"), held.value):
+                part = b.slice(at, len(out))
+                yield pa.RecordBatch.from_arrays([*part.columns, out.cast(pa.binary())], [*part.schema.names, "decoded"])
+                at += len(out)
 
     return run
 
@@ -271,7 +283,21 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.mapInArrow(_decode(held), fields + ", decoded binary")
 
 
+def _digests(held):
+    def run(t: pa.Table) -> pa.Table:
+        lists = t["ids"].combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int32()))
+        offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        coded = [hashlib.sha256(",".join(map(str, flat[x:y].tolist())).encode()).hexdigest() for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        decoded = [hashlib.sha256(x.as_buffer()).hexdigest() for part in _bytes_of(lists, held.value) for x in part]
+        return pa.table({"doc_id": t["doc_id"], "n_tokens": pa.array(np.diff(offs).astype(np.int64)), "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+
+    return run
+
+
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, from its ids and the bytes decoded from them."""
-    both = decode(encode(docs, ranks_path), ranks_path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, from its ids and the bytes decoded from them.
+
+    A block's texts are decoded where they were encoded, so that neither ids nor bytes travel.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(token_bytes(ranks_path))  # as large as the vocabulary
+    return _encoded(docs, ranks_path, _digests(held), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
