@@ -6,8 +6,9 @@ used puts shingles first that few documents hold, by counts over all documents i
 classes that share such a shingle: a band holds sizes up to 1 / threshold apart, so what links is in one band or in neighbours, and a
 tile is a band with the one below it, whose own members are compared with each other and with those below. In a tile, parity bitmaps
 bound the overlap from above: each shingle flips one bit, so two bitmaps differ in no more bits than the sets differ in shingles. What
-may link is put in one bucket, to which each set goes once; there sorted arrays are intersected exactly. A tile or bucket too large
-for a task is cut by a hash into tiles for each pair of parts, so that every pair still meets in some task. Pairs that are already
+may link is put in one bucket, to which each set goes once; there sorted arrays are intersected exactly. A bucket too large for a task
+is cut by size bands, and what is still too large, like a tile, by a hash into one for each pair of parts, so that every pair still
+meets in some task. Pairs that are already
 connected are not compared again, so neither pairs nor links of a group of copies are ever spelled out.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. A document of fewer words than a shingle has one, its whole sequence.
@@ -60,14 +61,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, seed: int = 0) -
     return h[new], np.bincount(g[new], minlength=n)
 
 
-def bitmap_bits(n: int) -> int:
-    """At least half of n, from 1024 on a quarter: enough for sets that share little to differ in more bits than linked ones may."""
-    return max(64, 1 << int(max(1, n - 1)).bit_length() - (1 if n <= 1024 else 2))
+def bitmap_bits(n: int, num: int, den: int) -> int:
+    """A power of two, at least 64, for sets of n.
 
+    Linked sets of n differ in 2 n (den - num) / (den + num) shingles at most, and so in no more bits. Sets that share little differ
+    in about half of the bits: three times n (den - num) / (den + num) or more, whatever the threshold.
+    """
+    return max(64, 1 << max(0, -(-6 * n * (den - num) // (den + num)) - 1).bit_length())
 
-def bitmap(h: np.ndarray) -> np.ndarray:
+
+def bitmap(h: np.ndarray, num: int, den: int) -> np.ndarray:
     """Bit i is the parity of how many shingles pick it; 64-bit words."""
-    bits = bitmap_bits(len(h))
+    bits = bitmap_bits(len(h), num, den)
     odd = np.bincount((mix(h) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
 
@@ -197,7 +202,7 @@ def _postings(held, k: int, seed: int, num: int, den: int):
                     key = _key(h[a:z]) if z > a else None
                     keys.append(key)
                     fresh[r] = key is not None and key not in seen
-                    maps.append(bitmap(h[a:z]).tobytes() if fresh[r] else None)
+                    maps.append(bitmap(h[a:z], num, den).tobytes() if fresh[r] else None)
                     if fresh[r]:
                         if len(seen) >= SEEN:
                             seen.clear()
@@ -318,12 +323,12 @@ def _cut_large(df: DataFrame, group: list[str], salt: str, weight: bool = False)
     return split.withColumn("part", F.explode(tiles)).select(*df.columns, "part")
 
 
-def _groups(it: Iterator[pa.RecordBatch], named: int) -> Iterator[pa.RecordBatch]:
-    """Batches that end where a tile ends; tiles are the runs of equal first columns, as many as named."""
+def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that end where a tile ends; tiles are the runs of equal first three columns."""
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches(it):
-        ident = list(zip(*(b.column(c).to_pylist() for c in range(named)), strict=True))
+        ident = list(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
         if last is not None and ident[0] != last:
             yield pa.concat_batches(held)
             held = []
@@ -339,10 +344,10 @@ def _groups(it: Iterator[pa.RecordBatch], named: int) -> Iterator[pa.RecordBatch
         yield pa.concat_batches(held)
 
 
-def _bounds(b: pa.RecordBatch, named: int) -> tuple[np.ndarray, np.ndarray]:
+def _bounds(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(b.num_rows, dtype=bool)
     new[1:] = False
-    for c in range(named):
+    for c in range(3):
         v = b.column(c).to_numpy(zero_copy_only=False) if not pa.types.is_binary(b.column(c).type) else np.array(b.column(c).to_pylist(), object)
         new[1:] |= v[1:] != v[:-1]
     start = np.flatnonzero(new)
@@ -357,10 +362,10 @@ def _edges(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 def _tiles(num: int, den: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (token, band, part, id, n, bitmap, below) by tile: edges that span what may link."""
-        for b in _groups(it, 3):
+        for b in _groups(it):
             keys, n, below = b.column(3).to_pylist(), b.column(4).to_numpy().astype(np.int64), b.column(6).to_numpy(zero_copy_only=False)
             maps = [np.frombuffer(m, U64) for m in b.column(5).to_pylist()]
-            start, end = _bounds(b, 3)
+            start, end = _bounds(b)
             pairs = []
             for a, z in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
                 if z - a == 2:
@@ -384,10 +389,10 @@ def _tiles(num: int, den: int):
 
 def _buckets(k: int, seed: int, num: int, den: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (bucket, part, key, text) by bucket: edges that span what links."""
-        for b in _groups(it, 2):
-            keys = b.column(2).to_pylist()
-            data, offsets = utf8(b.column(3))
+        """Rows (root, band, part, key, text, below) by bucket: edges that span what links."""
+        for b in _groups(it):
+            keys, below = b.column(3).to_pylist(), b.column(5).to_numpy(zero_copy_only=False)
+            data, offsets = utf8(b.column(4))
             sets: list[np.ndarray] = []
             for i, j in pieces(offsets):
                 h, n = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k, seed)
@@ -395,19 +400,19 @@ def _buckets(k: int, seed: int, num: int, den: int):
             pairs = []
             # rows that share a doc_id may come with each other's texts
             right = np.array([_key(h) == k for h, k in zip(sets, keys, strict=True)])
-            for a, z in zip(*_bounds(b, 2), strict=True):
+            for a, z in zip(*_bounds(b), strict=True):
                 own = a + np.flatnonzero(right[a:z])
-                if len(own) > 1:
-                    pairs += [(keys[own[x]], keys[own[y]]) for x, y in _linked([sets[i] for i in own], num, den)]
+                if len(own) > 1 and not below[own].all():
+                    pairs += [(keys[own[x]], keys[own[y]]) for x, y in _linked([sets[i] for i in own], below[own], num, den)]
             if pairs:
                 yield _edges(pairs, pa.binary())
 
     return run
 
 
-def _linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def _linked(sets: list[np.ndarray], below: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     sizes = np.array([len(s) for s in sets])
-    group = _Group(sizes, [bitmap(s) for s in sets], num, den)
+    group = _Group(sizes, [bitmap(s, num, den) for s in sets], num, den, below)
 
     def linked(x: int, others: np.ndarray) -> np.ndarray:
         others = group.possible(x, others)
@@ -423,6 +428,16 @@ def _linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]
     return group.spanning(linked)
 
 
+def _in_bands(members: DataFrame, num: int, den: int) -> DataFrame:
+    """members (root, key, n, ...) with band and below: a root too large for one bucket gives one for each size band and the one below it."""
+    parts = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / BUCKET_SHINGLES))
+    large = members.groupBy("root").agg(parts.alias("_k")).where("_k > 1").select("root", F.lit(True).alias("_large")).hint("rebalance")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num) * 1.0001))).cast("int")
+    to = lambda b, below: F.struct(b.alias("band"), F.lit(below).alias("below"))
+    split = members.join(large, "root", "left").withColumn("_to", F.explode(F.when(F.col("_large"), F.array(to(band, False), to(band + 1, True))).otherwise(F.array(to(F.lit(-1), False)))))
+    return split.select(*members.columns, "_to.band", "_to.below")
+
+
 def _keys(k: int, seed: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
@@ -454,17 +469,17 @@ def link(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> Da
     tiles = tiles.select("token", "band", "part", "id", "n", "bitmap", "below").repartition("token", "band", "part").sortWithinPartitions("token", "band", "part")
     maybe = components(tiles.mapInArrow(_tiles(num, den), "a long, b long"))
     members = staging.staged(maybe.join(classes.select("id", "key", "first", "n"), maybe.node == F.col("id")).select("root", "key", "first", "n"), "members")
-    cut = staging.staged(_cut_large(members, ["root"], "key", weight=True).select("root", "part", "key", "first"), "buckets")
+    cut = staging.staged(_cut_large(_in_bands(members, num, den), ["root", "band"], "key", weight=True).select("root", "band", "part", "below", "key", "first"), "buckets")
     small = cut.count() <= BROADCAST_ROWS
     to = lambda c: F.broadcast(c) if small else c
     # only texts that a bitmap of fixed size may hold are shuffled; the join drops those that it lets pass in vain
     place = lambda c: F.expr(f"pmod(xxhash64({c}), {WANTED_BITS}L)")
     wanted = members.select(place("first").alias("p")).groupBy(F.expr("p div 64").alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
     texts = docs.withColumn("p", place("doc_id")).join(F.broadcast(wanted), F.expr("p div 64") == wanted.block).where("shiftrightunsigned(bits, cast(p % 64 as int)) & 1L = 1L").select(F.col("doc_id").alias("first"), "text")
-    sent = texts.join(to(cut), "first").select("root", "part", "key", "text")
+    sent = texts.join(to(cut), "first").select("root", "band", "part", "key", "text", "below")
     # a class without a doc_id is found by its set
     nameless = docs.where("doc_id is null").select("text").mapInArrow(_keys(shingle, seed), "key binary, text string").join(to(cut.where("first is null")), "key")
-    sent = sent.unionByName(nameless.select(*sent.columns)).repartition("root", "part").sortWithinPartitions("root", "part")
+    sent = sent.unionByName(nameless.select(*sent.columns)).repartition("root", "band", "part").sortWithinPartitions("root", "band", "part")
     found = components(sent.mapInArrow(_buckets(shingle, seed, num, den), "a binary, b binary"))
     named = classes.select("key", "first").join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
