@@ -94,23 +94,24 @@ class ToxicityModel:
         table = rng.uniform(-1 / d, 1 / d, (n, d)).astype(np.float32) * 0.01
         layer = rng.normal(0, 1, (d, 2)).astype(np.float32)
         bias = np.zeros(2, np.float32)
-        bags = [_bag(t) for t in texts]  # one text at a time
-        if not bags:
+        flat, weight, cut = _bags(texts)
+        if len(cut) == 1:
             return cls(table * 0, layer, bias)
-        common = np.zeros(n, np.int64)
-        for idx, _ in bags:
-            common[idx] += 1
-        common = common >= MIN_DOCS
+        common = np.bincount(flat, minlength=n) >= MIN_DOCS
         table[~common] = 0
-        bags = [(idx[keep], w[keep]) for idx, w in bags for keep in (common[idx],)]
-        apart = np.arange(len(bags)) % CALIBRATE == CALIBRATE - 1
+        keep = common[flat]
+        cut = np.r_[0, np.cumsum(keep)][cut].tolist()
+        flat, weight = flat[keep], weight[keep]
+        bag = lambda i: (flat[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]])
+        docs = np.arange(len(cut) - 1)
+        apart = docs % CALIBRATE == CALIBRATE - 1
         learn = np.flatnonzero(~apart)
         seen = np.full(n, 1e-8, np.float32)
         seen_layer, seen_bias = np.full((d, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
         for epoch in range(EPOCHS):
             rate = RATE * (1 - epoch / EPOCHS)
             for i in rng.permutation(learn):
-                idx, w = bags[i]
+                idx, w = bag(i)
                 rows = table[idx]
                 mean = w @ rows
                 z = mean @ layer + bias
@@ -128,7 +129,7 @@ class ToxicityModel:
                     seen[idx] += w * w * float(back @ back) / d
                     table[idx] = rows - (rate * w / np.sqrt(seen[idx]))[:, None] * back
         odds = table.astype(np.float64) @ (layer[:, 1] - layer[:, 0])
-        z = np.array([w @ odds[idx] for idx, w in bags]) + float(bias[1] - bias[0])
+        z = np.array([w @ odds[idx] for idx, w in map(bag, docs)]) + float(bias[1] - bias[0])
         ones = labels.mean()
         weigh = np.where(labels == 1, (ones if share is None else share) / max(ones, 1e-9), (1 - (ones if share is None else share)) / max(1 - ones, 1e-9))
         slope, shift = _calibrated(z[apart], labels[apart], weigh[apart]) if len(np.unique(labels[apart])) == 2 else (1.0, 0.0)
@@ -181,6 +182,21 @@ def _bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return idx.astype(np.int32), np.bincount(at, share[word]).astype(np.float32)
 
 
+def _bags(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, weights) of all texts in two arrays, and where each text's begin; texts are taken one at a time."""
+    parts, held, size = [], [], [0]
+    for t in texts:
+        held.append(_bag(t))
+        size.append(len(held[-1][0]))
+        if len(held) == 200:
+            parts.append(tuple(map(np.concatenate, zip(*held, strict=True))))
+            held = []
+    parts += [tuple(map(np.concatenate, zip(*held, strict=True)))] if held else []
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.cumsum(size)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the third of the ids that never train."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
