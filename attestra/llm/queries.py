@@ -86,7 +86,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging.new_path(spark, "ids")
     manifest = token_binary.write_ids(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    return token_binary.digests(token_binary.read_ids(manifest, path))
+    return token_binary.read_digests(manifest, path)
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

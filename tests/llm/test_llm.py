@@ -86,7 +86,7 @@ def test_token_files(spark):
     parts = ["a", "Re", "'s", "'LL", " ", "\n", "é", "1", "?!", "中", "<|endoftext|>", "é", "İ", "ß"]
     rows = EDGE + [(None, "no id")] + [(i + 100, "".join(rnd.choice(parts) for _ in range(rnd.randrange(14)))) for i in range(300)]
     folder = staging.new_path(spark, "ids")
-    got = sorted(map(tuple, token_binary.digests(token_binary.read_ids(token_binary.write_ids(docs(spark, rows), folder, path), folder)).collect()), key=lambda r: r[1])
+    got = sorted(map(tuple, token_binary.read_digests(token_binary.write_ids(docs(spark, rows), folder, path), folder).collect()), key=lambda r: r[1])
     want, start = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*tk.encode(t or "", add_special_tokens=False).ids, 2]
