@@ -1,10 +1,14 @@
 """Document fingerprints by a homomorphic multiset hash of paragraphs.
 
 A paragraph, a line of the text, hashes to a wide vector: EQUAL_LANES lanes modulo 2**64, drawn by SHAKE-128 from the paragraph's
-bytes, and NEAR_LANES lanes modulo 2**16, in which each run of five words of the paragraph adds 1 to, or takes it from, one lane that
+bytes, and NEAR_LANES lanes modulo 2**64, in which each run of five words of the paragraph adds 1 to, or takes it from, one lane that
 its hash picks. A document's fingerprint is the sum of its paragraphs' vectors. So the order of paragraphs doesn't matter, and a
 paragraph is inserted by adding its vector and deleted by subtracting it. The first lanes decide equality; the cosine of the second,
-taken as signed counts, estimates how much two documents share.
+taken as signed counts, estimates how much two documents share. A fingerprint is written with as many bytes for a near lane (1, 2, 4 or
+8) as the largest of them needs.
+
+Distinct paragraphs of a piece of texts are drawn once, some thousands at a time; texts larger than a piece are cut at line ends, so
+memory doesn't grow with a text of many lines.
 
 Defined cases: a null text is the empty text, one empty paragraph; equal texts have equal fingerprints and a likeness of 1; a
 paragraph of fewer than five words counts as one run; rows of equal doc_id are put in order by their texts, and a null doc_id comes
@@ -23,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import staging
-from attestra.llm.kernels import PIECE_BYTES, SPACE, U64, batches, group_windows, mask_spans, pieces, rows_of, span_hashes
+from attestra.llm.kernels import PIECE_BYTES, SPACE, U64, batches, distinct_spans, group_windows, mask_spans, pieces, rows_of, span_hashes
 
 EQUAL_LANES = 32
 NEAR_LANES = 256
 RUN = 5
+DRAWN = 4096
 
 
 class Fingerprint:
@@ -35,7 +40,7 @@ class Fingerprint:
 
     def __init__(self, equal: np.ndarray | None = None, near: np.ndarray | None = None):
         self.equal = np.zeros(EQUAL_LANES, U64) if equal is None else equal
-        self.near = np.zeros(NEAR_LANES, np.uint16) if near is None else near
+        self.near = np.zeros(NEAR_LANES, np.int64) if near is None else near
 
     @classmethod
     def of(cls, text: str) -> Fingerprint:
@@ -45,10 +50,11 @@ class Fingerprint:
     @classmethod
     def parse(cls, s: str) -> Fingerprint:
         raw = base64.b64decode(s)
-        return cls(np.frombuffer(raw[: 8 * EQUAL_LANES], U64), np.frombuffer(raw[8 * EQUAL_LANES :], np.uint16))
+        wide = (len(raw) - 8 * EQUAL_LANES) // NEAR_LANES
+        return cls(np.frombuffer(raw[: 8 * EQUAL_LANES], U64), np.frombuffer(raw[8 * EQUAL_LANES :], f"<i{wide}").astype(np.int64))
 
     def __str__(self) -> str:
-        return base64.b64encode(self.equal.tobytes() + self.near.tobytes()).decode()
+        return _texts(self.equal[None], self.near[None])[0]
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.equal + other.equal, self.near + other.near)
@@ -60,45 +66,79 @@ class Fingerprint:
         return float(likeness(self.equal[None], self.near[None], other.equal[None], other.near[None])[0])
 
 
+def _segments(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(row, text); a long text comes in parts, cut at line ends: the newline between two parts belongs to neither."""
+    for row, t in enumerate(texts):
+        at = 0
+        while len(t) - at > PIECE_BYTES and (end := t.find(b"\n", at + PIECE_BYTES)) >= 0:
+            yield row, t[at:end]
+            at = end + 1
+        yield row, t[at:] if at else t
+
+
 def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(equal lanes, near lanes), a row for each text."""
-    size = np.array([len(t) for t in texts], np.int64)
-    offsets = np.r_[0, np.cumsum(size)]
-    raw = b"".join(texts)
-    equal, near = np.zeros((len(texts), EQUAL_LANES), U64), np.zeros((len(texts), NEAR_LANES), np.uint16)
-    for i, j in pieces(offsets):
-        data = np.frombuffer(raw[offsets[i] : offsets[j]], np.uint8)
-        own = offsets[i : j + 1] - offsets[i]
-        breaks = np.flatnonzero(data == 10)
-        doc_of = np.concatenate([np.arange(j - i), rows_of(breaks, own)])
-        begins = np.concatenate([own[:-1], breaks + 1])
-        order = np.lexsort((begins, doc_of))
-        doc_of, begins = doc_of[order], begins[order]
-        last = np.r_[doc_of[1:] != doc_of[:-1], True]
-        ends = np.where(last, own[doc_of + 1], np.r_[begins[1:], 0] - 1)
-        block = data.tobytes()
-        drawn = b"".join(hashlib.shake_128(block[s:e]).digest(8 * EQUAL_LANES) for s, e in zip(begins.tolist(), ends.tolist(), strict=True))
-        first = np.searchsorted(doc_of, np.arange(j - i))
-        equal[i:j] = np.add.reduceat(np.frombuffer(drawn, U64).reshape(-1, EQUAL_LANES), first, axis=0)
-        ws, we = mask_spans(~SPACE[data], own)
-        par = np.searchsorted(np.where(last, ends, ends + 1), ws, side="right")
-        h, g = group_windows(span_hashes(data, ws, we), np.bincount(par, minlength=len(begins)), RUN)
-        cell = doc_of[g] * NEAR_LANES + (h % U64(NEAR_LANES)).astype(np.int64)
-        sign = 1.0 - 2.0 * ((h >> U64(40)) & U64(1)).astype(np.float64)
-        near[i:j] = np.bincount(cell, weights=sign, minlength=(j - i) * NEAR_LANES).astype(np.int64).reshape(j - i, NEAR_LANES).astype(np.uint16)
+    equal, near = np.zeros((len(texts), EQUAL_LANES), U64), np.zeros((len(texts), NEAR_LANES), np.int64)
+    held: list[tuple[int, bytes]] = []
+    size = 0
+    for part in _segments(texts):
+        if held and size + len(part[1]) > PIECE_BYTES:
+            _add(held, equal, near)
+            held, size = [], 0
+        held.append(part)
+        size += len(part[1])
+    if held:
+        _add(held, equal, near)
     return equal, near
 
 
+def _add(held: list[tuple[int, bytes]], equal: np.ndarray, near: np.ndarray) -> None:
+    """Add the vectors of these texts' paragraphs to their rows. Parts of one text stand side by side."""
+    rows, part = np.unique([r for r, _ in held], return_inverse=True)
+    data = np.frombuffer(b"".join(t for _, t in held), np.uint8)
+    own = np.r_[0, np.cumsum([len(t) for _, t in held])]
+    breaks = np.flatnonzero(data == 10)
+    of = np.concatenate([np.arange(len(held)), rows_of(breaks, own)])
+    begins = np.concatenate([own[:-1], breaks + 1])
+    order = np.lexsort((begins, of))
+    of, begins = of[order], begins[order]
+    last = np.r_[of[1:] != of[:-1], True]
+    ends = np.where(last, own[of + 1], np.r_[begins[1:], 0] - 1)
+    first, place = distinct_spans(data, begins, ends)
+    pair, count = np.unique(place * len(rows) + part[of], return_counts=True)
+    what, who = pair // len(rows), pair % len(rows)
+    raw = data.tobytes()
+    for lo in range(0, len(first), DRAWN):
+        some = first[lo : lo + DRAWN]
+        drawn = b"".join(hashlib.shake_128(raw[s:e]).digest(8 * EQUAL_LANES) for s, e in zip(begins[some].tolist(), ends[some].tolist(), strict=True))
+        vector = np.frombuffer(drawn, U64).reshape(-1, EQUAL_LANES)
+        a, z = np.searchsorted(what, [lo, lo + DRAWN])
+        for x in range(int(a), int(z), DRAWN):
+            at = slice(x, min(x + DRAWN, int(z)))
+            by = np.argsort(who[at], kind="stable")
+            to = who[at][by]
+            start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+            equal[rows[to[start]]] += np.add.reduceat(vector[what[at][by] - lo] * count[at][by].astype(U64)[:, None], start, axis=0)
+    ws, we = mask_spans(~SPACE[data], own)
+    par = np.searchsorted(np.where(last, ends, ends + 1), ws, side="right")
+    h, g = group_windows(span_hashes(data, ws, we), np.bincount(par, minlength=len(begins)), RUN)
+    cell = part[of[g]] * NEAR_LANES + (h % U64(NEAR_LANES)).astype(np.int64)
+    sign = 1.0 - 2.0 * ((h >> U64(40)) & U64(1)).astype(np.float64)
+    near[rows] += np.bincount(cell, weights=sign, minlength=len(rows) * NEAR_LANES).astype(np.int64).reshape(-1, NEAR_LANES)
+
+
 def likeness(equal_a: np.ndarray, near_a: np.ndarray, equal_b: np.ndarray, near_b: np.ndarray) -> np.ndarray:
     """0 to 1 for each row; 1 if and only if the first lanes agree."""
-    a, b = near_a.view(np.int16).astype(np.float64), near_b.view(np.int16).astype(np.float64)
+    a, b = near_a.astype(np.float64), near_b.astype(np.float64)
     norm = np.sqrt((a * a).sum(1) * (b * b).sum(1))
     cos = (a * b).sum(1) / np.where(norm > 0, norm, 1)
     return np.where((equal_a == equal_b).all(1), 1.0, np.clip(cos, 0.0, np.nextafter(1.0, 0)))
 
 
 def _texts(equal: np.ndarray, near: np.ndarray) -> list[str]:
-    return [base64.b64encode(e.tobytes() + n.tobytes()).decode() for e, n in zip(equal, near, strict=True)]
+    high = np.maximum(near, ~near).max(axis=1, initial=0)  # of a lane, without its sign
+    wide = 1 << np.searchsorted([1 << 7, 1 << 15, 1 << 31], high, side="right")
+    return [base64.b64encode(e.tobytes() + n.astype(f"<i{w}").tobytes()).decode() for e, n, w in zip(equal, near, wide.tolist(), strict=True)]
 
 
 def _plain(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
