@@ -128,7 +128,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     rounds = max(1, -(-total // max_bytes))
     rest = [c for c in docs.columns if c not in (*RESULT, "text")]
-    out = docs.select(F.col("text").cast("string"), F.struct(*rest, F.lit(0).alias("_")).alias("rest"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("item_ids"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("hit_spans"))
+    out = docs.select(F.col("text").cast("string"), staging.packed(rest).alias("rest"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("item_ids"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("hit_spans"))
+    back = staging.unpacked(rest)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     for k in range(rounds):
         part = items.where(F.expr(f"pmod(xxhash64(item_id, text), {rounds}L) = {k}L")).collect()  # of max_bytes or so
@@ -137,7 +138,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
         if k < rounds - 1:
             out = staging.staged(out, "hits")
     out = out.withColumn("n_items", F.size("item_ids").cast("long")).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
-    return out.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in RESULT], *RESULT)
+    return out.select(*[F.col("text") if c == "text" else back[c] for c in docs.columns if c not in RESULT], *RESULT)
 
 
 def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,4 +163,4 @@ def remove_spans(found: DataFrame) -> DataFrame:
 
 def remove_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, as they are."""
-    return find_contamination(docs, items, window).where("not contaminated").select(*docs.columns)
+    return find_contamination(docs, items, window).where("not contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,8 +4,9 @@ The index has three tables, all dealt by shard, a hash of a line's key:
   postings (shard, key, doc_id)      who holds which line, once for a document
   refs     (shard, key, refs, last)  how many documents hold it, and the largest doc_id of them
   filters  (shard, filter)           a cuckoo filter of the keys that enough documents hold
-Documents can be inserted and deleted. Both touch only the shards and keys concerned, and deleting what was inserted restores the
-tables. To dedup, lines meet the filter of their shard first, as it streams past; those it may hold are looked up in refs.
+Documents can be inserted and deleted. Only the postings added, the rows of the keys touched and the filters of their shards are
+written; the tables are what was there without those, joined when they are read. compact() writes them whole again, which is due after
+many changes. Deleting what was inserted restores the tables. To dedup, lines meet the filter of their shard first, as it streams past; those it may hold are looked up in refs.
 
 Defined cases: a null or empty text is one empty line; a document without a doc_id counts for no line and loses none; rows that
 repeat a doc_id count as one document, and each is rewritten; a document whose lines all go has an empty text; an empty table gives
@@ -26,7 +27,8 @@ from attestra.llm import staging
 from attestra.llm.kernels import MULTIPLIER, U64, batches, mix
 
 KEYS_PER_SHARD = 500_000
-#: A shard's lines are dealt over so many tasks, so that a line which most documents hold isn't one task's.
+#: A shard's lines are dealt over so many tasks, and a shard with more lines over one for each KEYS_PER_SHARD of them, so that a line
+#: which most documents hold isn't one task's at any size.
 SALTS = 8
 _WHITE = b" \t\n\x0b\x0c\r"
 
@@ -213,29 +215,41 @@ class LineIndex:
 
     def _changed(self, postings: DataFrame, touched: DataFrame) -> LineIndex:
         """The index over postings, whose touched keys alone differ from this one's."""
-        new = self._count(postings.join(touched.select("key"), "key", "left_semi"))
-        refs = staging.staged(self.refs.join(touched.select("key"), "key", "left_anti").select("shard", "key", "refs", "last").unionByName(new), "line-refs")
+        new = staging.staged(self._count(postings.join(touched.select("key"), "key", "left_semi")), "line-refs")
+        refs = self.refs.join(touched.select("key"), "key", "left_anti").select("shard", "key", "refs", "last").unionByName(new)
         was = self.refs.join(touched.select("key"), "key", "left_semi").where(F.col("refs") >= self.min_docs).select("shard", "key")
         now = new.where(F.col("refs") >= self.min_docs).select("shard", "key")
         changes = now.join(was, "key", "left_anti").select("shard", "key", F.lit(True).alias("insert")).unionByName(was.join(now, "key", "left_anti").select("shard", "key", F.lit(False).alias("insert")))
-        filters = staging.staged(self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_change_filter, "shard long, filter binary"), "line-filters")
-        full = filters.where("filter is null").select("shard")
+        shards = changes.select("shard").distinct()
+        old = self.filters.join(shards, "shard", "left_semi").select("shard", "filter")
+        made = staging.staged(old.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_change_filter, "shard long, filter binary"), "line-filters")
+        full = made.where("filter is null").select("shard")
         again = refs.where(F.col("refs") >= self.min_docs).join(full, "shard", "left_semi").select("shard", "key").groupBy("shard").applyInArrow(_make_filter, "shard long, filter binary")
-        return LineIndex(self.min_chars, self.min_docs, self.shards, postings, refs, filters.where("filter is not null").unionByName(again))
+        made = staging.staged(made.where("filter is not null").unionByName(again), "line-filters")
+        filters = self.filters.join(made.select("shard"), "shard", "left_anti").select("shard", "filter").unionByName(made)
+        return LineIndex(self.min_chars, self.min_docs, self.shards, postings, refs, filters)
+
+    def compact(self) -> LineIndex:
+        """The same index, its tables written whole."""
+        return LineIndex(self.min_chars, self.min_docs, self.shards, *(staging.staged(t, n) for t, n in ((self.postings, "lines"), (self.refs, "line-refs"), (self.filters, "line-filters"))))
 
     def insert(self, docs: DataFrame) -> LineIndex:
         new = staging.staged(self._keys(docs, self.min_chars, self.shards).join(self.postings, ["doc_id", "key"], "left_anti"), "lines-new")
-        return self._changed(staging.staged(self.postings.unionByName(new), "lines"), new.select("key").distinct())
+        return self._changed(self.postings.unionByName(new), new.select("key").distinct())
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """doc_ids: a column doc_id."""
         gone = staging.staged(self.postings.join(doc_ids.select("doc_id"), "doc_id", "left_semi"), "lines-gone")
-        return self._changed(staging.staged(self.postings.join(doc_ids.select("doc_id"), "doc_id", "left_anti"), "lines"), gone.select("key").distinct())
+        left = self.postings.join(staging.staged(doc_ids.select("doc_id").distinct(), "lines-deleted"), "doc_id", "left_anti")
+        return self._changed(left.select(*self.postings.columns), gone.select("key").distinct())
 
     def drops(self) -> DataFrame:
         """(doc_id, key) of the lines to go: those that enough documents hold, but for the largest doc_id."""
-        lines = self.postings.select("shard", F.expr(f"pmod(xxhash64(doc_id), {SALTS}L)").alias("salt"), F.lit(None).cast("binary").alias("filter"), "key", "doc_id")
-        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), "filter", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"))
+        # only shards with a hot line: one for every SALTS * KEYS_PER_SHARD lines at most
+        heavy = self.refs.groupBy("shard").agg(F.ceil(F.sum("refs") / KEYS_PER_SHARD).alias("_k")).where(F.col("_k") > SALTS)
+        salts = F.coalesce(F.col("_k"), F.lit(SALTS).cast("long"))
+        lines = self.postings.join(heavy, "shard", "left").select("shard", F.pmod(F.xxhash64("doc_id"), salts).alias("salt"), F.lit(None).cast("binary").alias("filter"), "key", "doc_id")
+        filters = self.filters.join(heavy, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "filter", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"))
         met = lines.unionByName(filters).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
         hits = met.mapInArrow(_probe, "key binary, doc_id long")
         exact = self.refs.where(F.col("refs") >= self.min_docs).select("key", "last")
@@ -246,11 +260,12 @@ class LineIndex:
         rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped")]
         kind = dict(docs.dtypes)
         drops = self.drops().groupBy("doc_id").agg(F.collect_list("key").alias("drops")).select(F.col("doc_id").alias("_id"), "drops")
-        packed = docs.select("doc_id", F.col("text").cast("string"), F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+        packed = docs.select("doc_id", F.col("text").cast("string"), staging.packed(rest).alias("rest"))
         met = packed.join(drops, packed.doc_id == drops._id, "left").drop("_id")
         schema = f"doc_id {kind['doc_id']}, text string, rest {met.schema['rest'].dataType.simpleString()}, n_lines long, n_dropped long"
+        back = staging.unpacked(rest)
         out = met.mapInArrow(_rewrite(self.min_chars), schema)
-        return out.select(*[F.col(f"rest.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+        return out.select(*[back[c] if c in rest else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

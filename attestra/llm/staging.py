@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from attestra.session import prepare as prepare
 
@@ -44,3 +45,13 @@ def discard(*tables: DataFrame | str) -> None:
             spark = SparkSession.getActiveSession()
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def packed(columns: list[str]) -> Column:
+    """These columns, whatever their names, as one struct for a job that passes them on."""
+    return F.struct(F.lit(0).alias("none"), *[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def unpacked(columns: list[str], struct: str = "rest") -> dict[str, Column]:
+    """What packed took, by name."""
+    return {c: F.col(f"{struct}.c{i}").alias(c) for i, c in enumerate(columns)}

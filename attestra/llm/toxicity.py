@@ -230,7 +230,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     staging.prepare(spark)
     result = ("held_out", "score", "predicted")
     rest = [c for c in docs.columns if c not in (*result, "text")]
-    packed = docs.select(F.col("text").cast("string"), F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+    back = staging.unpacked(rest)
+    packed = docs.select(F.col("text").cast("string"), staging.packed(rest).alias("rest"))
     out = packed.mapInArrow(_apply(spark.sparkContext.broadcast(model)), f"text string, rest {packed.schema['rest'].dataType.simpleString()}, score double")
-    out = out.withColumn("held_out", held_out(F.col("rest.doc_id"))).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
-    return out.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in result], *result)
+    out = out.withColumn("held_out", held_out(back["doc_id"])).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+    return out.select(*[F.col("text") if c == "text" else back[c] for c in docs.columns if c not in result], *result)

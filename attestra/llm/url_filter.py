@@ -16,6 +16,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.llm import staging
+
 BITS_PER_KEY = 16
 BLOCK_BITS = 256
 RESULT = ("host", "path", "rule", "verdict")
@@ -68,13 +70,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     # at most as many as a url's longest path has characters
     sizes = sorted(r.plen for r in listed.select("plen").distinct().collect())
     n_keys = listed.count()
-    pages = pages.drop(*[c for c in pages.columns if c in RESULT and c != url_col])
-    host, path = url_parts(F.col(url_col))
-    base = pages.withColumn("host", host).withColumn("path", path)
+    rest = [c for c in pages.columns if c not in RESULT]
+    host, path = url_parts(F.col(f"`{url_col}`"))
+    base = pages.select(staging.packed(rest).alias("rest"), host.alias("host"), path.alias("path"))
+    back = staging.unpacked(rest).values()
     if not n_keys:
-        return base.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+        return base.select(*back, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    # no longer than the rules' longest host, so a host of many labels has no more keys than that
+    deepest = listed.agg(F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\."))).alias("n")).first().n
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(parts) - F.lit(deepest) + 1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     starts = F.filter(F.transform(F.array(*[F.lit(n) for n in sizes]), lambda n: F.when(F.length("path") >= n, F.substring(F.col("path"), F.lit(1), n))), lambda s: s.isNotNull())
     seen = base.select("host", "path").distinct()
     cand = seen.select("host", "path", F.explode(suffixes).alias("suffix"), starts.alias("starts")).select("host", "path", F.explode(F.transform("starts", lambda s: F.concat("suffix", s))).alias("key"))
@@ -83,5 +88,5 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     # rebalance: the join gets an exchange of its own on both sides, which Spark can split where a key is hot
     hits = cand.join(found.hint("rebalance"), "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("best"))
     hits = hits.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "best").hint("rebalance")
-    out = base.join(hits, (base.host == hits._h) & (base.path == hits._p), "left").drop("_h", "_p")
-    return out.withColumn("rule", F.col("best.key")).withColumn("verdict", F.coalesce("best.verdict", F.lit(default))).drop("best")
+    out = base.join(hits, (base.host == hits._h) & (base.path == hits._p), "left")
+    return out.select(*back, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
