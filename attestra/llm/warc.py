@@ -2,7 +2,7 @@
 
 Reading: the driver plans one partition for a file. A task parses a record's header first; record types, ids, urls and digests that
 a query's filters rule out are decided there, and the block of such a record, or of any where payloads aren't wanted, is passed over
-by its length without being read. Writing: each task attempt writes files of its own, and a commit names those of the attempts that
+by its length without being read (in a gzip file it is inflated, but not kept). Writing: each task attempt writes files of its own, and a commit names those of the attempts that
 counted in a manifest, which readers follow; files of lost attempts are never read. Paths may be of any store that pyarrow.fs opens.
 
 A response's block is an HTTP head and the payload; a revisit's is the head alone, whose Content-Length is the payload's.
@@ -35,6 +35,7 @@ _HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_u
 ROLL_BYTES = 256 << 20
 BATCH_BYTES = 8 << 20
 MANIFEST = "_manifest"
+_MARK = "X-Line-Breaks-Escaped"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -48,12 +49,16 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _clean(v: str) -> str:
-    """A header's value on one line: CR, LF and % are percent-encoded."""
-    return v.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    """A header's value on one line."""
+    return v.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _plain(v: str | None) -> str | None:
-    return v if v is None else v.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def _escaped(v: str) -> str:
+    return _clean(v.replace("%", "%25"))
+
+
+def _plain(v: str) -> str:
+    return v.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
 def record(row: dict) -> bytes:
@@ -64,7 +69,10 @@ def record(row: dict) -> bytes:
     block = head if revisit else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{_clean(row['record_id'])}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http;msgtype=response"]
     if row["target_uri"] is not None:
-        lines.append(f"WARC-Target-URI: {_clean(row['target_uri'])}")
+        # a url is written as it is, but for one that has line breaks, which a header of ours marks
+        broken = _clean(row["target_uri"]) != row["target_uri"]
+        lines.append(f"WARC-Target-URI: {_escaped(row['target_uri']) if broken else row['target_uri']}")
+        lines += [f"{_MARK}: target-uri"] if broken else []
     lines.append(f"WARC-Payload-Digest: sha1:{row['payload_digest'] or payload_digest(payload)}")
     if revisit:
         lines += [f"WARC-Refers-To: <{_clean(row['refers_to'])}>", f"WARC-Profile: {_REVISIT}"]
@@ -72,8 +80,8 @@ def record(row: dict) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(stream, accept, want_payload: bool) -> Iterator[dict]:
-    """The records of an open file whose header fields accept(fields) takes."""
+def parse(stream, accept, want_payload: bool, verify: bool = False) -> Iterator[dict]:
+    """The records of an open file whose header fields accept(fields) takes. verify: a payload that is read must have its header's SHA-1."""
     while True:
         line = stream.readline()
         if not line:
@@ -84,13 +92,19 @@ def parse(stream, accept, want_payload: bool) -> Iterator[dict]:
             raise ValueError(f"not a WARC record: {line[:40]!r}")
         raw = {}
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-            name, _, value = line.decode().partition(":")
-            raw[name.strip().lower()] = value.strip()
+            text = line.decode("utf-8", "replace")
+            if text[0] in " \t" and raw:  # a folded header goes on
+                raw[name] += " " + text.strip()
+                continue
+            name, _, value = text.partition(":")
+            name = name.strip().lower()
+            raw[name] = value.strip()
         length = int(raw["content-length"])
         fields = {k: raw.get(h.lower()) for k, h in _HEADERS.items()}
         for k in ("record_id", "refers_to"):
-            fields[k] = _plain(fields[k][1:-1] if fields[k] and fields[k][0] == "<" else fields[k])
-        fields["target_uri"] = _plain(fields["target_uri"])
+            fields[k] = fields[k][1:-1] if fields[k] and fields[k][0] == "<" else fields[k]
+        if _MARK.lower() in raw and fields["target_uri"] is not None:
+            fields["target_uri"] = _plain(fields["target_uri"])
         if fields["payload_digest"]:
             fields["payload_digest"] = fields["payload_digest"].rpartition(":")[2]
         if not accept(fields):
@@ -112,6 +126,8 @@ def parse(stream, accept, want_payload: bool) -> Iterator[dict]:
         payload = None
         if want_payload and fields["record_type"] != "revisit":
             payload = stream.read(left)
+            if verify and payload_digest(payload) != fields["payload_digest"]:
+                raise ValueError(f"a payload isn't what its digest says: {fields['record_id']}")
         else:
             _skip(stream, left)
         yield fields | {"payload_bytes": size, "payload": payload}
@@ -135,6 +151,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.want_payload = options.get("payload", "true").lower() != "false"
+        self.verify = options.get("verify", "false").lower() == "true"
         self.equal: dict[str, set] = {}
         self.starts: list[tuple[str, str]] = []
 
@@ -150,7 +167,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def accept(self, fields: dict) -> bool:
-        return all(fields[k] in v for k, v in self.equal.items()) and all((fields[k] or "").startswith(v) for k, v in self.starts)
+        return all(fields[k] in v for k, v in self.equal.items()) and all(fields[k] is not None and fields[k].startswith(v) for k, v in self.starts)
 
     def partitions(self):
         fs, path = open_fs(self.path)
@@ -172,7 +189,7 @@ class WarcReader(DataSourceReader):
         with fs.open_input_file(path) as raw:
             stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 20)
             rows, size = [], 0
-            for r in parse(stream, self.accept, self.want_payload):
+            for r in parse(stream, self.accept, self.want_payload, self.verify):
                 rows.append(r)
                 size += 500 + len(r["payload"] or b"")
                 if size >= BATCH_BYTES:
@@ -224,7 +241,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """Options: path; payload (false: leave payloads out); compression (none or gzip, for writing)."""
+    """Options: path; payload (false: leave payloads out); verify (true: digests are checked); compression (none or gzip, for writing)."""
 
     @classmethod
     def name(cls):
@@ -246,9 +263,9 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: bool = True, verify: bool = False) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("verify", str(verify).lower()).load(path)
 
 
 def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -277,6 +294,6 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, compression: st
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to), a row for each record of an archive of pages."""
     number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) as bigint)")
-    r = read_warc(spark, path).where(F.col("record_type").isin("response", "revisit"))
+    r = read_warc(spark, path, verify=True).where(F.col("record_type").isin("response", "revisit"))
     checked = F.when((F.col("record_type") == "revisit") | (F.octet_length("payload") == F.col("payload_bytes")), F.col("payload_bytes"))
     return r.select(number("record_id").alias("page_id"), checked.alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
