@@ -229,3 +229,140 @@ def test_chat_partial_quotes(spark):
     for c in {r[0] for r in rows}:
         want = {(c, t): (r, n) for t, r, n in _replies([(t, x) for k, t, _, x in rows if k == c])}
         assert {k: v for k, v in got.items() if k[0] == c} == want
+
+
+def _twins():
+    """Two words of 1,024 letters that a polynomial hash modulo 2**64 can't tell apart, and two of 16."""
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_are_told_apart_by_their_bytes(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from attestra.llm import kernels
+
+    x, y = _twins()
+    path, wide = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+    enc, tk = bpe._encoder(path), Tokenizer.from_file(wide)
+    rows = [(1, x), (2, y), (3, f"{x} {y} {x}")]
+    got = {r.doc_id: r.ids for r in bpe.encode(docs(spark, rows).coalesce(1), path).collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in rows}
+    folder = staging.new_path(spark, "ids")
+    got = {r.doc_id: r.ids for r in token_binary.read_ids(token_binary.write_ids(docs(spark, rows), folder, wide), folder).collect()}
+    assert got == {i: [*tk.encode(t, add_special_tokens=False).ids, 2] for i, t in rows}
+    assert {r.doc_id: r.component_id for r in jaccard_join.link(docs(spark, rows[:2]), 3, 90, 100).collect()} == {1: 1, 2: 2}
+    # even if all hashes meet
+    data = np.frombuffer(b"one two one twx " + b"q" * 70 + b" " + b"q" * 69 + b"r", np.uint8)
+    s, e = kernels.mask_spans(~kernels.SPACE[data], np.array([0, len(data)]))
+    monkeypatch.setattr(kernels, "span_hashes", lambda data, s, e, seed=0: np.zeros(len(s), np.uint64))
+    first, place = kernels.distinct_spans(data, s, e)
+    assert place.tolist() == [0, 1, 0, 2, 3, 4] and first.tolist() == [0, 1, 3, 4, 5]
+    words = token_binary._Words(wide)
+    monkeypatch.setattr(token_binary, "span_hashes", lambda data, s, e, seed=0: np.zeros(len(s), np.uint64))
+    for _ in range(2):
+        assert [len(t) for t in token_binary.tokenize(data, np.array([0, len(data)]), words)] == [len(tk.encode(data.tobytes().decode(), add_special_tokens=False).ids)]
+
+
+def test_byte_bpe_of_equal_partitions(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    one = docs(spark, [(7, "the same row")]).coalesce(1)
+    got = bpe.round_trip(one.unionAll(one), path).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].n_tokens == len(bpe._encoder(path).encode_ordinary("the same row"))
+    assert bpe.encode(docs(spark).repartition(3), path).count() == len(EDGE)
+
+
+def test_jaccard_join_of_rows_without_an_id(spark):
+    w = [f"w{i}" for i in range(300)]
+    rows = [(None, " ".join(w)), (5, " ".join(w[:-4])), (9, " ".join(w[4:])), (None, "alone in its set of words"), (2, "x y z")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.link(docs(spark, rows), 3, 98, 100).collect()}
+    # 5 and 9 share too little with each other, and meet through the row without an id
+    assert got == {(None, 298): 5, (5, 294): 5, (9, 294): 5, (None, 4): None, (2, 1): 2}
+
+
+def test_jaccard_join_cuts(spark, monkeypatch):
+    """Tiles and buckets of a few rows: sizes over many bands, all pairs still meet."""
+    monkeypatch.setattr(jaccard_join, "TILE", 3)
+    test_jaccard_join(spark)
+
+
+def test_wide_codes():
+    counts = np.r_[np.arange(1, 70_001), 0]
+    size = token_binary.code_lengths(counts)
+    code = token_binary.Code(size)
+    ids = np.random.default_rng(1).integers(0, 70_000, 5000)
+    bits, marks = code.encode(ids)
+    assert code.bits == 17 and (code.decode(bits, marks, len(ids)) == ids).all()
+
+
+def _slow_fingerprint(text):
+    """The lanes by plain integers."""
+    m = (1 << 64) - 1
+
+    def mix(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & m
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & m
+        return h ^ h >> 31
+
+    def word(w):
+        h = mix(len(w) * 0x9FB21C651E98DF25 & m)
+        for i in range(0, len(w), 8):
+            h = mix(h ^ int.from_bytes(w[i : i + 8], "little"))
+        return h
+
+    equal, near = [0] * 32, [0] * 256
+    for line in text.encode().split(b"\n"):
+        drawn = hashlib.shake_128(line).digest(256)
+        equal = [(a + int.from_bytes(drawn[8 * i : 8 * i + 8], "little")) & m for i, a in enumerate(equal)]
+        words = [word(w) for w in re.findall(rb"[^ \t\n\x0b\x0c\r]+", line)]
+        for i in range(max(1, len(words) - 4) if words else 0):
+            run = words[i : i + 5]
+            h = 0
+            for w in run:
+                h = (h * 0x9FB21C651E98DF25 + w) & m
+            h = mix(h + len(run) & m)
+            near[h % 256] += 1 - 2 * (h >> 40 & 1)
+    return equal, near
+
+
+def test_fingerprint_lanes():
+    line = "some words of one line here"
+    for text in ["", "\n\n", "one two\n\nthree four five six seven eight\none two", "\n".join([line, "a b"] * 300)]:
+        f = fingerprints.Fingerprint.of(text)
+        assert (f.equal.tolist(), f.near.tolist()) == _slow_fingerprint(text)
+        assert str(fingerprints.Fingerprint.parse(str(f))) == str(f)
+    f = fingerprints.Fingerprint.of
+    many, half = f((line + "\n") * 80_000), f((line + "\n") * 40_000)  # over a piece, and over 2**15 of a lane
+    assert many.likeness(half) > 0.99 and str(many) == str(half + half - f("")) and str(f("\n" * 3_000_000)) == str(f("\n" * 1_500_000) + f("\n" * 1_499_999))
+
+
+def test_further_columns_with_clashing_names(spark):
+    names = ["_", "rest", "best", "_h", "a.b", "c`d", "none"]
+    d = spark.createDataFrame([(1, "x " * 50, "u://com/en/", *"1234567"), (2, None, None, *[None] * 7)], "doc_id long, text string, url string, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names))
+    want = [tuple(r[3:]) for r in d.collect()]
+    items = spark.createDataFrame([(1, "x x x")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    rules = spark.createDataFrame([("com", "/en/", "block")], "host string, path string, verdict string")
+    for out in (line_dedup.dedup_lines(d), decontaminate.find_contamination(d, items), toxicity.score_documents(d, toxicity.fit(d, labels)), url_filter.filter_urls(d, rules)):
+        place = [out.columns.index(n) for n in names]
+        assert [tuple(r[i] for i in place) for r in sorted(out.collect(), key=lambda r: r.doc_id)] == want
+
+
+def test_warc_urls_and_foreign_headers(spark):
+    import io
+
+    urls = ["http://a/%20b", "http://a/b%0Ac\nd", "plain", None]
+    folder = staging.new_path(spark, "warc")
+    warc.write_pages(spark.createDataFrame([(i, u, f"p{i}") for i, u in enumerate(urls)], "page_id long, url string, html string"), folder)
+    got = {r.record_id: r.target_uri for r in warc.read_warc(spark, folder).collect()}
+    assert got == {f"urn:x-page:{i}": u for i, u in enumerate(urls)}
+    assert {r.target_uri for r in warc.read_warc(spark, folder).where("target_uri like '%'").collect()} == set(urls) - {None}
+    raw = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: http://a/\xff\r\n folded\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (r,) = warc.parse(io.BytesIO(raw), lambda f: True, True)
+    assert r["target_uri"] == "http://a/\ufffd folded" and r["payload"] == b"abc"
+    with pytest.raises(ValueError, match="digest"):
+        list(warc.parse(io.BytesIO(raw), lambda f: True, True, verify=True))
