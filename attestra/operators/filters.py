@@ -46,7 +46,7 @@ def orient(facts: DataFrame, types: DataFrame, lanes: DataFrame) -> DataFrame:
 
     lanes: (predicate, from_type, to_type, symmetric). A fact with a value, of a symmetric relation or between ends of one type stays.
     """
-    t = lambda end: F.broadcast(types.select(F.col("designator").alias(end), F.col("type").alias(f"{end}_type")))
+    t = lambda end: types.select(F.col("designator").alias(end), F.col("type").alias(f"{end}_type"))
     met = facts.join(t("subject"), "subject", "left").join(t("object"), "object", "left").join(F.broadcast(lanes), "predicate", "left")
     fit = lambda a, b: F.coalesce((F.col(a) == F.col("from_type")).cast("int"), F.lit(0)) + F.coalesce((F.col(b) == F.col("to_type")).cast("int"), F.lit(0))
     fixed = F.col("has_value") | F.coalesce("symmetric", F.lit(False)) | F.coalesce(F.col("subject_type") == F.col("object_type"), F.lit(False))

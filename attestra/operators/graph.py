@@ -14,6 +14,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed and kept in the checkpoint folder, with its lineage cut."""
     spark: SparkSession = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     elif spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(os.fspath(spark.conf.get("spark.checkpoint.dir")))

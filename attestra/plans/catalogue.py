@@ -405,12 +405,16 @@ ns AS (SELECT supplier AS node, count(*) AS n_sole, bool_and(type = 'R') AS all_
 chokes AS (SELECT node, coalesce(n_sole, 0) AS n_sole, CASE WHEN n_sole IS NULL OR state = 'alternates' THEN 'none' WHEN NOT all_inferred AND (state = 'sole' OR s_nationkey < 5) THEN 'confirmed' ELSE 'candidate' END AS chokepoint FROM states2 LEFT JOIN ns USING (node))"""
 
 
-def _chokes(spark, d):
+def _states_of(spark, d):
     s = star.table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), "s_suppkey", "s_nationkey")
     best = s.groupBy("s_nationkey").agg(F.max(F.when(F.col("s_suppkey") % 2 == 1, F.col("s_suppkey"))).alias("m"))
     alternates = s.join(best, "s_nationkey").where("m > s_suppkey").select("node", F.concat(F.lit("s"), "m").alias("other"), F.lit(False).alias("denied"))
-    states = materiality.substitutability(s.select("node", (F.col("s_suppkey") % 4 == 0).alias("declared_sole")), alternates)
-    return materiality.chokepoints(materiality.sole_sources(_supply(spark, d)), states, s.where("s_nationkey < 5").select("node"))
+    return materiality.substitutability(s.select("node", (F.col("s_suppkey") % 4 == 0).alias("declared_sole")), alternates)
+
+
+def _chokes(spark, d):
+    s = star.table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), "s_nationkey")
+    return materiality.chokepoints(materiality.sole_sources(_supply(spark, d)), _states_of(spark, d), s.where("s_nationkey < 5").select("node"))
 
 
 @register(_CHOKES + " SELECT node, n_sole, chokepoint FROM chokes")
