@@ -1,15 +1,16 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax, both trained together in numpy.
 
 A word is the mean of the vectors of its character n-grams and of itself, each taken from a hashed table; a text is the mean of its
-words, each distinct one weighted by the square root of its count, so that no repeated word stands for the text; a linear layer and a softmax give the probability of label 1. Since a word never seen shares n-grams with those seen, a
-misspelling scores like what it imitates.
+words, each distinct one weighted by the square root of its count, so that no repeated word stands for the text; a linear layer and a
+softmax give the probability of label 1. Since a word never seen shares n-grams with those seen, a misspelling scores like what it
+imitates.
 
-Training takes TRAIN_ROWS labelled documents of each label at most, those whose doc_id has the smallest hashes, by Adagrad over single documents;
-labels are used for it alone. Every text is scored whole. As the layer is linear, a word's part in the score is one number, so a task
+Training takes TRAIN_ROWS labelled documents of each label at most, those whose doc_id has the smallest hashes, of texts up to
+TRAIN_BYTES, by Adagrad over single documents; labels are used for it alone. Every text is scored whole. As the layer is linear, a word's part in the score is one number, so a task
 computes it once for each distinct word of a piece of its texts.
 
 Defined cases: null and empty texts, and texts without words, get the trained bias alone; labels that are null, or of documents that
-don't exist, are passed over; a doc_id that repeats in labels counts as 1 if any of its rows does; without labelled rows every
+don't exist, are passed over; a doc_id that repeats in labels counts as 1 if any of its rows does, and of one that repeats in docs the smallest text is learned; without labelled rows every
 score is 0.5; further columns stay, but those named held_out, score or predicted are replaced.
 """
 
@@ -27,10 +28,13 @@ from attestra.llm.kernels import MULTIPLIER, U64, batches, distinct_spans, lower
 
 #: Of each label at most; the layer is set for the labels' shares among all labelled rows.
 TRAIN_ROWS = {1: 3000, 0: 5000}
-GRAMS = (4, 5)
+#: Longer texts aren't learned from, so that the driver holds TRAIN_ROWS times so much at most.
+TRAIN_BYTES = 32 << 10
+#: These and EPOCHS, RATE and MIN_DOCS were chosen by cross-validation among the labels that may be learned.
+GRAMS = (3, 4)
 BUCKET_BITS = 17
 DIMENSIONS = 8
-EPOCHS = 6
+EPOCHS = 10
 RATE = 1.0
 #: n-grams of fewer training documents keep a vector of zeros: they would only learn by heart.
 MIN_DOCS = 3
@@ -209,8 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = TRAIN_ROWS) -
     count = {r.toxic: r.n for r in there.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     of = [there.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in rows.items()]
     chosen = of[0].unionByName(of[1])
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(chosen), texts._id == chosen.doc_id).select("doc_id", "text", "toxic").orderBy("doc_id", "text").toArrow()  # of rows at most
+    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    met = texts.join(F.broadcast(chosen), texts._id == chosen.doc_id).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    got = met.orderBy("doc_id").toArrow()  # of rows and TRAIN_BYTES at most
     share = count.get(1, 0) / max(1, sum(count.values()))
     return ToxicityModel.train(((t.as_py() or "").encode() for t in got["text"]), got["toxic"].to_numpy().astype(np.int64), share)
 

@@ -366,3 +366,35 @@ def test_warc_urls_and_foreign_headers(spark):
     assert r["target_uri"] == "http://a/\ufffd folded" and r["payload"] == b"abc"
     with pytest.raises(ValueError, match="digest"):
         list(warc.parse(io.BytesIO(raw), lambda f: True, True, verify=True))
+
+
+def test_toxicity_scores_by_plain_sums(spark):
+    """The scorer against a slow one: each word's n-grams one by one, from the same table."""
+    rnd = random.Random(9)
+    words = ["Plain", "vile", "naïve", "it's", "a", "verylongwordwithmanyletters"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 60))) + rnd.choice(["", " 12", "\n"]) for _ in range(120)]
+    model = toxicity.ToxicityModel.train([t.encode() for t in texts], np.array([int("vile" in t) for t in texts]))
+    m, mul = (1 << 64) - 1, 0xD6E8FEB86659FD93
+
+    def mix(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & m
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & m
+        return h ^ h >> 31
+
+    def buckets(word):
+        padded = b" " + word + b" "
+        grams = [(padded[i : i + g], g) for g in toxicity.GRAMS for i in range(len(padded) - g + 1)] + [(padded, 99)]
+        return [mix(sum((c + 1) * pow(mul, i, 1 << 64) for i, c in enumerate(x)) + g & m) >> 64 - toxicity.BUCKET_BITS for x, g in grams]
+
+    def slow(text):
+        counts = collections.Counter(w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", text.encode()))
+        total = sum(np.sqrt(n) for n in counts.values())
+        z = sum(np.sqrt(n) / total * np.mean([model.odds[b] for b in buckets(w)]) for w, n in counts.items()) if counts else 0.0
+        return 1 / (1 + np.exp(-(z + float(model.bias[1] - model.bias[0]))))
+
+    some = [*texts[:20], "", "123"]
+    offsets = np.r_[0, np.cumsum([len(t.encode()) for t in some])]
+    got = model.score(np.frombuffer("".join(some).encode(), np.uint8), offsets)
+    assert np.allclose(got, [slow(t) for t in some], atol=1e-9)
