@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,11 +114,25 @@ def slug(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), "[^0-9a-z]+", "-"), F.lit("-"))
 
 
+def unescaped(x: Column) -> Column:
+    """x with entities as characters, each once: those that HTML 4 names, &apos;, decimal and hexadecimal ones. Others stay as they are."""
+    names = F.create_map(*[F.lit(v) for k, c in {**name2codepoint, "apos": 39}.items() for v in (k, chr(c))])
+
+    def one(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^&(#?[0-9A-Za-z]+);", 1)
+        digits, hexa = F.regexp_extract(name, r"^#(\d{1,7})$", 1), F.regexp_extract(name, "^#[xX]([0-9A-Fa-f]{1,6})$", 1)
+        code = F.coalesce(digits.try_cast("int"), F.conv(F.nullif(hexa, F.lit("")), 16, 10).try_cast("int"))
+        ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.coalesce(F.try_element_at(names, name), F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        return F.when(char.isNotNull(), F.concat(char, F.substr(piece, F.length(name) + 3))).otherwise(piece)
+
+    return F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(F.split(x, "(?=&)"), one), "")).otherwise(x)
+
+
 def html_text(html: Column) -> Column:
     """Visible text: script, style and head go, block tags break lines, blank runs collapse."""
     x = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|head)\b.*?</\1\s*>", "")
     x = F.regexp_replace(x, r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|nav|section|article|footer|header|body|html)\b[^>]*>", "\n")
     x = F.regexp_replace(x, r"<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(char))
+    x = F.replace(unescaped(x), F.lit("\u00a0"), F.lit(" "))
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\s*\n\s*", "\n"), F.lit(" \n"))

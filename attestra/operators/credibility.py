@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.config import DEFAULT, Settings
@@ -27,9 +27,9 @@ def reliability(source_type: Column, settings: Settings = DEFAULT) -> Column:
 
 def recycled(claims: DataFrame) -> DataFrame:
     """claims with first_seen: original for the first of a fingerprint, in order of event_date and id, else recycled."""
-    order = Window.partitionBy("fingerprint").orderBy(F.col("event_date").asc_nulls_last(), "claim_id")
-    seen = claims.where("fingerprint is not null").withColumn("first_seen", F.when(F.row_number().over(order) == 1, "original").otherwise("recycled"))
-    return seen.unionByName(claims.where("fingerprint is null").withColumn("first_seen", F.lit(None).cast("string")))
+    # the first is found on the map side, so that an image that many claims share is no single task's
+    first = claims.where("fingerprint is not null").groupBy("fingerprint").agg(F.min_by("claim_id", F.struct(F.col("event_date").isNull(), "event_date", "claim_id")).alias("_first"))
+    return claims.join(first, "fingerprint", "left").withColumn("first_seen", F.when(F.col("_first").isNotNull(), F.when(F.col("claim_id") == F.col("_first"), "original").otherwise("recycled"))).select(*claims.columns, "first_seen")
 
 
 def coordination_flag(claims: DataFrame, flagged_origins: DataFrame | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def coordination_flag(claims: DataFrame, flagged_origins: DataFrame | None = Non
     own = F.coalesce("coordination", F.when(F.col("coordinated"), "suspected"), F.lit("independent"))
     if flagged_origins is None:
         return claims.withColumn("coordination_flag", own)
-    return claims.join(F.broadcast(flagged_origins.select("origin", "flag")), "origin", "left").withColumn("coordination_flag", F.coalesce("flag", own)).drop("flag")
+    return claims.join(flagged_origins.select("origin", "flag"), "origin", "left").withColumn("coordination_flag", F.coalesce("flag", own)).drop("flag")
 
 
 def integrity(settings: Settings = DEFAULT) -> Column:

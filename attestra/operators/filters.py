@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.functions.text import normalise_name
+
 UNKNOWN = "UNKNOWN"
 
 
@@ -138,3 +142,61 @@ def sniff_format(text: Column) -> Column:
         test = hits >= 2
         out = F.when(test, name) if out is None else out.when(test, name)
     return out.otherwise("other")
+
+
+#: Families of source documents by what their text holds (in capitals) and by hints in the source's type.
+#: A family takes a document by two of its cues or by one decisive token, in this order.
+FAMILIES = {
+    "notam_navwarning": (("NOTAM", "NAVAREA", "NAVWARN", " RWY ", "AERODROME", "AIRAC", " WEF ", "Q) O", "ARP "), "NOTAM"),
+    "customs_gd_bol": (("GD NO", "B/L NO", "BILL OF LADING", "CONSIGNEE", "SHIPPER", "HS CODE", "PORT OF DISCHARGE", "DECLARED VALUE", "WEBOC", "MANIFEST"), "GD NO"),
+    "tender_procurement": (("TENDER", "BID ", "BIDDER", "ANNEXURE", "EARNEST MONEY", "EMD", "PROCUREMENT", "[REDACTED]", "ELIGIBILITY", "OEM"), None),
+    "social_post": (("HANDLE:", "STATUS URL", "FOLLOWERS", "@", "#", "REPOST", "RETWEET", "POSTED"), "STATUS URL"),
+    "imagery_geoint": (("WGS-84", "WGS84", "OFF-NADIR", "CENTROID", "REVETMENT", "PETAL/RING", "MULTI-PASS"), "GEOSPATIAL INTELLIGENCE"),
+}
+HINTS = {
+    "notam": ("notam", "navarea", "navwarn", "navigation-warning"),
+    "official": ("official", "press", "statement", "ispr", "pr-", "-pr", "govt"),
+    "trade": ("customs", "tender", "procurement", "weboc", "bol", "bill"),
+    "social": ("social", "twitter", "telegram", "forum", "handle"),
+    "satellite": ("satellite", "imagery", "geoint", "geospatial"),
+}
+
+
+def document_family(text: Column, source_type: Column) -> Column:
+    """Which family a document is of: the source's type narrows it, the text decides what is left; prose where nothing tells."""
+    up, hint = F.upper(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(source_type, F.lit("")))
+
+    def looks(family: str) -> Column:
+        cues, token = FAMILIES[family]
+        enough = sum((F.contains(up, F.lit(c)).cast("int") for c in cues), F.lit(0)) >= 2
+        return enough if token is None else enough | F.contains(up, F.lit(token))
+
+    def hinted(name: str) -> Column:
+        return functools.reduce(lambda a, b: a | b, [F.contains(hint, F.lit(w)) for w in HINTS[name]])
+
+    prose = F.lit("prose_claim")
+    out = F.when(hinted("notam"), "notam_navwarning").when(hinted("official"), F.when(looks("notam_navwarning"), "notam_navwarning").otherwise(prose))
+    out = out.when(hinted("trade"), F.when(~looks("customs_gd_bol") & looks("tender_procurement"), "tender_procurement").otherwise("customs_gd_bol"))
+    out = out.when(hinted("social"), "social_post").when(hinted("satellite"), "imagery_geoint")
+    for family in FAMILIES:
+        out = out.when(looks(family), family)
+    return out.otherwise(prose)
+
+
+def refined_type(node_type: Column, name: Column, refinements: list[tuple[str, str, tuple[str, ...], tuple[str, ...]]]) -> Column:
+    """The narrower type that a name earns: (type, base, last words, whole names), the first of the list that fits; else node_type."""
+    flat = normalise_name(name)
+    out = F.when(F.lit(False), node_type)
+    for narrow, base, heads, names in refinements:
+        named = flat.isin(*names) if names else F.lit(False)
+        head = F.element_at(F.split(flat, " "), -1).isin(*heads) if heads else F.lit(False)
+        out = out.when((node_type == base) & (flat != "") & (named | head), narrow)
+    return out.otherwise(node_type)
+
+
+def hard_identifier(node_type: Column, name: Column, patterns: dict[str, list[str]]) -> Column:
+    """The name where it is wholly a reference of the kind that its type declares, else null: a prose name states none."""
+    bare, out = F.trim(name), F.when(F.lit(False), name)
+    for t, rules in patterns.items():
+        out = out.when((node_type == t) & bare.rlike("^(?:" + "|".join(f"(?:{r})" for r in rules) + ")$"), bare)
+    return out

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.functions.geo import within_area
 from attestra.operators.filters import condition
 
 
@@ -26,23 +29,49 @@ def provenance() -> Column:
     return F.array_distinct(F.concat(F.coalesce("before_claim_ids", F.array().cast("array<string>")), "claim_ids"))
 
 
-def crossings(before: DataFrame, after: DataFrame, where_before: Column | None = None, where_after: Column | None = None) -> DataFrame:
+def gates(trigger: dict) -> Column | None:
+    """What a trigger's where_before, where_after and where_change ask of a wire before and after; None where it asks nothing.
+
+    Each is a list of {field, op, value}. Without a view before, where_before and where_change never hold. where_change asks that the
+    field differs and, where an op is given, tests the new value.
+    """
+    seen, tests = F.col("_w").isNotNull(), []
+    for c in trigger.get("where_after") or ():
+        tests.append(condition(F.col(c["field"]), c.get("op") or "exists", c.get("value")))
+    for c in trigger.get("where_before") or ():
+        tests.append(seen & condition(F.col(f"before_{c['field']}"), c.get("op") or "exists", c.get("value"), seen))
+    for c in trigger.get("where_change") or ():
+        tests.append(seen & ~F.col(f"before_{c['field']}").eqNullSafe(F.col(c["field"])))
+        if c.get("op"):
+            tests.append(condition(F.col(c["field"]), c["op"], c.get("value")))
+    return functools.reduce(lambda a, b: a & b, tests) if tests else None
+
+
+def crossings(before: DataFrame, after: DataFrame, gate: Column | None = None) -> DataFrame:
     """Wires whose known state differs: (wire, before_state, after_state, claim_ids). Views: (wire, state, claim_ids, ...)."""
     out = _met(before, after, "inner").where(F.col("before_state").isNotNull() & F.col("state").isNotNull() & (F.col("before_state") != F.col("state")))
-    for gate in (where_before, where_after):
-        out = out if gate is None else out.where(gate)
+    out = out if gate is None else out.where(gate)
     return out.select("wire", "before_state", F.col("state").alias("after_state"), provenance().alias("claim_ids"))
 
 
-def appearances(before: DataFrame, after: DataFrame) -> DataFrame:
+def fenced(view: DataFrame, lat: str, lon: str, center: tuple[float, float], km: float) -> DataFrame:
+    """view with state inside or outside of an area, null without coordinates: what crosses its border is a crossing of states."""
+    inside = within_area(F.col(lat), F.col(lon), center, km)
+    return view.withColumn("state", F.when(inside, "inside").when(~inside, "outside"))
+
+
+def appearances(before: DataFrame, after: DataFrame, gate: Column | None = None) -> DataFrame:
     """Wires that weren't there before."""
-    return after.join(before.select("wire"), "wire", "left_anti").select("wire", F.col("state").alias("after_state"), "claim_ids")
+    out = _met(before, after, "left").where("_w is null")
+    out = out if gate is None else out.where(gate)
+    return out.select("wire", F.col("state").alias("after_state"), "claim_ids")
 
 
-def matches(before: DataFrame, after: DataFrame, field: str, op: str, arg) -> DataFrame:
+def matches(before: DataFrame, after: DataFrame, field: str, op: str, arg, gate: Column | None = None) -> DataFrame:
     """Wires for which the condition holds now and didn't before."""
     was = F.coalesce(condition(F.col(f"before_{field}"), op, arg, F.col("_w").isNotNull()), F.lit(False))
-    return _met(before, after, "left").where(condition(F.col(field), op, arg) & ~was).select("wire", F.col(field).cast("string").alias("after_state"), provenance().alias("claim_ids"))
+    met = _met(before, after, "left").where(condition(F.col(field), op, arg) & ~was)
+    return (met if gate is None else met.where(gate)).select("wire", F.col(field).cast("string").alias("after_state"), provenance().alias("claim_ids"))
 
 
 def in_scope(alerts: DataFrame, scope: DataFrame | None, subject: str) -> DataFrame:
@@ -59,18 +88,25 @@ def compile_trigger(trigger: dict) -> tuple[str, list[str]]:
     return mode, sorted(set(trigger) - known)
 
 
-def evaluate(before: DataFrame | None, after: DataFrame, trigger: dict) -> DataFrame:
-    """(wire, before_state, after_state, claim_ids) of a trigger; a first view raises nothing, nor does an armed one."""
+def evaluate(before: DataFrame | None, after: DataFrame, trigger: dict, scope: DataFrame | None = None) -> DataFrame:
+    """(wire, before_state, after_state, claim_ids) of a trigger; a first view raises nothing, nor does an armed one.
+
+    The trigger's gates must hold for each wire. scope: (node), the wires that may raise alerts; None lets all through.
+    """
+    return in_scope(_fired(before, after, trigger), scope, "wire")
+
+
+def _fired(before: DataFrame | None, after: DataFrame, trigger: dict) -> DataFrame:
     mode, _ = compile_trigger(trigger)
+    gate = gates(trigger)
     empty = after.where("false").select("wire", F.lit(None).cast("string").alias("before_state"), F.col("state").alias("after_state"), "claim_ids")
     if before is None or mode == "armed":
         return empty
     if mode == "crossing":
-        return crossings(before, after)
-    # an element that is new has no state before, so a gate on that never opens
+        return crossings(before, after, gate)
     if mode == "exists":
-        return empty if trigger.get("where_before") or trigger.get("where_change") else empty.unionByName(appearances(before, after), allowMissingColumns=True)
-    return empty.unionByName(matches(before, after, trigger.get("state_field", "state"), trigger["op"], trigger.get("value")), allowMissingColumns=True)
+        return empty.unionByName(appearances(before, after, gate), allowMissingColumns=True)
+    return empty.unionByName(matches(before, after, trigger.get("state_field", "state"), trigger["op"], trigger.get("value"), gate), allowMissingColumns=True)
 
 
 def disposition_stats(dispositions: DataFrame) -> DataFrame:

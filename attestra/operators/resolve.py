@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.config import DEFAULT, Settings
-from attestra.functions.geo import haversine_km
+from attestra.functions.geo import EARTH_KM, haversine_km
 from attestra.functions.text import acronym, contains_name, name_similarity, tokens
 from attestra.operators.graph import components
 
@@ -133,6 +134,60 @@ def identifier_conflicts(entities: DataFrame) -> DataFrame:
     return x.select(F.col("id").alias("a"), "type", "name", F.col("ident").alias("ia")).join(x.select(F.col("id").alias("b"), "type", "name", F.col("ident").alias("ib")), ["type", "name"]).where("a < b and ia <> ib").select("a", "b")
 
 
+def identifier_vetoes(pairs: DataFrame, idents: DataFrame) -> DataFrame:
+    """Of candidate pairs (a, b) those of one type that state different hard identifiers. idents: (id, type, ident), ident null: none stated.
+
+    Only candidates are looked at: all pairs of a type that differ are as many as its square, and no other pair could merge.
+    """
+    x = idents.where("ident is not null")
+    met = pairs.join(x.select(F.col("id").alias("a"), F.col("type").alias("ta"), F.col("ident").alias("ia")), "a")
+    return met.join(x.select(F.col("id").alias("b"), F.col("type").alias("tb"), F.col("ident").alias("ib")), "b").where("ta = tb and ia <> ib").select("a", "b").distinct()
+
+
+def identifier_classes(idents: DataFrame) -> DataFrame:
+    """(type, ident, n, barred): each hard identifier's members, and how many of its type it can never be one with."""
+    n = idents.where("ident is not null").groupBy("type", "ident").agg(F.count("*").alias("n"))
+    return n.join(n.groupBy("type").agg(F.sum("n").alias("all")), "type").select("type", "ident", "n", (F.col("all") - F.col("n")).alias("barred"))
+
+
+def geo_conflict_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, tolerance: Column) -> Column:
+    """How far two stated positions lie apart where that is too far for one thing, else null; so too without a position or a tolerance."""
+    km = haversine_km(lat1, lon1, lat2, lon2)
+    return F.when(km > tolerance, km)
+
+
+def hard_conflict(type_a: Column, type_b: Column, attributes: list[tuple[Column, Column]], numbers: list[tuple[Column, Column, float]], apart_km: Column) -> Column:
+    """Whether two entities can't be one: types differ, positions are too far apart, or a stated attribute or number contradicts.
+
+    What only one side states is no conflict.
+    """
+    tests = [~type_a.eqNullSafe(type_b), apart_km.isNotNull(), *[a != b for a, b in attributes], *[numeric_conflict(a, b, t) for a, b, t in numbers]]
+    out = F.lit(False)
+    for t in tests:
+        out = out | F.coalesce(t, F.lit(False))
+    return out
+
+
+def unmoved_neighbours(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) with relocated, shared and either of their neighbours but for those of instances in which both are the same end.
+
+    edges: (predicate, subject, object, instance). Two sites of one instance are where something was and is, so it tells nothing about
+    the sites being one: those edges are left out for that pair, and relocated says so.
+    """
+    ends = edges.select("instance", F.col("subject").alias("id"), F.lit("s").alias("end")).unionByName(edges.select("instance", F.col("object").alias("id"), F.lit("o").alias("end"))).where("instance is not null").distinct()
+    mine = pairs.select("a", "b").distinct()
+    co = mine.join(ends.withColumnRenamed("id", "a"), "a").join(ends.withColumnRenamed("id", "b"), ["b", "instance", "end"]).select("a", "b", "instance").distinct()
+    n = edges.select(F.col("subject").alias("id"), F.concat_ws(">", "predicate", F.lit("out"), "object").alias("n"), "instance").unionByName(edges.select(F.col("object").alias("id"), F.concat_ws(">", "predicate", F.lit("in"), "subject").alias("n"), "instance")).distinct()
+
+    def of(side: str) -> DataFrame:
+        return mine.join(n.withColumnRenamed("id", side), side).join(co, ["a", "b", "instance"], "left_anti").select("a", "b", "n", F.lit(side).alias("side"))
+
+    sides = of("a").unionByName(of("b")).groupBy("a", "b", "n").agg(F.countDistinct("side").alias("sides"))
+    met = sides.groupBy("a", "b").agg(F.count(F.when(F.col("sides") == 2, 1)).alias("shared"), F.count("*").alias("either"))
+    moved = co.select("a", "b").distinct().withColumn("moved", F.lit(True))
+    return mine.join(moved, ["a", "b"], "left").join(met, ["a", "b"], "left").select("a", "b", F.coalesce("moved", F.lit(False)).alias("relocated"), F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("either", F.lit(0)).alias("either"))
+
+
 def numeric_conflict(a: Column, b: Column, tolerance: float) -> Column:
     top = F.greatest(F.abs(a), F.abs(b))
     return F.when(top > 0, F.abs(a - b) / top > tolerance).otherwise(F.lit(False))
@@ -141,18 +196,24 @@ def numeric_conflict(a: Column, b: Column, tolerance: float) -> Column:
 def match_places(sites: DataFrame, places: DataFrame, radius_km: float) -> DataFrame:
     """(id, place, via, distance_km, band) of sites (id, code, toponym, lat, lon).
 
-    places: (place, code, toponym, lat, lon, ord), a short list: by code, else toponym, of several the first; else the nearest within
-    three radii, near within one. The list is looked up by distance, so it has to be small; Spark broadcasts it while it is.
+    places: (place, code, toponym, lat, lon, ord): by code, else toponym, of several the first; else the nearest within three radii,
+    near within one. Sites and places meet in cells of latitude and longitude, so neither side meets a whole belt of the other.
     """
     p = places.select("place", F.col("code").alias("pc"), F.col("toponym").alias("pt"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), "ord")
     code = sites.join(p, F.col("code") == F.col("pc")).groupBy("id").agg(F.min_by("place", "ord").alias("by_code"))
     name = sites.join(p, F.col("toponym") == F.col("pt")).groupBy("id").agg(F.min_by("place", "ord").alias("by_name"))
-    # cells of at least three radii: a place within reach lies in the site's cell or a neighbour of it
+    # cells of at least three radii: a place within reach lies in the site's cell or a neighbour of it, across 180 degrees too
     step = max(radius_km * 3 / 111.0, 1e-6)
     cell = lambda c: F.floor(c / step).cast("int")
-    near = p.withColumn("cy", F.explode(F.sequence(cell(F.col("plat")) - 1, cell(F.col("plat")) + 1)))
-    s = sites.where("lat is not null and lon is not null").withColumn("cy", cell(F.col("lat")))
-    d = s.join(near, "cy").withColumn("distance_km", haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).where(F.col("distance_km") <= 3 * radius_km)
+    far = F.greatest(F.abs(F.col("cy") - 1), F.abs(F.col("cy") + 2)) * step
+    span = F.degrees(2 * F.asin(F.least(F.lit(1.0), math.sin(min(radius_km * 3 / (2 * EARTH_KM), math.pi / 2)) / F.cos(F.radians(F.least(far, F.lit(89.9)))))))
+    n = F.when(far >= 89.9, 1).otherwise(F.greatest(F.lit(1), F.floor(360.0 / F.greatest(span, F.lit(1e-6))).cast("int")))
+    cx = lambda lon: F.floor(F.pmod(lon + 180.0, F.lit(360.0)) * F.col("n") / 360.0).cast("int")
+    near = p.withColumn("cy", F.explode(F.sequence(cell(F.col("plat")) - 1, cell(F.col("plat")) + 1))).withColumn("n", n)
+    beside = F.array_distinct(F.array(*[F.pmod(cx(F.col("plon")) + i, F.col("n")) for i in (-1, 0, 1)]))
+    near = near.withColumn("cx", F.explode(beside)).drop("n")
+    s = sites.where("lat is not null and lon is not null").withColumn("cy", cell(F.col("lat"))).withColumn("n", n).withColumn("cx", F.pmod(cx(F.col("lon")), F.col("n"))).drop("n")
+    d = s.join(near, ["cy", "cx"]).withColumn("distance_km", haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).where(F.col("distance_km") <= 3 * radius_km)
     best = d.groupBy("id").agg(F.min(F.struct("distance_km", "ord", "place")).alias("n"))
     met = sites.join(code, "id", "left").join(name, "id", "left").join(best, "id", "left")
     via = F.when(F.col("by_code").isNotNull(), "code").when(F.col("by_name").isNotNull(), "toponym").when(F.col("n").isNotNull(), "proximity")

@@ -110,24 +110,26 @@ def claims_replay_order(spark, d):
 _RETRACTIONS = "(SELECT DISTINCT 'e:' || subject || ':' || predicate || ':' || object AS element_id, report_date FROM claims WHERE kind = 'retraction')"
 
 
-@register(" SELECT predicate, count(*) AS n, min(claim_id) AS first_id, max(claim_id) AS last_id FROM claims WHERE kind <> 'retraction' AND claim_id NOT IN (SELECT min(claim_id) FROM claims GROUP BY element_id HAVING bool_or(kind = 'retraction')) GROUP BY 1")
+@register(" SELECT claim_id, element_id, kind FROM claims WHERE kind <> 'retraction' AND claim_id NOT IN (SELECT min(claim_id) FROM claims GROUP BY element_id HAVING bool_or(kind = 'retraction'))")
 def retraction_filter(spark, d):
     c = star.claims(spark, d)
     targets = c.groupBy("element_id").agg(F.min("claim_id").alias("target"), F.max(F.col("kind") == "retraction").alias("r")).where("r")
-    return filters.drop_retracted(c, targets).groupBy("predicate").agg(F.count("*").alias("n"), F.min("claim_id").alias("first_id"), F.max("claim_id").alias("last_id"))
+    return filters.drop_retracted(c, targets).select("claim_id", "element_id", "kind")
 
 
-@register(" SELECT predicate, count(*) AS n FROM claims WHERE orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0) GROUP BY 1")
+@register(" SELECT claim_id, orderkey FROM claims WHERE orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0)")
 def hitl_exclusion(spark, d):
     c = star.claims(spark, d)
     bad = star.table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderkey % 2 = 0")
     decisions = c.join(bad, c.orderkey == bad.o_orderkey, "left_semi").groupBy("orderkey").agg(F.collect_list("claim_id").alias("exclude_claims"))
-    return filters.drop_excluded(c, decisions).groupBy("predicate").agg(F.count("*").alias("n"))
+    return filters.drop_excluded(c, decisions).select("claim_id", "orderkey")
 
 
-@register(" SELECT predicate, count(*) AS n, max(report_date) AS latest FROM claims WHERE report_date IS NULL OR report_date <= DATE '1999-06-30' GROUP BY 1")
+@register(" , dated AS (SELECT claim_id, CASE WHEN orderkey % 13 <> 0 THEN report_date END AS report_date FROM claims) SELECT * FROM dated WHERE report_date IS NULL OR report_date <= DATE '1999-06-30'")
 def asof_rewind(spark, d):
-    return filters.as_of(star.claims(spark, d), "1999-06-30").groupBy("predicate").agg(F.count("*").alias("n"), F.max("report_date").alias("latest"))
+    # some without a date, which stay
+    dated = star.claims(spark, d).select("claim_id", F.when(F.col("orderkey") % 13 != 0, F.col("report_date")).alias("report_date"))
+    return filters.as_of(dated, "1999-06-30")
 
 
 _LANES = [("supplies", "part", "region", False), ("equips", "region", "part", False), ("maintains", "part", "part", True)]
@@ -217,11 +219,11 @@ def integrity_product(spark, d):
 
 
 @register(""" , flagged AS (SELECT 'o' || k AS origin, 'cleared' AS flag FROM range(0, 3) AS r(k))
-SELECT coalesce(flag, coordination, CASE WHEN coordinated THEN 'suspected' END, 'independent') AS coordination_flag, count(*) AS n FROM claims JOIN sources USING (source_id) LEFT JOIN flagged USING (origin) GROUP BY 1""")
+SELECT claim_id, coalesce(flag, coordination, CASE WHEN coordinated THEN 'suspected' END, 'independent') AS coordination_flag FROM claims JOIN sources USING (source_id) LEFT JOIN flagged USING (origin)""")
 def coord_flag_precedence(spark, d):
     flagged = spark.createDataFrame([(f"o{k}", "cleared") for k in range(3)], "origin string, flag string")
     met = star.claims(spark, d).join(star.sources(spark, d), "source_id")
-    return credibility.coordination_flag(met, flagged).groupBy("coordination_flag").agg(F.count("*").alias("n"))
+    return credibility.coordination_flag(met, flagged).select("claim_id", "coordination_flag")
 
 
 @register(SCORED + " SELECT claim_id, round(decay, 6) AS decay FROM scored")
@@ -229,10 +231,10 @@ def freshness_decay(spark, d):
     return star.claims(spark, d).select("claim_id", F.round(credibility.decay(), 6).alias("decay"))
 
 
-@register(f" SELECT predicate, {_case('predicate', _LIFE)} AS half_life_days, CASE predicate WHEN 'equips' THEN 'slow' END AS assumed_class, count(*) AS n FROM claims GROUP BY ALL")
+@register(f" SELECT claim_id, predicate, {_case('predicate', _LIFE)} AS half_life_days, CASE predicate WHEN 'equips' THEN 'slow' END AS assumed_class FROM claims")
 def half_life_ladder(spark, d):
     days, cls = credibility.half_life(F.col("predicate"))
-    return star.claims(spark, d).select("predicate", days.alias("half_life_days"), cls.alias("assumed_class")).groupBy("predicate", "half_life_days", "assumed_class").agg(F.count("*").alias("n"))
+    return star.claims(spark, d).select("claim_id", "predicate", days.alias("half_life_days"), cls.alias("assumed_class"))
 
 
 @register(SCORED + FRESH + " SELECT element_id, last_support, half_life_days, round(decay_factor, 6) AS decay_factor, aging, stale FROM fresh")
@@ -248,10 +250,9 @@ def claim_credibility(spark, d):
 # -- independence and status
 
 
-@register(GROUPS + " SELECT k AS key_kind, count(*) AS n, count(DISTINCT claim_id) AS n_claims FROM (SELECT split_part(k, ':', 1) AS k, claim_id FROM keys) GROUP BY 1")
+@register(GROUPS + " SELECT element_id, claim_id, k AS key FROM keys")
 def independence_keys(spark, d):
-    keys = assessment.claim_keys(_scored(spark, d)).withColumn("key_kind", F.split("key", ":")[0])
-    return keys.groupBy("key_kind").agg(F.count("*").alias("n"), F.countDistinct("claim_id").alias("n_claims"))
+    return assessment.claim_keys(_scored(spark, d)).select("element_id", "claim_id", "key").distinct()
 
 
 def _groups(spark, d):
@@ -647,7 +648,7 @@ def date_label_bounds(spark, d):
     return star.table(spark, d, "orders").select(label.alias("label")).distinct().select("label", dates.label_bounds(F.col("label")).alias("b")).select("label", "b.lo", "b.hi")
 
 
-@register("SELECT o_orderkey, (CASE o_orderkey % 3 WHEN 0 THEN o_orderdate::DATE - (o_orderkey % 20)::INTEGER WHEN 1 THEN (date_trunc('month', o_orderdate) - INTERVAL 1 MONTH)::DATE ELSE (date_trunc('week', o_orderdate) - INTERVAL 7 DAY)::DATE END)::DATE AS lo, (CASE o_orderkey % 3 WHEN 0 THEN o_orderdate::DATE - (o_orderkey % 20)::INTEGER WHEN 1 THEN (date_trunc('month', o_orderdate) - INTERVAL 1 DAY)::DATE ELSE (date_trunc('week', o_orderdate) - INTERVAL 1 DAY)::DATE END)::DATE AS hi FROM orders", base=False)
+@register("SELECT o_orderkey, (CASE o_orderkey % 3 WHEN 0 THEN o_orderdate::DATE - (o_orderkey % 20)::INTEGER WHEN 1 THEN (date_trunc('month', o_orderdate) - INTERVAL 1 MONTH)::DATE ELSE o_orderdate::DATE - 13 END)::DATE AS lo, (CASE o_orderkey % 3 WHEN 0 THEN o_orderdate::DATE - (o_orderkey % 20)::INTEGER WHEN 1 THEN (date_trunc('month', o_orderdate) - INTERVAL 1 DAY)::DATE ELSE o_orderdate::DATE - 7 END)::DATE AS hi FROM orders", base=False)
 def date_relative(spark, d):
     k = F.col("o_orderkey")
     phrase = F.when(k % 3 == 0, F.concat((k % 20).cast("string"), F.lit(" days ago"))).when(k % 3 == 1, "last month").otherwise("last week")
@@ -704,10 +705,20 @@ def html_to_text(spark, d):
     return star.table(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
 
-@register()
+_TERMS = ["the", "oration", "license"]
+_BM25 = (
+    "WITH docs AS (SELECT doc_id AS id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^0-9a-zÀ-ɏ一-鿿Ѐ-ӿ؀-ۿऀ-ॿ]+', ' ', 'g'), ' '), lambda x: x <> '') AS ts FROM documents), "
+    "s AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM docs), q AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in _TERMS) + "]) AS term), "
+    "df AS (SELECT term, (SELECT count(*) FROM docs WHERE list_contains(ts, term)) AS df FROM q), "
+    "tf AS (SELECT id, len(ts) AS size, term, len(list_filter(ts, lambda x: x = term)) AS tf FROM docs, q) "
+    "SELECT id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))), 6) AS score FROM tf JOIN df USING (term), s WHERE tf > 0 GROUP BY id"
+)
+
+
+@register(_BM25, base=False)
 def bm25_rank(spark, d):
     docs = star.table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.tokens(text.normalise_name(F.coalesce("text", F.lit("")))).alias("tokens"))
-    return text.bm25(docs, ["the", "oration", "license"]).withColumn("score", F.round("score", 6))
+    return text.bm25(docs, _TERMS).withColumn("score", F.round("score", 6))
 
 
 @register("SELECT doc_id, page, (floor((page - 1) / 8))::INTEGER AS \"window\" FROM (SELECT doc_id, range(1, n_chars // 3000 + 2) AS ps FROM documents), unnest(ps) AS u(page)".replace("unnest(ps) AS u(page)", "LATERAL (SELECT unnest(ps)::INTEGER AS page)"), base=False)
@@ -756,10 +767,10 @@ def disposition_stats(spark, d):
     return monitor.disposition_stats(e).withColumn("noise_rate", F.round("noise_rate", 6))
 
 
-@register("SELECT l_returnflag, count(*) FILTER (NOT coalesce(l_quantity / 50 >= 0.85 AND m < 0.5 AND l_tax < 0.5, false)) AS n FROM (SELECT *, CASE WHEN l_linenumber <> 3 THEN l_discount * 8 END AS m FROM lineitem) GROUP BY 1", base=False)
+@register("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, NOT coalesce(l_quantity / 50 >= 0.85 AND m < 0.5 AND l_tax < 0.5, false) AS escalates FROM (SELECT *, CASE WHEN l_linenumber <> 3 THEN l_discount * 8 END AS m FROM lineitem)", base=False)
 def triage_escalation(spark, d):
     e = review.escalates(F.col("l_quantity") / 50, F.when(F.col("l_linenumber") != 3, F.col("l_discount") * 8), F.col("l_tax"))
-    return star.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.when(e, 1)).alias("n"))
+    return star.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", e.alias("escalates"))
 
 
 @register("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n FROM events GROUP BY ALL", base=False)

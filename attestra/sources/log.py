@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestra.operators.graph import checkpointed
+
 
 class ClaimLog:
     """A Parquet table (seq, record_id, payload) at path."""
@@ -14,18 +16,25 @@ class ClaimLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def append(self, records: DataFrame) -> int:
-        """Add records (record_id, payload) in order of record_id, once each, and return the last seq.
+    def append(self, records: DataFrame, arrival: list[str] | None = None) -> int:
+        """Add records (record_id, payload, the columns of arrival), once each, and return the last seq.
 
-        Record ids that are there already are left out, so a bundle can be sent again.
+        seq follows arrival, by default the record ids; of several records of one id the first stays. Record ids that are there already
+        are left out, so a bundle can be sent again. One writer at a time: two would take the same numbers.
         """
+        order = [*(arrival or []), "record_id"]
         old = self._old()
         top = old.agg(F.max("seq").alias("m")).first().m if old is not None else None
-        new = records.groupBy("record_id").agg(F.min("payload").alias("payload"))
+        new = records.groupBy("record_id").agg(F.min(F.struct(*(arrival or []), "payload")).alias("r")).select("record_id", "r.*")
         if old is not None:
             new = new.join(old.select("record_id"), "record_id", "left_anti")
         start = 0 if top is None else top
-        ranked = new.rdd.map(tuple).sortByKey().zipWithIndex().map(lambda x: (x[1] + start + 1, *x[0])).toDF("seq long, record_id string, payload string")
+        # ranges are numbered each on its own, on top of the counts of those before; staged, so that a range stays what was counted
+        dealt = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        dealt = checkpointed(dealt.select("record_id", "payload", F.shiftright("_at", 33).alias("_part"), F.expr("_at & 8589934591L").alias("_at")))
+        counts = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+        before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+        ranked = dealt.join(before, "_part").select((F.col("_before") + F.col("_at") + start + 1).alias("seq"), "record_id", "payload")
         ranked.write.mode("append").parquet(self.path)
         return self.scan().agg(F.max("seq").alias("m")).first().m or 0
 
