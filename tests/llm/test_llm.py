@@ -389,12 +389,60 @@ def test_toxicity_scores_by_plain_sums(spark):
         return [mix(sum((c + 1) * pow(mul, i, 1 << 64) for i, c in enumerate(x)) + g & m) >> 64 - toxicity.BUCKET_BITS for x, g in grams]
 
     def slow(text):
-        counts = collections.Counter(w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", text.encode()))
-        total = sum(np.sqrt(n) for n in counts.values())
-        z = sum(np.sqrt(n) / total * np.mean([model.odds[b] for b in buckets(w)]) for w, n in counts.items()) if counts else 0.0
+        found = [np.mean([model.odds[b] for b in buckets(w.lower())]) for w in re.findall(rb"[A-Za-z\x80-\xff]+", text.encode())]
+        n = toxicity.PASSAGE
+        z = max([np.mean(found[i : i + n]) for i in range(0, len(found), n)], default=0.0)
         return 1 / (1 + np.exp(-(z + float(model.bias[1] - model.bias[0]))))
 
     some = [*texts[:20], "", "123"]
     offsets = np.r_[0, np.cumsum([len(t.encode()) for t in some])]
     got = model.score(np.frombuffer("".join(some).encode(), np.uint8), offsets)
     assert np.allclose(got, [slow(t) for t in some], atol=1e-9)
+
+
+def _noisy(rnd, n, positives):
+    """Texts of common words; positives of them have a word that clean ones lack, and one label in twelve is wrong."""
+    rows, toxic = [], []
+    for i in range(n):
+        bad = i % (n // positives) == 0 if positives else False
+        words = [rnd.choice(["plain", "word", "other", "thing", "stone", "river"]) + rnd.choice(["", "s", "ing"]) for _ in range(rnd.randrange(5, 200))]
+        rows.append((" ".join(words[:3] + (["vilename"] if bad else []) + words[3:])).encode())
+        toxic.append(int(bad) ^ (rnd.random() < 1 / 12))
+    return rows, np.array(toxic)
+
+
+def test_toxicity_is_trained_on_hard_labels():
+    rnd = random.Random(3)
+    clean, bad = b"plain word other thing " * 50, b"plain word other thing " * 50 + b"vilename stones"
+
+    def scores(model, *texts):
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        return model.score(data, np.r_[0, np.cumsum([len(t) for t in texts])])
+
+    texts, labels = _noisy(rnd, 600, 150)
+    low, high, none = scores(toxicity.ToxicityModel.train(texts, labels), clean, bad, b"")
+    assert low < 0.4 < 0.6 < high and 0 < none < high
+    # five positives of sixty, then a part of one kind alone: neither all nor none toxic, never constant
+    for positives in (5, 2):
+        labels = np.zeros(60, np.int64)
+        labels[: positives * 12 : 12] = 1
+        texts = [b"plain word other thing %d" % i + (b" vilename" if labels[i] else b"") for i in range(60)]
+        low, high = scores(toxicity.ToxicityModel.train(texts, labels), clean, bad)
+        assert low < 0.5 and high >= low
+    for kind in (0, 1):
+        low, high = scores(toxicity.ToxicityModel.train(texts, np.full(60, kind)), clean, bad)
+        assert (low > 0.5) == (high > 0.5) == bool(kind)
+    assert scores(toxicity.ToxicityModel.train([], np.zeros(0, np.int64)), clean)[0] == 0.5
+
+
+def test_toxicity_calibration_never_raises_the_loss():
+    rnd = np.random.default_rng(4)
+    for n, ones in ((57, 5), (57, 1), (400, 200), (30, 29)):
+        y = (np.arange(n) < ones).astype(np.int64)
+        for scale in (0.01, 1, 50):
+            z = scale * (rnd.normal(0, 1, n) + y)
+            loss = lambda a, b: (np.logaddexp(0, a * z + b) - y * (a * z + b)).sum() + 0.5 * ((a - 1) ** 2 + b**2)
+            a, b = toxicity.calibrated(z, y, np.ones(n))
+            assert a >= 0.05 and (loss(a, b) <= loss(1, 0) or a == 0.05)
+            # no point nearby is better
+            assert all(loss(max(0.05, a + da), b + db) >= loss(a, b) - 1e-6 for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
