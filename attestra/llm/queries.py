@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, chat, decontaminate, fingerprints, jaccard_join, line_dedup, staging, token_binary, toxicity, url_filter, warc
+from attestra.llm import bpe, chat, decontaminate, fingerprints, jaccard_join, line_dedup, manifest, mixing, runs, staging, token_binary, toxicity, url_filter, warc
 
 #: Fixed values of the url rules: host, path, verdict.
 URL_RULES = (
@@ -131,6 +131,134 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(spark, path)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text), where a tenth of the ids, by their hash, repeat the words of a text from one word on in turn."""
+    h, n, a, p = F.col("_h"), F.col("_n"), F.col("_a"), F.col("_p")
+    d = docs.withColumn("_h", F.crc32(F.col("doc_id").cast("string")))
+    d = d.withColumn("_w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(runs.WORDS), F.lit(0)))).withColumn("_n", F.size("_w").cast("long")).withColumn("_g", F.floor(h / 10))
+    d = d.withColumn("_a", (F.col("_g") % F.greatest(n, F.lit(1))).cast("int")).withColumn("_p", F.floor(1 + (n - a) / (3 + F.col("_g") % 8)).cast("int"))
+    unit = F.slice("_w", a + 1, F.greatest(p, F.lit(1)))
+    again = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - a) / F.greatest(p, F.lit(1))).cast("int"))), F.lit(1), (n - a).cast("int"))
+    return d.select("doc_id", F.when(n > 0, F.array_join(F.concat(F.slice("_w", F.lit(1), a), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.collapse_runs(with_planted_runs(_read(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("top", runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    top = [F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")]
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *top, F.expr("1000 * top.length div top.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+#: crc32 of a decimal id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+#: Every earlier occurrence of a word within a quarter of its text is a row of its lag here.
+SQL_OP11 = f"""
+WITH split AS (SELECT doc_id, {_WORDS} AS w, coalesce({_CRC}, 1) AS h FROM documents
+), marked AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split
+), turned AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM marked
+), words AS MATERIALIZED (
+  SELECT doc_id, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS word FROM (SELECT *, unnest(range(0, n)) AS i FROM turned)
+), steps AS (
+  SELECT doc_id, lag, i, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island
+  FROM (SELECT x.doc_id, x.i - y.i AS lag, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i < x.i AND x.i - y.i <= x.n // 4)
+), stretches AS (
+  SELECT doc_id, lag, min(i) - lag AS start, count(*) + lag AS length FROM steps GROUP BY doc_id, lag, island HAVING count(*) + lag >= greatest(6, 4 * lag)
+), runs AS (SELECT doc_id, start, length, min(lag) AS period FROM stretches GROUP BY ALL
+), said AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY 1
+), best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM documents LEFT JOIN said USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix_sources(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL_OP12 = f"""
+WITH sized AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('12:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key FROM documents
+), sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1
+), weighed AS (SELECT *, 3 * source_size AS most, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM sources
+), ordered AS (
+  SELECT *, row_number() OVER o AS place, sum(source_size) OVER ()::BIGINT - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS words_left,
+    sum(weight) OVER ()::BIGINT - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS weight_left
+  FROM weighed WINDOW o AS (ORDER BY most / weight, source NULLS LAST)
+), reached AS (SELECT coalesce(arg_min(words_left / weight_left, place), 0.0) AS level FROM ordered WHERE most / weight > words_left / weight_left
+), targets AS (SELECT source, source_size, least(most::DOUBLE, level * weight) AS target FROM weighed, reached
+), placed AS (
+  SELECT doc_id, size, source_size, target, floor(target)::BIGINT AS budget, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN source_size > 0 THEN budget // source_size * size + greatest(0, least(size, budget - budget // source_size * source_size - before)) ELSE 0 END)::BIGINT AS taken
+FROM placed
+"""
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    made = manifest.build(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", ["doc_id"], other={"text": tampered})
+    return manifest.prove(made).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+_LEVELS = 6
+
+
+def _said(field: str) -> str:
+    return f"coalesce(octet_length(encode({field}::VARCHAR)) || ':' || {field}::VARCHAR, '-')"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Levels of the trees of leaves (tree, j, d, n): name0 to name{_LEVELS}, with what stands before and after a node in its run."""
+    out = f"{name}0 AS MATERIALIZED ({leaves})"
+    for i in range(_LEVELS):
+        out += f""", {name}r{i} AS MATERIALIZED (
+  SELECT tree, j // 16 AS j, n, list(d ORDER BY j) AS run FROM {name}{i} GROUP BY tree, j // 16, n
+), {name}{i + 1} AS MATERIALIZED (SELECT tree, j, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS d, (n + 15) // 16 AS n FROM {name}r{i})"""
+    return out
+
+
+def _way_sql(given: str, name: str, tree: str, number: str) -> str:
+    """given with proof and folded carried up the levels of name."""
+    out, last = "", given
+    for i in range(_LEVELS):
+        k = f"g.{number} // {16**i} % 16"
+        out += f""", {name}w{i} AS (
+  SELECT g.* EXCLUDE (proof, folded), CASE WHEN r.n = 1 THEN proof ELSE proof || array_to_string(run[:{k}], '') || array_to_string(run[{k} + 2:], '') END AS proof,
+    CASE WHEN r.n = 1 THEN folded ELSE sha256(array_to_string(run[:{k}], '') || folded || array_to_string(run[{k} + 2:], '')) END AS folded
+  FROM {last} g JOIN {name}r{i} r ON r.tree = {tree} AND r.j = g.{number} // {16 ** (i + 1)})"""
+        last = f"{name}w{i}"
+    return out
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FIELDS = ("doc_id", "source", "lang", "n_chars")
+_HEAD = " || ".join(map(_said, _FIELDS))
+
+#: Trees of up to 16 ** _LEVELS leaves.
+SQL_OP13 = f"""
+WITH hashed AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS tree, sha256({_HEAD} || {_said('text')}) AS leaf,
+    CASE WHEN {_CRC} % 5 = 0 THEN sha256({_HEAD} || {_said(_LOWER)}) END AS other
+  FROM documents
+), numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS j, count(*) OVER (PARTITION BY tree) AS n FROM hashed
+), {_tree_sql('t', 'SELECT tree, j, leaf AS d, n FROM numbered')}
+, subroots AS MATERIALIZED (SELECT tree, d AS subroot, row_number() OVER (ORDER BY tree) - 1 AS turn, count(*) OVER () AS n FROM t{_LEVELS}
+), {_tree_sql('s', "SELECT 'all' AS tree, turn AS j, subroot AS d, n FROM subroots")}
+, begun AS (SELECT doc_id, leaf, m.tree, j, subroot, turn, '' AS proof, coalesce(other, leaf) AS folded FROM numbered m JOIN subroots USING (tree))
+{_way_sql('begun', 't', 'g.tree', 'j')}
+{_way_sql(f'tw{_LEVELS - 1}', 's', "'all'", 'turn')}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM sw{_LEVELS - 1}, (SELECT d AS root FROM s{_LEVELS})
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -142,9 +270,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": op10_warc,
+    "op11_runs": op11_runs,
+    "op12_mixing": op12_mixing,
+    "op13_manifest": op13_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": SQL_OP4,
     "op7_decontamination": SQL_OP7,
     "op8_url_filter": SQL_OP8,
+    "op11_runs": SQL_OP11,
+    "op12_mixing": SQL_OP12,
+    "op13_manifest": SQL_OP13,
 }
