@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from html.entities import name2codepoint
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,35 +52,56 @@ def contains_name(short: Column, long: Column, least_tokens: int = 1, least_adde
     return (F.size(s) >= least_tokens) & (F.size(t) > F.size(s)) & (F.slice(t, 1, F.size(s)) == s) & F.coalesce(added.rlike(f"^[a-z]{{{least_added},}}$"), F.lit(False))
 
 
-def _jaro_winkler(a: str, b: str) -> float:
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used, hits = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                hits.append(c)
-                break
-    if not hits:
-        return 0.0
-    other = [c for c, u in zip(b, used, strict=True) if u]
-    m, swaps = len(hits), sum(x != y for x, y in zip(hits, other, strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    prefix = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        prefix += 1
-    return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, a row for each text, filled up with -1; lengths)."""
+    sizes = np.array([len(t) for t in texts])
+    out = np.full((len(texts), int(sizes.max(initial=0))), -1, np.int32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le"), np.int32)
+    return out, sizes
+
+
+def jaro_winkler_of(left: list[str], right: list[str]) -> np.ndarray:
+    """The similarity of left[i] and right[i]: all pairs advance together, one character of left at a time."""
+    a, la = _codes(left)
+    b, lb = _codes(right)
+    reach = np.maximum(0, np.maximum(la, lb) // 2 - 1)
+    place = np.arange(b.shape[1])
+    used, hit = np.zeros(b.shape, bool), np.zeros(a.shape, bool)
+    for i in range(a.shape[1]):
+        fits = (b == a[:, i : i + 1]) & ~used & (np.abs(place - i) <= reach[:, None]) & (i < la)[:, None]
+        row = np.flatnonzero(fits.any(axis=1))
+        used[row, fits[row].argmax(axis=1)] = True
+        hit[row, i] = True
+    m = hit.sum(axis=1)
+    # matched characters of both sides in order, side by side
+    k = int(m.max(initial=0))
+    own, other = (np.full((len(m), k), -2, np.int32) for _ in range(2))
+    slots = np.arange(k) < m[:, None]
+    own[slots], other[slots] = a[hit], b[used]
+    swaps = (own != other).sum(axis=1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(m > 0, (m / la + m / lb + (m - swaps) / m) / 3, 0.0)
+    n = min(4, a.shape[1], b.shape[1])
+    same = (a[:, :n] == b[:, :n]) & (a[:, :n] >= 0)
+    prefix = np.cumprod(same, axis=1).sum(axis=1) if n else np.zeros(len(m))
+    return np.where(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro), jaro)
 
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_jaro_winkler(x or "", y or "") for x, y in zip(a, b, strict=True)])
+    # pairs of like length together, so that a long one doesn't widen all
+    x, y = a.fillna("").tolist(), b.fillna("").tolist()
+    size = np.array([max(len(s), len(t)) for s, t in zip(x, y, strict=True)])
+    out = np.zeros(len(x))
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        to = int(np.searchsorted(size[order], 2 * size[order[at]] + 8, side="right"))
+        to = min(to, at + max(1, (1 << 20) // max(1, int(size[order[to - 1]]))))
+        some = order[at:to]
+        out[some] = jaro_winkler_of([x[i] for i in some], [y[i] for i in some])
+        at = to
+    return pd.Series(out)
 
 
 def name_similarity(a: Column, b: Column) -> Column:

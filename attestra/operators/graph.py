@@ -5,36 +5,52 @@ from __future__ import annotations
 import functools
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the checkpoint folder, with its lineage cut."""
-    spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if not spark.sparkContext.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; on a local master that has none set, a new temporary one."""
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not own.isDefined():
+        if not given and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    elif spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(os.fspath(spark.conf.get("spark.checkpoint.dir")))
+        spark.sparkContext.setCheckpointDir(os.fspath(given) if given else tempfile.mkdtemp(prefix="spark-"))
+    return given or own.get() if own.isDefined() else spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed and kept in the checkpoint folder, with its lineage cut and its partitioning known."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, computed and kept as a table in the shared folder, with its lineage cut and its size known.
+
+    What rounds join again and again is kept so: a checkpoint goes on with the size that was guessed for its plan, and guesses
+    multiply from round to round, so that no side ever counts as small.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for edges (a, b): root is the smallest node reached. Labels fall along edges, then to the label's own label."""
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("m"))
         low = labels.join(near, labels.node == near.n, "left").select("node", F.col("root").alias("before"), F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = labels.select(F.col("node").alias("j"), F.col("root").alias("jr"))
-        nxt = checkpointed(low.join(jump, low.root == jump.j, "left").select("node", "before", F.least("root", F.coalesce("jr", "root")).alias("root")))
-        changed = nxt.where("root <> before").limit(1).count()
+        nxt = written(low.join(jump, low.root == jump.j, "left").select("node", "before", F.least("root", F.coalesce("jr", "root")).alias("root")))
         labels = nxt.select("node", "root")
-        if not changed:
+        if nxt.where("root <> before").isEmpty():
             return labels
 
 

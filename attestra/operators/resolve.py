@@ -5,13 +5,13 @@ from __future__ import annotations
 import itertools
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.config import DEFAULT, Settings
 from attestra.functions.geo import EARTH_KM, haversine_km
 from attestra.functions.text import acronym, contains_name, name_similarity, tokens
+from attestra.operators.clustering import clusters as clusters
 from attestra.operators.graph import components
 
 
@@ -26,14 +26,9 @@ def profiles(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("id").agg(F.min_by("type", "seq").alias("type"), F.min("seq").alias("first_seq")).join(attrs, "id", "left")
 
 
-def block_pairs(entities: DataFrame, keys: list[Column], limit: int | None = None) -> DataFrame:
-    """(a, b) of entities (id, type, ns, name) of one type and compatible namespaces that share a block key; a < b.
-
-    limit: blocks of more members are reported by large_blocks and left to other keys; None takes all.
-    """
+def block_pairs(entities: DataFrame, keys: list[Column]) -> DataFrame:
+    """(a, b) of entities (id, type, ns, name) of one type and compatible namespaces that share a block key; a < b."""
     k = entities.select("id", "type", "ns", F.explode(F.array_distinct(F.flatten(F.array(*keys)))).alias("key")).distinct()
-    if limit:
-        k = k.join(large_blocks(entities, keys, limit).select("type", "key"), ["type", "key"], "left_anti")
     x, y = k.select("type", "key", F.col("id").alias("a"), F.col("ns").alias("an")), k.select("type", "key", F.col("id").alias("b"), F.col("ns").alias("bn"))
     return x.join(y, ["type", "key"]).where("a < b and (an is null or bn is null or an = bn)").select("a", "b").distinct()
 
@@ -89,36 +84,6 @@ def alias_classes(aliases: DataFrame) -> DataFrame:
     return components(aliases).select(F.col("node").alias("name"), "root")
 
 
-def clusters(pairs: DataFrame, vetoes: DataFrame) -> DataFrame:
-    """(raw, cluster) by accepting pairs (a, b, score) from the best down, but for those that would join two members of a veto (a, b).
-
-    Pairs are grouped by their connected component; only components that hold a veto are walked in order, each as one group.
-    """
-    root = components(pairs.select("a", "b"))
-    inside = vetoes.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra = rb").select(F.col("ra").alias("root"), "a", "b")
-    contested = inside.select("root").distinct()
-    free = root.join(contested, "root", "left_anti").select(F.col("node").alias("raw"), F.col("root").alias("cluster"))
-    rows = pairs.join(root.select(F.col("node").alias("a"), "root"), "a").join(contested, "root", "left_semi").select("root", "a", "b", "score", F.lit(False).alias("veto"))
-    rows = rows.unionByName(inside.select("root", "a", "b", F.lit(0.0).alias("score"), F.lit(True).alias("veto")))
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        members = {x: {x} for x in (*g.a, *g.b)}
-        barred: dict[str, set] = {}
-        for a, b in g[g.veto][["a", "b"]].itertuples(index=False):
-            barred.setdefault(a, set()).add(b)
-            barred.setdefault(b, set()).add(a)
-        for a, b in g[~g.veto].sort_values(["score", "a", "b"], ascending=[False, True, True])[["a", "b"]].itertuples(index=False):
-            x, y = members[a], members[b]
-            if x is y or any(barred.get(m, set()) & y for m in x):
-                continue
-            x |= y
-            for m in y:
-                members[m] = x
-        return pd.DataFrame([(m, min(s)) for m, s in members.items()], columns=["raw", "cluster"])
-
-    return free.unionByName(rows.groupBy("root").applyInPandas(walk, "raw string, cluster string"))
-
-
 def canonical_names(cluster_rows: DataFrame, entities: DataFrame) -> DataFrame:
     """(cluster, canonical): a registered member, else one that an alias names, else the one of most edges, else the smallest id.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.config import DEFAULT, Settings
 from attestra.operators import assessment, supersede
-from attestra.operators.graph import checkpointed
+from attestra.operators.graph import written
 
 #: Relations that say who is who. They are used up by resolution and never drawn.
 IDENTITY = ("same-as", "coref-same-as")
@@ -61,27 +63,27 @@ def resolution_edges(node_ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select(name.alias("id"), "type", F.col("a").alias("source"), F.col("b").alias("target"), "merge_confidence").dropDuplicates(["id"])
 
 
-def rebuild(claims: DataFrame, sources: DataFrame, entities: DataFrame, merges: DataFrame, pairs: DataFrame, insufficient: DataFrame, functional: tuple[str, ...] = (), settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def rebuild(claims: DataFrame, sources: DataFrame, entities: DataFrame, merges: DataFrame, pairs: DataFrame, insufficient: Callable[[DataFrame], DataFrame], functional: tuple[str, ...] = (), settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a view.
 
-    claims: what is valid and not retracted; entities: (id, type, name, n_claims); insufficient: (element_id, insufficient), by elements
-    of the merged claims, as canonical() names them. Of a functional relation's targets the older is retired where the newest is
+    claims: what is valid and not retracted; entities: (id, type, name, n_claims); insufficient: makes (element_id, insufficient) of
+    the merged claims. Of a functional relation's targets the older is retired where the newest is
     later, is strong enough and isn't denied; targets that can't be ordered contradict each other.
     """
-    kept = checkpointed(canonical(drawn(claims), merges))
+    kept = written(canonical(drawn(claims), merges))
     ends = ["element_id", "subject", "predicate", "object"]
     drawn_edges = kept.groupBy(*ends).agg(F.countDistinct("claim_id").alias("n_claims")).withColumn("instance", edge_instance(F.col("subject"), F.col("predicate"), F.col("object"), functional))
     state = kept.where(F.col("predicate").isin(*functional)) if functional else kept.limit(0)
     state = state.select(edge_instance(F.col("subject"), F.col("predicate"), F.col("object"), functional).alias("instance"), F.col("element_id").alias("target"), "claim_id", F.col("event_date").alias("lo"), F.col("event_date").alias("hi"))
-    nominated = checkpointed(supersede.nominate(supersede.target_intervals(state)))
+    nominated = written(supersede.nominate(supersede.target_intervals(state)))
     contradicted = nominated.where("relation = 'contradiction'").select(F.col("target").alias("element_id"), F.lit(True).alias("contradicted"))
-    first = checkpointed(assessment.assess(kept, sources, settings, insufficient.join(contradicted, "element_id", "full")))
+    first = written(assessment.assess(kept, sources, settings, insufficient(kept).join(contradicted, "element_id", "full")))
     met = nominated.select("instance", F.col("target").alias("element_id")).join(first, "element_id")
     retired = supersede.promote(nominated, met.select("instance", F.col("element_id").alias("target"), "confidence", "denied"), settings).where("verdict = 'retired'").select(F.col("target").alias("element_id"), F.lit(True).alias("_gone"))
     flags = F.array_compact(F.array(F.lit("superseded"), F.when(F.col("denied"), F.lit("adversary-denial")), F.when(F.col("decoy_risk"), F.lit("decoy-risk"))))
     scored = first.join(retired, "element_id", "left").select("element_id", "confidence", F.when(F.col("_gone"), "stale").otherwise(F.col("status")).alias("status"), F.when(F.col("_gone"), F.array_join(flags, ",")).otherwise(F.col("gates")).alias("gates"))
     edges = drawn_edges.join(scored, "element_id").select(F.col("element_id").alias("id"), "instance", F.col("predicate").alias("type"), F.col("subject").alias("source"), F.col("object").alias("target"), "n_claims", "confidence", "status", "gates")
-    edges = checkpointed(edges)
+    edges = written(edges)
     nodes = with_ends(entities.join(merges.select(F.col("member").alias("id")), "id", "left_anti"), edges)
     undecided = resolution_edges(nodes, pairs)
     return merge_provenance(nodes, merges), edges.unionByName(undecided, allowMissingColumns=True)

@@ -44,7 +44,7 @@ def _means() -> dict[str, float]:
 
 _LIFE = {"supplies": 540.0, "equips": 1825.0}
 SCORED = f""", seen AS (
-  SELECT c.*, CASE WHEN fingerprint IS NOT NULL THEN CASE WHEN row_number() OVER (PARTITION BY fingerprint ORDER BY event_date NULLS LAST, claim_id) = 1 THEN 'original' ELSE 'recycled' END END AS first_seen FROM claims c
+  SELECT c.*, CASE WHEN fingerprint IS NOT NULL THEN CASE WHEN row_number() OVER (PARTITION BY fingerprint ORDER BY event_date NULLS LAST, claim_id) = 1 THEN 'original' ELSE 'recycled' END END AS first_seen FROM standing c
 ), scored AS MATERIALIZED (
   SELECT *, reliability * integrity * decay AS credibility FROM (
     SELECT e.*, s.source_type, s.bias, s.origin, s.denial, s.coordinated, s.aggregator_of,
@@ -82,7 +82,7 @@ FRESH = f""", aged AS (
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return credibility.score_claims(star.claims(spark, d), star.sources(spark, d))
+    return credibility.score_claims(star.standing(spark, d), star.sources(spark, d))
 
 
 # -- scans and filters
@@ -209,7 +209,7 @@ def format_sniffer(spark, d):
 
 @register(SCORED + " SELECT source_id, source_type, round(any_value(reliability), 6) AS reliability FROM scored GROUP BY 1, 2")
 def source_reliability(spark, d):
-    used = star.claims(spark, d).select("source_id").distinct()
+    used = star.standing(spark, d).select("source_id").distinct()
     return star.sources(spark, d).join(used, "source_id", "left_semi").select("source_id", "source_type", F.round(credibility.reliability(F.col("source_type")), 6).alias("reliability"))
 
 
@@ -228,7 +228,7 @@ def coord_flag_precedence(spark, d):
 
 @register(SCORED + " SELECT claim_id, round(decay, 6) AS decay FROM scored")
 def freshness_decay(spark, d):
-    return star.claims(spark, d).select("claim_id", F.round(credibility.decay(), 6).alias("decay"))
+    return star.standing(spark, d).select("claim_id", F.round(credibility.decay(), 6).alias("decay"))
 
 
 @register(f" SELECT claim_id, predicate, {_case('predicate', _LIFE)} AS half_life_days, CASE predicate WHEN 'equips' THEN 'slow' END AS assumed_class FROM claims")
@@ -239,7 +239,7 @@ def half_life_ladder(spark, d):
 
 @register(SCORED + FRESH + " SELECT element_id, last_support, half_life_days, round(decay_factor, 6) AS decay_factor, aging, stale FROM fresh")
 def assertion_freshness(spark, d):
-    return credibility.element_freshness(star.claims(spark, d)).withColumn("decay_factor", F.round("decay_factor", 6))
+    return credibility.element_freshness(star.standing(spark, d)).withColumn("decay_factor", F.round("decay_factor", 6))
 
 
 @register(SCORED + " SELECT claim_id, element_id, round(credibility, 6) AS credibility FROM scored")
@@ -256,7 +256,7 @@ def independence_keys(spark, d):
 
 
 def _groups(spark, d):
-    scored = _scored(spark, d)
+    scored = graph.written(_scored(spark, d))
     return scored, assessment.independence_groups(scored)
 
 
@@ -288,23 +288,23 @@ STATUS = LOOKS + FRESH + f""", gated AS (
 
 @register(STATUS + " SELECT element_id, confidence, effective_looks, n_groups, aging, stale, denied, decoy_risk, status, gates FROM assessed")
 def status_machine(spark, d):
-    return assessment.assess(star.claims(spark, d), star.sources(spark, d))
+    return assessment.assess(star.standing(spark, d), star.sources(spark, d))
 
 
 @register(STATUS + " SELECT status, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM assessed GROUP BY 1")
 def status_counts(spark, d):
-    return assessment.assess(star.claims(spark, d), star.sources(spark, d)).groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return assessment.assess(star.standing(spark, d), star.sources(spark, d)).groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
 # -- sufficiency and gaps
 
 _SLOTS = {"imagery": (1, None), "trade": (2, 900), "textual": (3, 1500)}
-_SLOT_SQL = f""" , slotted AS (SELECT c.*, CASE source_type WHEN 'overhead' THEN 'imagery' WHEN 'customs' THEN 'trade' WHEN 'tender' THEN 'trade' WHEN 'registry' THEN 'trade' ELSE 'textual' END AS slot FROM claims c LEFT JOIN sources USING (source_id)),
+_SLOT_SQL = f""" , slotted AS (SELECT c.*, CASE source_type WHEN 'overhead' THEN 'imagery' WHEN 'customs' THEN 'trade' WHEN 'tender' THEN 'trade' WHEN 'registry' THEN 'trade' ELSE 'textual' END AS slot FROM standing c LEFT JOIN sources USING (source_id)),
 slots AS (SELECT element_id, count(*) FILTER (slot = 'imagery') >= 1 AS imagery, count(*) FILTER (slot = 'trade' AND coalesce(datediff('day', event_date, DATE '{S.as_of}') <= 900, true)) >= 2 AS trade, count(*) FILTER (slot = 'textual' AND coalesce(datediff('day', event_date, DATE '{S.as_of}') <= 1500, true)) >= 3 AS textual FROM slotted GROUP BY 1)"""
 
 
 def _slots(spark, d):
-    c = star.claims(spark, d).join(star.sources(spark, d).select("source_id", "source_type"), "source_id", "left")
+    c = star.standing(spark, d).join(star.sources(spark, d).select("source_id", "source_type"), "source_id", "left")
     slot = F.coalesce(credibility.lookup(F.col("source_type"), S.disciplines), F.lit(S.default_discipline))
     return query.slot_counts(c, _SLOTS, slot, S.as_of)
 
@@ -594,7 +594,25 @@ def alias_classes(spark, d):
     return resolve.alias_classes(c.select(F.concat(F.lit("n"), k).alias("a"), F.concat(F.lit("m"), F.col("c_nationkey") % 7, F.lit(":"), F.floor(k / 10)).alias("b")).distinct())
 
 
-@register()
+_CLUSTER = (
+    _MERGE.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", open AS (SELECT a, b, round(score, 9) AS s FROM totals WHERE round(score, 9) >= {S.merge_review}), members AS (SELECT list_sort(list(DISTINCT id)) AS ids FROM (SELECT a AS id FROM open UNION SELECT b FROM open)),
+queue AS MATERIALIZED (SELECT list_position(ids, a) AS x, list_position(ids, b) AS y, row_number() OVER (ORDER BY s DESC, a, b) AS turn, left(a, 1) <> left(b, 1) AS barred FROM open, members),
+bars AS MATERIALIZED (SELECT list({{'x': x, 'y': y}}) AS all_ FROM queue WHERE barred),
+walk(turn, lab) AS (
+  SELECT 0::BIGINT, ids FROM members
+  UNION ALL
+  SELECT q.turn, CASE WHEN lab[q.x] = lab[q.y] OR len(list_filter(all_, lambda v: (lab[v.x] = lab[q.x] AND lab[v.y] = lab[q.y]) OR (lab[v.x] = lab[q.y] AND lab[v.y] = lab[q.x]))) > 0 THEN lab
+    ELSE list_transform(lab, lambda l: CASE WHEN l = greatest(lab[q.x], lab[q.y]) THEN least(lab[q.x], lab[q.y]) ELSE l END) END
+  FROM walk JOIN queue q ON q.turn = walk.turn + 1, (SELECT coalesce(any_value(all_), []) AS all_ FROM bars)
+), found AS (SELECT unnest(ids) AS raw, unnest((SELECT arg_max(lab, turn) FROM walk)) AS cluster FROM members),
+known AS (SELECT p_name AS id, min(p_partkey) % 7 = 0 AS registered, max(p_partkey) % 5 = 0 AS alias_named, count(*) AS degree FROM part GROUP BY 1),
+picked AS (SELECT cluster, arg_min(raw, (NOT registered, NOT alias_named, -degree, raw)) AS canonical FROM found JOIN known ON id = raw GROUP BY 1)
+SELECT raw, canonical FROM found JOIN picked USING (cluster)"""
+)
+
+
+@register(_CLUSTER, base=False)
 def cluster_canonical(spark, d):
     pairs = _merge(spark, d).where("band <> 'none'").select("a", "b", F.round("score", 9).alias("score"))
     vetoes = pairs.where("substring(a, 1, 1) <> substring(b, 1, 1)").select("a", "b")

@@ -18,11 +18,11 @@ _BAND = ("confirmed", "probable")
 
 _MERGED = "CASE WHEN CAST(substr(subject, 2) AS BIGINT) % 10 = 3 THEN 'p' || (CAST(substr(subject, 2) AS BIGINT) - 1) ELSE subject END"
 _VIEW_SQL = (
-    f"WITH {star.SQL.replace('claims AS (', 'all_claims AS (', 1)}, claims AS MATERIALIZED ("
-    f"SELECT * REPLACE ({_MERGED} AS subject, concat_ws(':', 'e', {_MERGED}, predicate, object) AS element_id) FROM all_claims WHERE kind <> 'retraction')"
-    + catalogue.STATUS
-    + _SLOT_SQL
-    + f""", targets AS (SELECT 'edge:' || subject || ':' || predicate AS instance, element_id AS target, min(event_date) AS lo, max(event_date) AS hi FROM claims WHERE predicate = 'maintains' GROUP BY ALL),
+    f"WITH {star.SQL}, merged AS MATERIALIZED ("
+    f"SELECT * REPLACE ({_MERGED} AS subject, concat_ws(':', 'e', {_MERGED}, predicate, object) AS element_id) FROM standing)"
+    + catalogue.STATUS.replace("FROM standing c", "FROM merged c")
+    + _SLOT_SQL.replace("FROM standing c", "FROM merged c")
+    + f""", targets AS (SELECT 'edge:' || subject || ':' || predicate AS instance, element_id AS target, min(event_date) AS lo, max(event_date) AS hi FROM merged WHERE predicate = 'maintains' GROUP BY ALL),
 ranked AS (SELECT *, count(*) OVER (PARTITION BY instance) AS n_targets, row_number() OVER (PARTITION BY instance ORDER BY lo DESC, hi DESC, target DESC) AS k FROM targets),
 related AS (SELECT r.target AS element_id, r.hi < t.lo AS ordered, NOT r.hi < t.lo AND NOT (r.lo = t.lo AND r.hi = t.hi AND r.lo <> r.hi) AS contradicted, t.target AS newest FROM ranked r JOIN ranked t ON r.instance = t.instance AND t.k = 1 WHERE r.n_targets > 1 AND r.k > 1),
 flagged AS (
@@ -38,7 +38,7 @@ final AS (
   FROM retired
 ), facts AS (
   SELECT element_id AS id, CASE predicate WHEN 'maintains' THEN 'edge:' || subject || ':' || predicate ELSE 'edge:' || subject || ':' || predicate || ':' || object END AS instance, predicate AS type, subject AS source, object AS target, count(DISTINCT claim_id) AS n_claims
-  FROM claims GROUP BY ALL
+  FROM merged GROUP BY ALL
 ), declared AS (SELECT 'p' || p_partkey AS id, 'part' AS type, p_name AS name, 0::BIGINT AS n_claims FROM part WHERE p_partkey % 10 <> 3),
 ends AS (SELECT source AS id, n_claims FROM facts UNION ALL SELECT target, n_claims FROM facts),
 nodes AS (SELECT * FROM declared UNION ALL SELECT id, 'unknown', id, sum(n_claims)::BIGINT FROM ends WHERE id NOT IN (SELECT id FROM declared) GROUP BY id)"""
@@ -46,7 +46,7 @@ nodes AS (SELECT * FROM declared UNION ALL SELECT id, 'unknown', id, sum(n_claim
 
 
 def _rebuilt(spark, d):
-    claims = star.claims(spark, d).where("kind <> 'retraction'")
+    claims = star.standing(spark, d)
     part = star.table(spark, d, "part")
     name = lambda c: F.concat(F.lit("p"), c)
     k = F.col("p_partkey")
@@ -54,9 +54,12 @@ def _rebuilt(spark, d):
     pairs = part.where(k % 100 == 7).select(name(k).alias("a"), name(k + 1).alias("b"), F.lit("same-as").alias("type"), F.lit(0.7).alias("merge_confidence"))
     pairs = pairs.unionByName(part.where(k % 100 == 9).select(name(k).alias("a"), name(k + 2).alias("b"), F.lit("distinct-from").alias("type"), F.lit(None).cast("double").alias("merge_confidence")))
     entities = part.select(name(k).alias("id"), F.lit("part").alias("type"), F.col("p_name").alias("name"), F.lit(0).cast("long").alias("n_claims"))
-    typed = view.canonical(claims, merges).join(star.sources(spark, d).select("source_id", "source_type"), "source_id", "left")
-    slots = query.slot_counts(typed, _SLOTS, F.coalesce(credibility.lookup(F.col("source_type"), S.disciplines), F.lit(S.default_discipline)), S.as_of)
-    insufficient = query.sufficiency(slots, any_of=["imagery", "trade"]).select("element_id", (~F.col("satisfied")).alias("insufficient"))
+
+    def insufficient(kept):
+        typed = kept.join(star.sources(spark, d).select("source_id", "source_type"), "source_id", "left")
+        slots = query.slot_counts(typed, _SLOTS, F.coalesce(credibility.lookup(F.col("source_type"), S.disciplines), F.lit(S.default_discipline)), S.as_of)
+        return query.sufficiency(slots, any_of=["imagery", "trade"]).select("element_id", (~F.col("satisfied")).alias("insufficient"))
+
     return view.rebuild(claims, star.sources(spark, d), entities, merges, pairs, insufficient, _FUNCTIONAL)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.config import DEFAULT, Settings
+from attestra.operators.filters import drop_excluded, drop_retracted
+from attestra.operators.graph import written
 from attestra.session import prepare
 
 
@@ -61,6 +63,24 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
     ).dropDuplicates(["claim_id"])
 
 
+def retractions(log: DataFrame) -> DataFrame:
+    """(target): the claim that an element's retractions take back, its first by id."""
+    by = log.groupBy("element_id").agg(F.min("claim_id").alias("target"), F.max(F.col("kind") == "retraction").alias("r"))
+    return by.where("r").select("target")
+
+
+def exclusions(spark: SparkSession, folder: str, log: DataFrame) -> DataFrame:
+    """(exclude_claims): what analysts excluded, all claims of an order at once."""
+    bad = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT' and o_orderkey % 20 = 0")
+    return log.join(bad, log.orderkey == bad.o_orderkey, "left_semi").groupBy("orderkey").agg(F.collect_list("claim_id").alias("exclude_claims"))
+
+
+def standing(spark: SparkSession, folder: str) -> DataFrame:
+    """The claims that a view rests on: no retraction, nothing retracted, nothing excluded. The log is computed once."""
+    log = written(claims(spark, folder))
+    return drop_excluded(drop_retracted(log, retractions(log)), exclusions(spark, folder, log))
+
+
 def states(spark: SparkSession, folder: str) -> DataFrame:
     """A single-valued state of each user over time, from events: claim_id, subject, target, day, source_id."""
     return table(spark, folder, "events").select(
@@ -96,6 +116,9 @@ sources AS (
       CASE WHEN l_linenumber = 3 THEN ['consistent','inconsistent','no-caption'][l_partkey % 3 + 1] END AS caption,
       CASE WHEN l_partkey % 97 = 0 THEN 'suspected' END AS coordination, l_orderkey AS orderkey
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+), standing AS MATERIALIZED (
+  SELECT * FROM claims WHERE kind <> 'retraction' AND claim_id NOT IN (SELECT min(claim_id) FROM claims GROUP BY element_id HAVING bool_or(kind = 'retraction'))
+    AND orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 20 = 0)
 ), states AS (
   SELECT 'ev-' || event_id AS claim_id, 'u' || user_id AS subject, event_type AS target, ts::DATE AS day, 's' || (event_id % 10) AS source_id, value FROM events
 )"""
