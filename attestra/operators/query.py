@@ -7,29 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.functions.text import query_form, squash
 from attestra.operators.filters import constraint, verdict
 from attestra.operators.graph import reach
 
 
-def find_entity(names: DataFrame, text: str, type_hint: str | None = None, top: int = 3) -> DataFrame:
-    """(id, name, tier, score): the exact names of text; where there is none, those equal but for punctuation; else the most alike.
-
-    Likeness is the share of three-letter grams, 0 to 100; up to top of 60 or more are suggested.
-    """
-    n = names if type_hint is None else names.where(F.col("type") == type_hint)
-    want = n.sparkSession.range(1).select(query_form(F.lit(text)).alias("q"), squash(F.lit(text)).alias("s")).first()
-    n = n.withColumn("tier", F.when(query_form(F.col("name")) == want.q, 0).when(squash(F.col("name")) == want.s, 1).otherwise(2))
-    grams = sorted({want.s[i : i + 3] for i in range(max(1, len(want.s) - 2))})
-    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(squash(F.col("name"))) - 2)), lambda i: F.substring(squash(F.col("name")), i, F.lit(3))))
-    given = F.array(*[F.lit(g) for g in grams])
-    score = 200.0 * F.size(F.array_intersect(own, given)) / (F.size(own) + len(grams))
-    n = n.withColumn("score", F.when(F.col("tier") < 2, 100.0).otherwise(score)).where("tier < 2 or score >= 60")
-    best = n.agg(F.min("tier").alias("t")).first().t
-    hits = n.where(F.col("tier") == (2 if best is None else best)).select("id", "name", F.element_at(F.array(F.lit("exact"), F.lit("near"), F.lit("suggested")), F.col("tier") + 1).alias("tier"), F.round("score", 6).alias("score"))
-    return hits if best is not None and best < 2 else hits.orderBy(F.desc("score"), "id").limit(top)
-
-
 def incident(edges: DataFrame) -> DataFrame:
     """Each edge at both of its ends: (node, other, direction, id, type). A loop comes twice."""
     out = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), F.lit("out").alias("direction"), "id", "type")

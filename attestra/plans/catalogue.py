@@ -504,11 +504,6 @@ def evidence_drawer(spark, d):
     return query.evidence(scored.select("element_id", "claim_id", "source_id", "event_date"), star.sources(spark, d), groups)
 
 
-@register("SELECT 'p' || p_partkey AS id, p_name AS name, 'exact' AS tier, 100.0::DOUBLE AS score FROM part WHERE lower(p_name) = 'small ring'", base=False)
-def find_entity_tiers(spark, d):
-    return query.find_entity(star.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name")), " Small  Ring ")
-
-
 # -- text
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestra.config import DEFAULT as S
-from attestra.operators import fixpoint
+from attestra.functions import text
+from attestra.operators import fixpoint, linking
 from attestra.plans.catalogue import register
 from attestra.sources import star
 
@@ -79,3 +80,112 @@ def merge_fixpoint(spark, d):
 @register(_rounds_sql() + f" SELECT a, b, shared, either, score, x = y AS together, CASE WHEN x = y THEN 'merged' WHEN score >= {S.merge_review} THEN 'review' ELSE 'none' END AS band FROM scored{_SQL_ROUNDS}", base=False)
 def merge_fixpoint_pairs(spark, d):
     return _resolution(spark, d).pairs.select("a", "b", "shared", "either", "score", "together", "band")
+
+
+# -- mentions
+
+_MENTIONS = """WITH ents AS (
+  SELECT CASE WHEN p_partkey % 40 = 0 THEN 'reg' || p_partkey ELSE 'ent:' || lower(p_type) || ':' || p_brand || ' ' || p_name END AS id, lower(p_type) AS type, p_brand || ' ' || p_name AS name, p_partkey % 40 = 0 AS registered FROM part WHERE p_partkey % 3 = 0
+), entities AS MATERIALIZED (SELECT DISTINCT id, type, trim(regexp_replace(lower(name), '[^0-9a-z]+', ' ', 'g')) AS norm, registered FROM ents
+), classes AS MATERIALIZED (SELECT DISTINCT trim(regexp_replace(lower(p_brand || ' ' || p_name), '[^0-9a-z]+', ' ', 'g')) AS norm, 'class:' || lower(p_brand) AS root FROM part WHERE p_size = 7
+), keyed AS (SELECT id, type, registered, coalesce(root, norm) AS key FROM entities LEFT JOIN classes USING (norm)
+), vetoes AS (SELECT DISTINCT a.id AS a, b.id AS b FROM keyed a JOIN keyed b ON a.key = b.key AND a.id < b.id AND length(a.id) % 5 = 0 AND length(b.id) % 5 = 1
+), straddled AS (SELECT DISTINCT x.key FROM vetoes JOIN keyed x ON x.id = a JOIN keyed y ON y.id = b WHERE x.key = y.key
+), lanes(predicate, f, t) AS (VALUES ('A', ['economy', 'small'], ['standard']), ('N', ['economy'], NULL), ('R', ['economy', 'promo', 'small'], ['standard', 'large'])
+), facts AS (SELECT DISTINCT l_returnflag AS predicate, p_brand || ' ' || p_name AS subject, CASE WHEN p_partkey % 9 = 4 THEN 'reg' || (p_partkey // 40 * 120) ELSE 'Site ' || p_size END AS object FROM lineitem JOIN part ON p_partkey = l_partkey
+), ends AS (SELECT DISTINCT * FROM (SELECT subject AS form, f AS types FROM facts JOIN lanes USING (predicate) UNION ALL SELECT object, t FROM facts JOIN lanes USING (predicate)) WHERE len(types) > 0
+), allowed AS (
+  SELECT form, list_sort(list_distinct(flatten(list(CASE WHEN len(types) = 1 THEN types ELSE [] END)))) AS implied,
+    list_sort(list_filter(list_distinct(flatten(list(types))), lambda t: len(list_filter(list(types), lambda s: list_contains(s, t))) = count(*))) AS allowed FROM ends GROUP BY 1)"""
+_LANES = [("A", ["economy", "small"], ["standard"]), ("N", ["economy"], None), ("R", ["economy", "promo", "small"], ["standard", "large"])]
+
+
+def _mentions(spark, d):
+    p, k = star.table(spark, d, "part"), F.col("p_partkey")
+    name = F.concat("p_brand", F.lit(" "), "p_name")
+    entities = p.where(k % 3 == 0).select(F.when(k % 40 == 0, F.concat(F.lit("reg"), k)).otherwise(F.concat(F.lit("ent:"), F.lower("p_type"), F.lit(":"), name)).alias("id"), F.lower("p_type").alias("type"), name.alias("name"), (k % 40 == 0).alias("registered")).distinct()
+    classes = p.where("p_size = 7").select(text.normalise_name(name).alias("name"), F.lower("p_brand").alias("root")).distinct()
+    keyed = linking.with_class(entities, "name", classes).select("id", "key")
+    n = F.length("id") % 5
+    vetoes = keyed.where(n == 0).withColumnRenamed("id", "a").join(keyed.where(n == 1).withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
+    x = star.table(spark, d, "lineitem").select("l_partkey", F.col("l_returnflag").alias("predicate")).distinct().join(p, F.col("l_partkey") == k)
+    facts = x.select("predicate", name.alias("subject"), F.when(k % 9 == 4, F.concat(F.lit("reg"), F.floor(k / 40) * 120)).otherwise(F.concat(F.lit("Site "), "p_size")).alias("object")).distinct()
+    lanes = spark.createDataFrame(_LANES, "predicate string, from_types array<string>, to_types array<string>")
+    return facts, lanes, entities, vetoes, classes
+
+
+@register(_MENTIONS + " SELECT form, array_to_string(implied, ',') AS implied, array_to_string(allowed, ',') AS allowed FROM allowed", base=False)
+def mention_types(spark, d):
+    facts, lanes, *_ = _mentions(spark, d)
+    return linking.endpoint_types(facts, lanes).select("form", F.array_join("implied", ",").alias("implied"), F.array_join("allowed", ",").alias("allowed"))
+
+
+@register(
+    _MENTIONS
+    + """, known AS (SELECT key, list_sort(list(DISTINCT type)) AS types FROM keyed GROUP BY 1
+), own AS (SELECT key, type, min(id) FILTER (registered) AS reg, count(*) FILTER (registered) AS n FROM keyed GROUP BY 1, 2
+), met AS (
+  SELECT form, implied, allowed, key, coalesce(types, []) AS types, list_filter(coalesce(types, []), lambda t: list_contains(allowed, t)) AS rest, form IN (SELECT id FROM entities) AS is_id, key IN (SELECT key FROM straddled) AS straddled
+  FROM (SELECT a.*, coalesce(c.root, trim(regexp_replace(lower(form), '[^0-9a-z]+', ' ', 'g'))) AS key FROM allowed a LEFT JOIN classes c ON c.norm = trim(regexp_replace(lower(form), '[^0-9a-z]+', ' ', 'g'))) LEFT JOIN known USING (key)
+), typed AS (SELECT *, CASE WHEN len(types) = 1 THEN types[1] WHEN len(types) = 0 AND len(implied) = 1 THEN implied[1] WHEN len(types) > 1 AND len(rest) = 1 THEN rest[1] END AS t FROM met
+), found AS (SELECT m.*, 'ent:' || t || ':' || form AS eid, CASE WHEN o.n = 1 THEN o.reg END AS reg, ('ent:' || t || ':' || form) IN (SELECT id FROM entities) AS there FROM typed m LEFT JOIN own o ON o.key = m.key AND o.type = m.t
+), judged AS (SELECT *, CASE WHEN is_id THEN 'known' WHEN straddled OR t IS NULL THEN 'refused' WHEN len(types) > 1 THEN CASE WHEN reg IS NOT NULL OR there THEN 'attached' ELSE 'refused' END WHEN there THEN 'attached' ELSE 'minted' END AS verdict FROM found)
+SELECT form, verdict, CASE verdict WHEN 'known' THEN form WHEN 'attached' THEN CASE WHEN len(types) > 1 THEN coalesce(reg, eid) ELSE eid END WHEN 'minted' THEN eid END AS target, CASE WHEN verdict IN ('attached', 'minted') THEN t END AS type,
+  CASE WHEN verdict = 'refused' THEN CASE WHEN straddled THEN 'veto-straddle' WHEN len(types) > 1 THEN 'types-contradict' ELSE 'untyped' END END AS reason FROM judged""",
+    base=False,
+)
+def link_mentions(spark, d):
+    facts, lanes, entities, vetoes, classes = _mentions(spark, d)
+    return linking.link_mentions(linking.endpoint_types(facts, lanes), entities, vetoes, classes)
+
+
+@register(
+    """WITH nodes AS (SELECT 'p' || p_partkey AS id, lower(p_type) AS type, lower(p_brand || ' ' || p_name) AS form, p_partkey AS ord FROM part WHERE p_partkey % 2 = 0
+), anchors AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 'p' || p_partkey WHEN 1 THEN 'e' || p_partkey WHEN 2 THEN upper(p_brand) || '  ' || p_name ELSE 'Nowhere ' || p_partkey END AS anchor FROM part
+), norm AS (SELECT id, type, ord, trim(regexp_replace(form, '[^0-9a-z]+', ' ', 'g')) AS f FROM nodes
+), reg AS (SELECT 'e' || p_partkey AS anchor, lower(p_type) AS type, trim(regexp_replace(lower(p_brand || ' ' || p_name), '[^0-9a-z]+', ' ', 'g')) AS f FROM part WHERE p_partkey % 4 = 1
+), classes AS (SELECT DISTINCT trim(regexp_replace(lower(p_brand || ' ' || p_name), '[^0-9a-z]+', ' ', 'g')) AS f, 'class:' || p_size AS root FROM part WHERE p_size < 4 QUALIFY row_number() OVER (PARTITION BY f ORDER BY p_size) = 1
+), one AS (SELECT anchor, anchor AS node, 'literal' AS via FROM anchors WHERE anchor IN (SELECT id FROM nodes)
+), two AS (SELECT anchor, arg_min(id, ord) AS node, 'registry-alias' AS via FROM anchors JOIN reg USING (anchor) JOIN norm USING (type, f) WHERE anchor NOT IN (SELECT anchor FROM one) GROUP BY 1
+), rest AS (SELECT anchor, trim(regexp_replace(lower(anchor), '[^0-9a-z]+', ' ', 'g')) AS f FROM anchors WHERE anchor NOT IN (SELECT anchor FROM one UNION SELECT anchor FROM two)
+), three AS (SELECT anchor, arg_min(id, ord) AS node, 'alias-class' AS via FROM (SELECT anchor, coalesce(root, f) AS key FROM rest LEFT JOIN classes USING (f)) JOIN (SELECT id, ord, coalesce(root, f) AS key FROM norm LEFT JOIN classes USING (f)) USING (key) GROUP BY 1)
+SELECT anchor, node, via FROM anchors LEFT JOIN (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) USING (anchor)""",
+    base=False,
+)
+def anchor_ladder(spark, d):
+    p, k = star.table(spark, d, "part"), F.col("p_partkey")
+    name = F.concat("p_brand", F.lit(" "), "p_name")
+    id_ = lambda x: F.concat(F.lit(x), k)
+    nodes = p.where(k % 2 == 0).select(id_("p").alias("id"), F.lower("p_type").alias("type"), F.array(name).alias("forms"), k.alias("ord"))
+    registry = p.where(k % 4 == 1).select(id_("e").alias("entity_id"), F.lower("p_type").alias("type"), F.array(name).alias("forms"))
+    classes = p.where("p_size < 4").groupBy(text.normalise_name(name).alias("name")).agg(F.min("p_size").cast("string").alias("root"))
+    anchor = F.when(k % 4 == 0, id_("p")).when(k % 4 == 1, id_("e")).when(k % 4 == 2, F.concat(F.upper("p_brand"), F.lit("  "), "p_name")).otherwise(id_("Nowhere "))
+    return linking.resolve_anchors(p.select(anchor.alias("anchor")), nodes, registry, classes)
+
+
+def _surfaces(spark, d):
+    p = star.table(spark, d, "part")
+    id_ = F.concat(F.lit("p"), "p_partkey")
+    full = F.concat("p_brand", F.lit(" "), "p_name", F.lit(" "), "p_partkey")
+    return p.select(id_.alias("id"), F.lower("p_type").alias("type"), full.alias("surface"), F.lit("name").alias("kind")).unionByName(p.select(id_.alias("id"), F.lower("p_type").alias("type"), F.col("p_name").alias("surface"), F.lit("alias").alias("kind")))
+
+
+@register(
+    """WITH s AS (SELECT 'p' || p_partkey AS id, p_brand || ' ' || p_name || ' ' || p_partkey AS full_, p_name FROM part),
+a AS (SELECT id, full_ AS surface FROM s WHERE lower(full_) = (SELECT lower(full_) FROM s WHERE id = 'p17')),
+b AS (SELECT id, p_name AS surface FROM s WHERE regexp_replace(p_name, '[^0-9a-z]', '', 'g') = 'smallring')
+SELECT 'name' AS probe, row_number() OVER (ORDER BY id)::INTEGER AS place, id, 100.0::DOUBLE AS score, surface, 'exact' AS tier, 'exact' AS resolution, true AS resolved FROM a
+UNION ALL SELECT 'alias', row_number() OVER (ORDER BY id)::INTEGER, id, 95.0::DOUBLE, surface, 'squashed', CASE WHEN (SELECT count(*) FROM b) > 1 THEN 'ambiguous' ELSE 'near' END, (SELECT count(*) FROM b) = 1 FROM b""",
+    base=False,
+)
+def find_entity_tiers(spark, d):
+    s = _surfaces(spark, d)
+    name = s.where("id = 'p17' and kind = 'name'").first().surface  # the question
+    find = lambda probe, said: linking.find_entity(s, said).select(F.lit(probe).alias("probe"), "place", "id", "score", "surface", "tier", "resolution", "resolved")
+    return find("name", f"  {name.upper()} ").unionByName(find("alias", "Small-Ring"))
+
+
+@register()
+def find_entity_suggested(spark, d):
+    """Names like a misspelt one; likeness is not SQL's, so tests hold it against plain code."""
+    return linking.find_entity(_surfaces(spark, d), "smal rnig of brand 2")
