@@ -25,10 +25,13 @@ def reliability(source_type: Column, settings: Settings = DEFAULT) -> Column:
     return F.coalesce(lookup(source_type, table), F.lit(0.0))
 
 
-def recycled(claims: DataFrame) -> DataFrame:
-    """claims with first_seen: original for the first of a fingerprint, in order of event_date and id, else recycled."""
+def recycled(claims: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """claims with first_seen: original for the first of a fingerprint, in order of event_date and id, else recycled.
+
+    among: the claims of which it is the first, if more than these.
+    """
     # the first is found on the map side, so that an image that many claims share is no single task's
-    first = claims.where("fingerprint is not null").groupBy("fingerprint").agg(F.min_by("claim_id", F.struct(F.col("event_date").isNull(), "event_date", "claim_id")).alias("_first"))
+    first = (claims if among is None else among).where("fingerprint is not null").groupBy("fingerprint").agg(F.min_by("claim_id", F.struct(F.col("event_date").isNull(), "event_date", "claim_id")).alias("_first"))
     return claims.join(first, "fingerprint", "left").withColumn("first_seen", F.when(F.col("_first").isNotNull(), F.when(F.col("claim_id") == F.col("_first"), "original").otherwise("recycled"))).select(*claims.columns, "first_seen")
 
 
@@ -74,9 +77,9 @@ def decay(settings: Settings = DEFAULT) -> Column:
     return F.when(days.isNull() | age.isNull() | (age <= 0), 1.0).otherwise(F.pow(F.lit(settings.decay_base), -(age / days)))
 
 
-def score_claims(claims: DataFrame, sources: DataFrame, settings: Settings = DEFAULT, flagged_origins: DataFrame | None = None) -> DataFrame:
-    """claims with their source's columns, reliability, integrity, decay and credibility, the product of the three."""
-    met = coordination_flag(recycled(claims).join(sources, "source_id", "left"), flagged_origins)
+def score_claims(claims: DataFrame, sources: DataFrame, settings: Settings = DEFAULT, flagged_origins: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
+    """claims with their source's columns, reliability, integrity, decay and credibility, the product of the three. among: see recycled."""
+    met = coordination_flag(recycled(claims, among).join(sources, "source_id", "left"), flagged_origins)
     met = met.withColumn("reliability", reliability(F.col("source_type"), settings)).withColumn("integrity", integrity(settings)).withColumn("decay", decay(settings))
     return met.withColumn("credibility", F.col("reliability") * F.col("integrity") * F.col("decay"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestra.config import DEFAULT as S
 from attestra.functions import marks
-from attestra.operators import analyses, credibility, query, view
+from attestra.operators import analyses, credibility, graph, incremental, query, view
 from attestra.plans import catalogue
 from attestra.plans.catalogue import _CHOKES, _GRAPH_SQL, _REACH_SQL, _SLOT_SQL, _SLOTS, _chokes, _graph, register
 from attestra.sources import star
@@ -45,22 +45,29 @@ nodes AS (SELECT * FROM declared UNION ALL SELECT id, 'unknown', id, sum(n_claim
 )
 
 
+def _insufficient(spark, d):
+    def of(kept):
+        typed = kept.join(star.sources(spark, d).select("source_id", "source_type"), "source_id", "left")
+        slots = query.slot_counts(typed, _SLOTS, F.coalesce(credibility.lookup(F.col("source_type"), S.disciplines), F.lit(S.default_discipline)), S.as_of)
+        return query.sufficiency(slots, any_of=["imagery", "trade"]).select("element_id", (~F.col("satisfied")).alias("insufficient"))
+
+    return of
+
+
+def _merges(part):
+    name, k = (lambda c: F.concat(F.lit("p"), c)), F.col("p_partkey")
+    return part.where(k % 10 == 3).select(name(k).alias("member"), name(k - 1).alias("canonical"), F.lit(0.9).alias("confidence"))
+
+
 def _rebuilt(spark, d):
     claims = star.standing(spark, d)
     part = star.table(spark, d, "part")
     name = lambda c: F.concat(F.lit("p"), c)
     k = F.col("p_partkey")
-    merges = part.where(k % 10 == 3).select(name(k).alias("member"), name(k - 1).alias("canonical"), F.lit(0.9).alias("confidence"))
     pairs = part.where(k % 100 == 7).select(name(k).alias("a"), name(k + 1).alias("b"), F.lit("same-as").alias("type"), F.lit(0.7).alias("merge_confidence"))
     pairs = pairs.unionByName(part.where(k % 100 == 9).select(name(k).alias("a"), name(k + 2).alias("b"), F.lit("distinct-from").alias("type"), F.lit(None).cast("double").alias("merge_confidence")))
     entities = part.select(name(k).alias("id"), F.lit("part").alias("type"), F.col("p_name").alias("name"), F.lit(0).cast("long").alias("n_claims"))
-
-    def insufficient(kept):
-        typed = kept.join(star.sources(spark, d).select("source_id", "source_type"), "source_id", "left")
-        slots = query.slot_counts(typed, _SLOTS, F.coalesce(credibility.lookup(F.col("source_type"), S.disciplines), F.lit(S.default_discipline)), S.as_of)
-        return query.sufficiency(slots, any_of=["imagery", "trade"]).select("element_id", (~F.col("satisfied")).alias("insufficient"))
-
-    return view.rebuild(claims, star.sources(spark, d), entities, merges, pairs, insufficient, _FUNCTIONAL)
+    return view.rebuild(claims, star.sources(spark, d), entities, _merges(part), pairs, _insufficient(spark, d), _FUNCTIONAL)
 
 
 @register(_VIEW_SQL + """ SELECT id, instance, type, source, target, n_claims, round(confidence::DECIMAL(18, 9), 6)::DOUBLE AS confidence, status, gates, NULL::DOUBLE AS merge_confidence FROM facts JOIN final ON id = element_id
@@ -77,6 +84,16 @@ def rebuild_nodes(spark, d):
     return n.select("id", "type", "name", "n_claims", F.array_join(said, ",").alias("resolved_from"))
 
 
+@register(_VIEW_SQL + " SELECT id, instance, type, source, target, n_claims, round(confidence::DECIMAL(18, 9), 6)::DOUBLE AS confidence, status, gates FROM facts JOIN final ON id = element_id", base=False)
+def rebuild_incremental(spark, d):
+    """All but a tenth of the orders first, with what is retracted or excluded later on; then the rest, and what leaves: the same view."""
+    log = graph.written(star.claims(spark, d))
+    gone = star.retractions(log).select(F.col("target").alias("claim_id")).unionByName(star.exclusions(spark, d, log).select(F.explode("exclude_claims").alias("claim_id")))
+    facts, late = log.where("kind <> 'retraction'"), F.col("orderkey") % 10 == 0
+    live = incremental.LiveView.begin(facts.where(~late), star.sources(spark, d), _merges(star.table(spark, d, "part")), _insufficient(spark, d), _FUNCTIONAL)
+    return live.advance(facts.where(late), gone).edges.withColumn("confidence", F.round(F.col("confidence").cast("decimal(18,9)"), 6).cast("double"))
+
+
 _HALVES = "b AS (SELECT 'u' || user_id AS id, arg_max(event_type, event_id) AS status FROM events WHERE event_id % 3 <> 0 GROUP BY 1), a AS (SELECT 'u' || user_id AS id, arg_max(event_type, event_id) AS status FROM events WHERE event_id % 3 <> 1 GROUP BY 1)"
 
 
