@@ -76,9 +76,12 @@ def exclusions(spark: SparkSession, folder: str, log: DataFrame) -> DataFrame:
 
 
 def standing(spark: SparkSession, folder: str) -> DataFrame:
-    """The claims that a view rests on: no retraction, nothing retracted, nothing excluded. The log is computed once."""
+    """The claims that a view rests on: no retraction, nothing retracted, nothing excluded.
+
+    The log is computed once. What leaves it is written, so that its size is known and a small part needs no shuffle of the log.
+    """
     log = written(claims(spark, folder))
-    return drop_excluded(drop_retracted(log, retractions(log)), exclusions(spark, folder, log))
+    return drop_excluded(drop_retracted(log, written(retractions(log))), written(exclusions(spark, folder, log)))
 
 
 def states(spark: SparkSession, folder: str) -> DataFrame:

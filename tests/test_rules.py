@@ -192,3 +192,28 @@ def test_entities(spark):
     cases = {"a &amp;lt; b": "a &lt; b", "&#8364;&#x1F600;&eacute;": "€😀é", "&nope; &#0; &#xD800; & &": "&nope; &#0; &#xD800; & &", "&apos;&#39;": "\'\'", "": "", "x&copy;y;": "x©y;"}
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     assert {r.s: r.u for r in df.select("s", text.unescaped(F.col("s")).alias("u")).collect()} == cases
+
+
+def test_ranges_are_cut_where_both_ends_are_dates(spark):
+    day = datetime.date
+    cases = {
+        "2020-01-05 to 2020-02-03": (day(2020, 1, 5), day(2020, 2, 3), "range"),
+        "between  17-Jul-2014 - 20-Jul-2014": (day(2014, 7, 17), day(2014, 7, 20), "range"),
+        "March 2020 – q2 2021": (day(2020, 3, 1), day(2021, 6, 30), "range"),
+        "from 2014 to the present": (day(2014, 1, 1), None, "range"),
+        "since H2 2019": (day(2019, 7, 1), day(2019, 12, 31), "as_of"),
+        "2021Q4": (day(2021, 10, 1), day(2021, 12, 31), "label"),
+        "q12020": (day(2020, 1, 1), day(2020, 3, 31), "label"),
+        "second half of 2020": (day(2020, 7, 1), day(2020, 12, 31), "label"),
+        "2020/7": (day(2020, 7, 1), day(2020, 7, 31), "label"),
+        "Sept. 2020": (day(2020, 9, 1), day(2020, 9, 30), "label"),
+        "h3 2020": None,
+        "2020 2021": None,
+        "1850": None,
+        "2020-13": None,
+        "to and from": None,
+        "": None,
+    }
+    d = spark.createDataFrame([(k,) for k in cases], "s string")
+    got = {r.s: r.b and tuple(r.b) for r in d.select("s", dates.normalise(F.col("s"), F.lit("2021-06-15").cast("date")).alias("b")).collect()}
+    assert got == cases
