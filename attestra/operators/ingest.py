@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.session import prepare
+
+
+def _lines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        row, line, start, text = [], [], [], []
+        for i, t in enumerate(b.column(1).to_pylist()):
+            at = 0
+            for n, x in enumerate((t or "").split("\n"), 1):
+                row.append(i)
+                line.append(n)
+                start.append(at)
+                text.append(x)
+                at += len(x) + 1
+        cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(line, pa.int32()), pa.array(start, pa.int32()), pa.array(text, pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "line", "start", "text"])
+
 
 def line_regions(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, start, end, text) of lines that aren't blank; offsets are of characters, end exclusive."""
-    # the offset of a line is the length of all before it, summed inside the row
-    sizes = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(x.alias("text"), F.length(x).alias("n")))
-    step = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["n"] + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x["text"].alias("text")))).alias("out")),
-    )
-    rows = docs.select("doc_id", F.posexplode(step["out"]).alias("line", "r"))
-    return rows.select("doc_id", (F.col("line") + 1).alias("line"), F.col("r.start").alias("start"), (F.col("r.start") + F.length("r.text")).alias("end"), F.col("r.text").alias("text")).where(F.trim("text") != "")
+    """(doc_id, line, start, end, text) of lines that aren't blank; offsets are of characters, end exclusive. A null text has none.
+
+    Each text is gone through once: built-in functions would copy what is before a line for each of them.
+    """
+    prepare(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_lines, f"doc_id {kind}, line int, start int, text string")
+    return rows.select("doc_id", "line", "start", (F.col("start") + F.length("text")).alias("end"), "text").where(F.trim("text") != "")
 
 
 def overlapping(spans: DataFrame, regions: DataFrame, width: int = 4096) -> DataFrame:

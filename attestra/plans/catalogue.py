@@ -689,9 +689,9 @@ def hamming_pairs(spark, d):
 # -- documents
 
 
-@register("SELECT doc_id, i AS line, p AS start, p + length(l) AS \"end\" FROM (SELECT doc_id, i, ls[i] AS l, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0)::INTEGER AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), range(1, len(ls) + 1) AS r(i)) WHERE trim(l) <> ''", base=False)
+@register("SELECT doc_id, i AS line, p AS start, p + length(l) AS \"end\" FROM (SELECT doc_id, i, ls[i] AS l, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0)::INTEGER AS p FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), range(1, len(ls) + 1) AS r(i)) WHERE trim(l) <> ''", base=False)
 def line_offsets(spark, d):
-    return ingest.line_regions(star.table(spark, d, "documents").where("text is not null")).select("doc_id", F.col("line").cast("long").alias("line"), "start", "end")
+    return ingest.line_regions(star.table(spark, d, "documents")).select("doc_id", F.col("line").cast("long").alias("line"), "start", "end")
 
 
 @register("SELECT doc_id, i AS line FROM (SELECT doc_id, n_chars, i, ls[i] AS l, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS p FROM (SELECT doc_id, length(text) AS n_chars, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), range(1, len(ls) + 1) AS r(i)) WHERE trim(l) <> '' AND p < n_chars // 2 + 50 AND n_chars // 2 < p + length(l)", base=False)
