@@ -54,13 +54,17 @@ class ClaimLog:
 
 
 def read_bundles(spark: SparkSession, folder: str, schema: str, exclude: list[str] | None = None) -> DataFrame:
-    """Claims of all JSON files of a folder, arrays or one record a line, with doc (the file's stem before __)."""
+    """Claims of all JSON files of a folder, arrays or one record a line, with doc (the file's stem before __).
+
+    A file or line that is no JSON of this schema, such as an array cut short, fails the read: nothing is left out unsaid.
+    """
+    strict = {"mode": "FAILFAST"}
     raw = spark.read.text(f"{folder}/*.json*", wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(__.*)?\.jsonl?$", 1).alias("doc"))
     if exclude:
         raw = raw.where(~F.col("doc").isin(exclude))
     array = F.trim("value").startswith("[")
-    one = raw.where(array).select("doc", F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("pos", "r"))
-    lines = raw.where(~array).select("doc", F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.trim("line") != "").select("doc", "pos", F.from_json("line", schema).alias("r"))
+    one = raw.where(array).select("doc", F.posexplode(F.from_json("value", f"array<struct<{schema}>>", strict)).alias("pos", "r"))
+    lines = raw.where(~array).select("doc", F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.trim("line") != "").select("doc", "pos", F.from_json("line", schema, strict).alias("r"))
     return one.unionByName(lines).select("doc", "pos", "r.*")
 
 

@@ -38,14 +38,14 @@ def plain(a, b):
 
 def test_weighted_ratio(spark):
     rnd = random.Random(6)
-    names = ["", "a", "hq 9 p", "hq 9", "hq-9/p launcher of the army", "x" * 200, "ü 😀"] + [" ".join("".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 5))) for _ in range(rnd.randrange(1, 6))) for _ in range(40)]
+    names = ["", "a", "kx 9 p", "kx 9", "kx-9/p launcher of the army", "x" * 200, "ü 😀"] + [" ".join("".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 5))) for _ in range(rnd.randrange(1, 6))) for _ in range(40)]
     for a, b in itertools.product(names, names):
         assert math.isclose(fuzzy.weighted(a, b), plain(a, b), abs_tol=1e-9), (a, b)
-    d = spark.createDataFrame([("hq 9", "hq 9 p"), (None, "x"), ("hq 9", "hq 9 p")], "a string, b string")
-    assert [round(r.s, 6) for r in d.select(fuzzy.weighted_ratio("a", "b").alias("s")).collect()] == [round(plain("hq 9", "hq 9 p"), 6), 0.0, round(plain("hq 9", "hq 9 p"), 6)]
+    d = spark.createDataFrame([("kx 9", "kx 9 p"), (None, "x"), ("kx 9", "kx 9 p")], "a string, b string")
+    assert [round(r.s, 6) for r in d.select(fuzzy.weighted_ratio("a", "b").alias("s")).collect()] == [round(plain("kx 9", "kx 9 p"), 6), 0.0, round(plain("kx 9", "kx 9 p"), 6)]
 
 
-SURFACES = [("n1", "variant", "HQ-9/P", "name"), ("n1", "variant", "FD-2000", "alias"), ("n2", "variant", "HQ-9BE", "name"), ("n3", "unit", "HQ 9P", "alias"), ("n3", "unit", "Air Defence Army", "name"), ("n4", "unit", "air defence army", "name"), ("n5", "site", "", "alias"), ("n5", "site", "Rahwali Cantonment", "name")]
+SURFACES = [("n1", "variant", "KX-9/P", "name"), ("n1", "variant", "LM-2000", "alias"), ("n2", "variant", "KX-9BE", "name"), ("n3", "unit", "KX 9P", "alias"), ("n3", "unit", "Air Defence Army", "name"), ("n4", "unit", "air defence army", "name"), ("n5", "site", "", "alias"), ("n5", "site", "Eastmoor Barracks", "name")]
 
 
 def find(spark, text, hint=None, vetoes=()):
@@ -55,14 +55,14 @@ def find(spark, text, hint=None, vetoes=()):
 
 
 def test_tiers_of_find_entity(spark):
-    assert find(spark, " hq-9/p ") == [("n1", "exact", "exact", True)]
-    assert find(spark, "fd2000") == [("n1", "squashed", "near", True)]
+    assert find(spark, " kx-9/p ") == [("n1", "exact", "exact", True)]
+    assert find(spark, "lm2000") == [("n1", "squashed", "near", True)]
     assert find(spark, "AIR  defence army") == [("n3", "exact", "ambiguous", False), ("n4", "exact", "ambiguous", False)]
-    assert find(spark, "HQ9P") == [("n1", "squashed", "ambiguous", False), ("n3", "squashed", "ambiguous", False)]
-    assert find(spark, "HQ9P", "variant") == [("n1", "squashed", "near", True)]
-    assert [r[:3] for r in find(spark, "Rahwali Cantt")] == [("n5", "suggested", "near")] and not find(spark, "Rahwali Cantt")[0][3]
-    assert find(spark, "zzz") == [] and find(spark, "") == [] and find(spark, "HQ-9/P", "site") == []
-    assert find(spark, "hq-9/p", None, [("n1", "n2"), ("n3", "n1")]) == [("n1", "exact", "exact", True)]
+    assert find(spark, "KX9P") == [("n1", "squashed", "ambiguous", False), ("n3", "squashed", "ambiguous", False)]
+    assert find(spark, "KX9P", "variant") == [("n1", "squashed", "near", True)]
+    assert [r[:3] for r in find(spark, "Eastmoor Barrack")] == [("n5", "suggested", "near")] and not find(spark, "Eastmoor Barrack")[0][3]
+    assert find(spark, "zzz") == [] and find(spark, "") == [] and find(spark, "KX-9/P", "site") == []
+    assert find(spark, "kx-9/p", None, [("n1", "n2"), ("n3", "n1")]) == [("n1", "exact", "exact", True)]
 
 
 def test_suggested_against_plain_code(spark):
@@ -86,20 +86,20 @@ def test_suggested_against_plain_code(spark):
 
 
 def test_mentions_are_attached_minted_or_refused(spark):
-    entities = [("var1", "variant", "HQ-9/P", True), ("ent:unit:PAAD", "unit", "PAAD", False), ("c1", "component", "HT-233", True), ("ent:variant:HT-233", "variant", "HT-233", False), ("t1", "variant", "Twin", False), ("t2", "variant", "twin", False), ("u1", "unit", "Both", True), ("u2", "unit", "both", True), ("s1", "site", "BOTH", False)]
+    entities = [("var1", "variant", "KX-9/P", True), ("ent:unit:NHAD", "unit", "NHAD", False), ("c1", "component", "QR-233", True), ("ent:variant:QR-233", "variant", "QR-233", False), ("t1", "variant", "Twin", False), ("t2", "variant", "twin", False), ("u1", "unit", "Both", True), ("u2", "unit", "both", True), ("s1", "site", "BOTH", False)]
     e = spark.createDataFrame(entities, "id string, type string, name string, registered boolean")
     lanes = spark.createDataFrame([("equips", ["component"], ["variant"]), ("near", None, []), ("held-by", ["variant", "component"], ["unit"]), ("at", ["unit", "site"], ["site"])], "predicate string, from_types array<string>, to_types array<string>")
-    edges = [("equips", "HT-233", "hq 9p"), ("held-by", "HT-233", "PAAD"), ("held-by", "Twin", "New Unit"), ("near", "Nobody", "Nothing"), ("at", "both", "both x"), ("at", "var1", "Both"), ("equips", "Odd", "x"), ("at", "y", "Odd"), ("held-by", "", "PAAD")]
+    edges = [("equips", "QR-233", "kx 9p"), ("held-by", "QR-233", "NHAD"), ("held-by", "Twin", "New Unit"), ("near", "Nobody", "Nothing"), ("at", "both", "both x"), ("at", "var1", "Both"), ("equips", "Odd", "x"), ("at", "y", "Odd"), ("held-by", "", "NHAD")]
     types = linking.endpoint_types(spark.createDataFrame(edges, "predicate string, subject string, object string"), lanes)
     got = {r.form: (r.implied, r.allowed) for r in types.collect()}
-    assert got["HT-233"] == (["component"], ["component"]) and got["both"] == ([], ["site", "unit"]) and got["Odd"] == (["component", "site"], []) and "Nobody" not in got
+    assert got["QR-233"] == (["component"], ["component"]) and got["both"] == ([], ["site", "unit"]) and got["Odd"] == (["component", "site"], []) and "Nobody" not in got
     forms = types.unionByName(spark.createDataFrame([("Nobody", [], [])], types.schema))
-    classes = spark.createDataFrame([("hq 9p", "h"), ("hq 9 p", "h")], "name string, root string")
+    classes = spark.createDataFrame([("kx 9p", "h"), ("kx 9 p", "h")], "name string, root string")
     out = {r.form: (r.verdict, r.target, r.reason) for r in linking.link_mentions(forms, e, spark.createDataFrame([("t2", "t1"), ("var1", "c1"), ("gone", "t1")], "a string, b string"), classes).collect()}
     assert out == {
-        "HT-233": ("attached", "c1", None),
-        "hq 9p": ("minted", "ent:variant:hq 9p", None),
-        "PAAD": ("attached", "ent:unit:PAAD", None),
+        "QR-233": ("attached", "c1", None),
+        "kx 9p": ("minted", "ent:variant:kx 9p", None),
+        "NHAD": ("attached", "ent:unit:NHAD", None),
         "Twin": ("refused", None, "veto-straddle"),
         "New Unit": ("minted", "ent:unit:New Unit", None),
         "both": ("refused", None, "types-contradict"),
@@ -116,9 +116,9 @@ def test_mentions_are_attached_minted_or_refused(spark):
 
 
 def test_anchors_by_tier(spark):
-    nodes = spark.createDataFrame([("n2", "unit", ["Old Name", None], 2), ("n1", "unit", ["PAAD", "old-name"], 1), ("n3", "site", ["PAAD"], 0)], "id string, type string, forms array<string>, ord int")
-    registry = spark.createDataFrame([("unit_paad", "unit", ["Paad"]), ("site_x", "site", ["nowhere"]), ("n3", "unit", ["PAAD"])], "entity_id string, type string, forms array<string>")
+    nodes = spark.createDataFrame([("n2", "unit", ["Old Name", None], 2), ("n1", "unit", ["NHAD", "old-name"], 1), ("n3", "site", ["NHAD"], 0)], "id string, type string, forms array<string>, ord int")
+    registry = spark.createDataFrame([("unit_nhad", "unit", ["Nhad"]), ("site_x", "site", ["nowhere"]), ("n3", "unit", ["NHAD"])], "entity_id string, type string, forms array<string>")
     classes = spark.createDataFrame([("army", "a"), ("old name", "a")], "name string, root string")
-    anchors = spark.createDataFrame([("n3",), ("unit_paad",), ("site_x",), ("Army",), ("paad",), ("",), ("n3",)], "anchor string")
+    anchors = spark.createDataFrame([("n3",), ("unit_nhad",), ("site_x",), ("Army",), ("nhad",), ("",), ("n3",)], "anchor string")
     got = {r.anchor: (r.node, r.via) for r in linking.resolve_anchors(anchors, nodes, registry, classes).collect()}
-    assert got == {"n3": ("n3", "literal"), "unit_paad": ("n1", "registry-alias"), "site_x": (None, None), "Army": ("n1", "alias-class"), "paad": ("n3", "alias-class"), "": (None, None)}
+    assert got == {"n3": ("n3", "literal"), "unit_nhad": ("n1", "registry-alias"), "site_x": (None, None), "Army": ("n1", "alias-class"), "nhad": ("n3", "alias-class"), "": (None, None)}

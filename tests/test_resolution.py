@@ -140,10 +140,10 @@ def test_evidence_of_identity(spark):
         (("u", "x", "alpha", None, None), ("u", "x", "alpha", None, None), True),
         (("u", "x", "alpha", None, None), ("u", "y", "alpha", None, None), False),
         (("u", None, "", None, None), ("u", None, "", None, None), False),
-        (("u", None, "ht 233", None, None), ("u", "x", "ht 233 radar", None, None), True),
-        (("u", None, "ht 233", None, None), ("u", None, "ht 233 p", None, None), False),
-        (("u", None, "paad", None, None), ("u", None, "pakistan army air defence", None, None), True),
-        (("u", None, "paad", None, None), ("w", None, "pakistan army air defence", None, None), False),
+        (("u", None, "qr 233", None, None), ("u", "x", "qr 233 radar", None, None), True),
+        (("u", None, "qr 233", None, None), ("u", None, "qr 233 p", None, None), False),
+        (("u", None, "nhad", None, None), ("u", None, "northern highland air defence", None, None), True),
+        (("u", None, "nhad", None, None), ("w", None, "northern highland air defence", None, None), False),
     ]
     d = spark.createDataFrame(cases, f"x {t}, y {t}, want boolean")
     assert all(r.want == r.got for r in d.withColumn("got", fixpoint.bootstrap_evidence("x", "y")).collect())

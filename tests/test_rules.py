@@ -5,6 +5,7 @@ import math
 import random
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from attestra.functions import dates, text
@@ -115,6 +116,12 @@ def test_bundles(spark, tmp_path):
     (tmp_path / "skip.json").write_text("[]")
     got = read_bundles(spark, str(tmp_path), "claim_id string, n int", ["skip"])
     assert rows(got.select("doc", "claim_id", "n")) == [("d1", "a", 1), ("d1", "b", None), ("d2", "c", 3), ("d2", "d", None)]
+    for name, text_ in (("cut.json", '[{"claim_id": "a", "n": 1}, {"claim'), ("bad.jsonl", '{"claim_id": "c"}\nnot a record\n')):
+        (tmp_path / "sub").mkdir(exist_ok=True)
+        (tmp_path / "sub" / name).write_text(text_)
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read_bundles(spark, str(tmp_path / "sub"), "claim_id string, n int").collect()
+        (tmp_path / "sub" / name).unlink()
 
 
 def test_watch(spark, tmp_path):
