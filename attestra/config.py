@@ -47,6 +47,12 @@ class Settings:
     merge_auto: float = 0.85
     merge_review: float = 0.6
     place_radius_km: float = 400.0
+    #: how much a position is trusted, by how it was found
+    location_confidence: dict[str, float] = field(default_factory=lambda: {"stated": 1.0, "gazetteer": 0.9, "mention": 0.5, "offset": 0.5})
+    #: how far off a position of this precision may be; finest first
+    precision_radius_m: dict[str, float] = field(default_factory=lambda: {"pad": 500.0, "site": 1500.0, "terminal": 3000.0, "district": 5000.0, "city": 15000.0, "province": 150000.0})
+    #: places of these precisions are things; all coarser ones are areas that many things share
+    identity_precisions: tuple[str, ...] = ("pad", "site", "terminal")
 
     @classmethod
     def load(cls, path: str) -> Settings:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 EARTH_KM = 6371.0
 
@@ -55,6 +55,37 @@ def geodesic_km(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Seri
     return pd.Series(out)
 
 
+@F.pandas_udf(StructType([StructField("lat", DoubleType()), StructField("lon", DoubleType())]))
+def geodesic_destination(lat: pd.Series, lon: pd.Series, km: pd.Series, bearing: pd.Series) -> pd.DataFrame:
+    """Where a geodesic of the WGS84 ellipsoid ends, by Vincenty's direct formula; nulls where any input is null."""
+    a, f = 6378.137, 1 / 298.257223563
+    b = (1 - f) * a
+    p, l, w = (np.radians(x.to_numpy(float)) for x in (lat, lon, bearing))
+    s = km.to_numpy(float)
+    u = np.arctan((1 - f) * np.tan(p))
+    start = np.arctan2(np.tan(u), np.cos(w))
+    sin_a = np.cos(u) * np.sin(w)
+    cos2 = 1 - sin_a**2
+    uu = cos2 * (a * a - b * b) / (b * b)
+    big_a = 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu)))
+    big_b = uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu)))
+    straight = s / (b * big_a)
+    sigma = straight.copy()
+    for _ in range(30):
+        mid = np.cos(2 * start + sigma)
+        k, c = np.sin(sigma), np.cos(sigma)
+        new = straight + big_b * k * (mid + big_b / 4 * (c * (2 * mid**2 - 1) - big_b / 6 * mid * (4 * k**2 - 3) * (4 * mid**2 - 3)))
+        if np.nanmax(np.abs(new - sigma), initial=0) < 1e-14:
+            break
+        sigma = new
+    k, c, mid = np.sin(sigma), np.cos(sigma), np.cos(2 * start + sigma)
+    to = np.arctan2(np.sin(u) * c + np.cos(u) * k * np.cos(w), (1 - f) * np.hypot(sin_a, np.sin(u) * k - np.cos(u) * c * np.cos(w)))
+    lam = np.arctan2(k * np.sin(w), np.cos(u) * c - np.sin(u) * k * np.cos(w))
+    big_c = f / 16 * cos2 * (4 + f * (4 - 3 * cos2))
+    east = lam - (1 - big_c) * f * sin_a * (sigma + big_c * k * (mid + big_c * c * (2 * mid**2 - 1)))
+    return pd.DataFrame({"lat": np.degrees(to), "lon": (np.degrees(l + east) + 180) % 360 - 180})
+
+
 def parse_dms(x: Column) -> Column:
     """Degrees of '12°34\\'56\"N' or '12 34 56 N'; null for anything else."""
     rx = r"^\s*(\d{1,3})[°\s]\s*(\d{1,2})['\s]\s*(\d{1,2}(?:\.\d+)?)[\"\s]*\s*([NSEW])\s*$"
