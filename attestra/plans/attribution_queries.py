@@ -13,8 +13,8 @@ from attestra.sources import star
 _LEGS = """WITH sites AS (SELECT 'c' || c_custkey AS site FROM customer
 ), shapes AS (SELECT 'c' || o_custkey AS site, 'o' || o_orderkey AS observation, o_orderdate AS ord FROM orders WHERE o_orderstatus = 'F'
 ), premises AS (SELECT 'o' || o_orderkey AS claim FROM orders WHERE o_orderpriority = '1-URGENT'
-), hops AS (SELECT 'u' || (p_partkey % 50) AS node, 'p' || p_partkey AS variant, -p_size AS ord FROM part WHERE p_partkey % 50 < 40
-), presence AS (SELECT 'c' || o_custkey AS site, CASE WHEN o_orderkey % 3 = 0 THEN 'p' || (o_orderkey % 2000) ELSE 'u' || (o_orderkey % 50) END AS other, CASE WHEN o_orderkey % 3 = 0 THEN 'variant' ELSE 'unit' END AS other_type, 'o' || o_orderkey AS claim, o_orderdate AS ord FROM orders WHERE o_orderstatus = 'O'
+), hops AS (SELECT 'u' || (p_partkey % 50) AS node, 'p' || p_partkey AS variant, -p_size AS ord FROM part
+), presence AS (SELECT 'c' || o_custkey AS site, CASE WHEN o_orderkey % 3 = 0 THEN 'p' || (o_orderkey % 2000) ELSE 'u' || (o_orderkey % 60) END AS other, CASE WHEN o_orderkey % 3 = 0 THEN 'variant' ELSE 'unit' END AS other_type, 'o' || o_orderkey AS claim, o_orderdate AS ord FROM orders WHERE o_orderstatus = 'O'
 ), marks AS (SELECT CASE WHEN l_linenumber = 1 THEN 'p' || l_partkey ELSE 'u' || (l_partkey % 50) END AS holder, CASE WHEN l_linenumber = 1 THEN 'o' || l_orderkey ELSE 'l' || l_orderkey || ':' || l_linenumber || ':' || l_partkey END AS claim, CASE WHEN l_tax > 0.02 THEN ' ' || l_shipdate::DATE ELSE '' END AS geometry, l_extendedprice AS ord FROM lineitem WHERE l_linenumber = 1 OR (l_linenumber = 5 AND l_quantity < 5)
 )"""
 
@@ -40,9 +40,9 @@ def attribution_candidates(spark, d):
     shapes = o.where("o_orderstatus = 'F'").select(name("c", F.col("o_custkey")).alias("site"), name("o", k).alias("observation"), F.col("o_orderdate").alias("ord"))
     premises = o.where("o_orderpriority = '1-URGENT'").select(name("o", k).alias("claim"))
     p = F.col("p_partkey")
-    hops = star.table(spark, d, "part").where(p % 50 < 40).select(name("u", p % 50).alias("node"), name("p", p).alias("variant"), (-F.col("p_size")).alias("ord"))
+    hops = star.table(spark, d, "part").select(name("u", p % 50).alias("node"), name("p", p).alias("variant"), (-F.col("p_size")).alias("ord"))
     direct = k % 3 == 0
-    presence = o.where("o_orderstatus = 'O'").select(name("c", F.col("o_custkey")).alias("site"), F.when(direct, name("p", k % 2000)).otherwise(name("u", k % 50)).alias("other"), F.when(direct, "variant").otherwise("unit").alias("other_type"), name("o", k).alias("claim"), F.col("o_orderdate").alias("ord"))
+    presence = o.where("o_orderstatus = 'O'").select(name("c", F.col("o_custkey")).alias("site"), F.when(direct, name("p", k % 2000)).otherwise(name("u", k % 60)).alias("other"), F.when(direct, "variant").otherwise("unit").alias("other_type"), name("o", k).alias("claim"), F.col("o_orderdate").alias("ord"))
     x, line = star.table(spark, d, "lineitem"), F.col("l_linenumber")
     first = line == 1
     claim = F.when(first, name("o", F.col("l_orderkey"))).otherwise(F.concat(F.lit("l"), "l_orderkey", F.lit(":"), "l_linenumber", F.lit(":"), "l_partkey"))
