@@ -1,5 +1,8 @@
 """How the steps that many queries share move their rows."""
 
+import datetime
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from attestra.operators import credibility, filters
@@ -53,5 +56,17 @@ def test_excluded_where_any_row_of_an_order_is(spark, tmp_path):
     assert star.claims(spark, str(tmp_path)).count() == star.claims(spark, SF).count()
 
 
+def test_claims_without_an_image_are_no_join(spark):
+    day = datetime.date(2001, 1, 1)
+    rows = [Row(claim_id=f"c{i}", fingerprint=f"h{i // 2}" if i < 4 else None, event_date=day) for i in range(400)]
+    c = spark.createDataFrame(rows, "claim_id string, fingerprint string, event_date date").repartition(8)
+    got = credibility.recycled(c)
+    assert {r.claim_id: r.first_seen for r in got.where("fingerprint is not null").collect()} == {"c0": "original", "c1": "recycled", "c2": "original", "c3": "recycled"}
+    assert got.count() == 400 and got.where("first_seen is not null").count() == 4
+    # under one null they would all land in one partition of the join
+    most = got.where("fingerprint is null").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 200
+
+
 def test_freshness_reads_claims_once(spark):
     assert sum("Scan parquet" in line and "lineitem" in line for line in plan(credibility.element_freshness(star.standing(spark, SF))).splitlines()) == 1
