@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from attestra.operators import credibility, filters
+from attestra.operators import assessment, credibility, filters
 from attestra.sources import star
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,30 @@ def test_claims_without_an_image_are_no_join(spark):
 
 def test_freshness_reads_claims_once(spark):
     assert sum("Scan parquet" in line and "lineitem" in line for line in plan(credibility.element_freshness(star.standing(spark, SF))).splitlines()) == 1
+
+
+def test_groups_of_large_elements_are_the_same(spark, monkeypatch):
+    rows = []
+    for e in range(3):
+        # a chain of images through the whole element, another of origins, and lone claims
+        for i in range(60):
+            image = f"i{i // 2}" if i < 20 else None
+            origin = f"o{(i + 1) // 2}" if i < 20 else f"lone{i % 15}"
+            rows.append(Row(element_id=f"e{e}", claim_id=f"c{i:02}", source_id="s", origin=origin, fingerprint=image, bias=None, aggregator_of=None, denial=False))
+    c = spark.createDataFrame(rows, "element_id string, claim_id string, source_id string, origin string, fingerprint string, bias string, aggregator_of string, denial boolean")
+    premises = spark.createDataFrame([("c40", "c00"), ("c41", "c42")], "claim_id string, premise string")
+    for p in (None, premises):
+        small = sorted(map(tuple, assessment.independence_groups(c, premises=p).collect()))
+        monkeypatch.setattr(assessment, "LARGE_ELEMENT", 1)
+        assert sorted(map(tuple, assessment.independence_groups(c, premises=p).collect())) == small
+        monkeypatch.undo()
+        by = {(e, k): g for e, k, g in small}
+        assert len(by) == 180 and {by["e0", f"c{i:02}"] for i in range(20)} == {"grp:c00"} and by["e1", "c35"] == by["e1", "c50"] == "grp:c20"
+        assert (by["e2", "c40"] == "grp:c00") == (p is not None)
+
+
+def test_groups_of_small_elements_take_no_rounds(spark):
+    c = spark.createDataFrame([("e", f"c{i}", "s", "o", None, None, None, False) for i in range(4)], "element_id string, claim_id string, source_id string, origin string, fingerprint string, bias string, aggregator_of string, denial boolean")
+    got = assessment.independence_groups(c)
+    # nothing was kept on the way: the plan begins with the claims
+    assert "Scan ExistingRDD" in plan(got) and "Window" not in plan(got) and got.count() == 4
