@@ -122,13 +122,11 @@ def supply_chains(subjects: DataFrame, variants: DataFrame, pool: DataFrame, lin
     of = written(of)
     steps = written(edges.select("id", "type", "a", "b"))
 
-    def walked(rows: DataFrame, start: str) -> DataFrame:
-        ends = rows.select(F.col(start).alias("src"), F.col("end").alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
-        return written(shortest_paths(steps, ends, hops)).select(F.col("src").alias(start), F.col("dst").alias("end"), F.struct("nodes", "edges").alias("_path"))
-
-    full = of.join(walked(of, "start"), ["start", "end"], "left")
-    open_ = full.where("_path is null and maker is not null and start <> variant")
-    full = full.join(walked(open_, "variant").withColumnRenamed("_path", "_part"), ["variant", "end"], "left")
+    # one walk for both, as most variants are a start themselves
+    open_ = of.where("maker is not null and start <> variant")
+    ends = of.select("start", "end").unionByName(open_.select(F.col("variant").alias("start"), "end")).distinct()
+    paths = shortest_paths(steps, ends.select(F.col("start").alias("src"), F.col("end").alias("dst")), hops).select(F.col("src").alias("start"), F.col("dst").alias("end"), F.struct("nodes", "edges").alias("_path"))
+    full = of.join(paths, ["start", "end"], "left").join(paths.select(F.col("start").alias("variant"), "end", F.col("_path").alias("_part")), ["variant", "end"], "left")
     slots = unmet.groupBy("component").agg(F.array_sort(F.collect_set("slot")).alias("_slots"))
     full = full.join(slots, "component", "left")
     path = F.col("_path").isNotNull()

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,37 @@ def test_shortest_path_takes_first_of_equal(spark):
     assert [(r.hops, r.edges) for r in graph.shortest_paths(e, p).collect()] == [(2, ["e1", "e4"])]
 
 
+def test_shortest_paths_are_the_first_of_all(spark):
+    draw = random.Random(5)
+    e = [(f"e{i}", draw.choice("tu"), f"n{draw.randrange(24)}", f"n{draw.randrange(24)}") for i in range(34)]
+    nodes = [f"n{i}" for i in range(24)]
+    want = {}
+    for src in nodes:
+        paths = [((), (src,))]
+        for k in range(1, 5):
+            paths = [(keys + ((t, i),), walk + (y,)) for keys, walk in paths for i, t, a, b in e for x, y in ((a, b), (b, a)) if x == walk[-1] and y not in walk]
+            for keys, walk in sorted(paths):
+                want.setdefault((src, walk[-1]), (k, list(walk), [i for _, i in keys]))
+    edges = spark.createDataFrame(e, "id string, type string, a string, b string")
+    pairs = spark.createDataFrame([(a, b) for a in nodes for b in nodes], "src string, dst string")
+    for hops in (1, 2, 3, 4):
+        got = {(r.src, r.dst): (r.hops, r.nodes, r.edges) for r in graph.shortest_paths(edges, pairs, hops).collect()}
+        assert got == {p: w for p, w in want.items() if w[0] <= hops}
+    assert {w[0] for w in want.values()} == {1, 2, 3, 4}
+
+
+def test_shortest_paths_look_no_further_than_asked(spark, monkeypatch):
+    # one step away, while 400 nodes lie three steps away
+    e = [("e", "t", "a", "b"), *[(f"f{i}", "t", "a", f"c{i}") for i in range(2)], *[(f"g{i}:{j}", "t", f"c{i}", f"d{i}:{j}") for i in range(2) for j in range(200)], *[(f"h{i}:{j}", "t", f"d{i}:{j}", f"x{i}:{j}") for i in range(2) for j in range(200)]]
+    kept = []
+    for name in ("written", "checkpointed"):
+        keep = getattr(graph, name)
+        monkeypatch.setattr(graph, name, lambda df, keep=keep: kept.append(out := keep(df)) or out)
+    got = graph.shortest_paths(spark.createDataFrame(e, "id string, type string, a string, b string"), spark.createDataFrame([("a", "b")], "src string, dst string"))
+    assert rows(got) == [("a", "b", 1, ["a", "b"], ["e"])]
+    assert sum(df.where("dst is not null").count() for df in kept if "dst" in df.columns) < 100
+
+
 def test_independence_groups(spark):
     c = spark.createDataFrame(
         [("e", "c1", "s1", "o1", None, "none", None, False), ("e", "c2", "s2", "o1", "h", "none", None, False), ("e", "c3", "s3", None, "h", "none", None, False), ("e", "c4", "s4", None, None, "none", None, False), ("e", "c5", "s5", None, None, "none", None, True)],
