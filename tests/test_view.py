@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import marks
 from attestra.operators import analyses, view
+from attestra.plans import view_queries
 
 D = datetime.date
 
@@ -65,3 +66,12 @@ def test_small_rules(spark):
     assert one(marks.quote_supported(F.lit("a  b"), F.lit("x a\nb y"))) and not one(marks.quote_supported(F.lit(" "), F.lit("x")))
     assert [one(marks.dots(F.lit(x).cast("double"))) for x in (None, 0.2, 0.25, 0.5, 0.75)] == [2, 1, 2, 3, 4]
     assert [tuple(r) for r in [one(marks.count_range(F.lit(2), F.lit(5), F.lit(x))) for x in (True, False)]] == [(None, None), (2, 5)]
+
+
+def test_rebuild_keeps_what_is_read_again_and_no_lists_of_claims(spark, monkeypatch):
+    kept, keep = [], view.written
+    monkeypatch.setattr(view, "written", lambda df: kept.append(df.columns) or keep(df))
+    assert view_queries.rebuild(spark, "/root/testdata/sf0.001").count() > 0
+    # merges and sources met claims by guessed sizes before, and lists of claims moved with intervals
+    assert ["member", "canonical", "confidence"] in kept and any("grade" in c for c in kept)
+    assert any("relation" in c for c in kept) and not any("claim_ids" in c for c in kept)
