@@ -68,17 +68,16 @@ def remap(refs: Column, ids: Column) -> Column:
 def pack_windows(pages: DataFrame, most_pages: int = 8, most_chars: int = 60_000) -> DataFrame:
     """pages (doc_id, page, n_chars) with window: pages in order, as many as fit; a document's pages are one group."""
 
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("page")
-        out, window, count, chars = [], 0, 0, 0
-        for n in g.n_chars:
-            if count and (count >= most_pages or chars + n > most_chars):
-                window, count, chars = window + 1, 0, 0
-            out.append(window)
-            count, chars = count + 1, chars + n
-        return g.assign(window=out)[["doc_id", "page", "window"]]
-
-    return pages.groupBy("doc_id").applyInPandas(pack, "doc_id long, page int, window int")
+    def pack(s: Column, p: Column) -> Column:
+        full = (s["count"] >= most_pages) | F.coalesce(s["chars"] + p["n"] > most_chars, F.lit(False))
+        turn = (s["count"] > 0) & full
+        window, count, chars = s["window"] + turn.cast("int"), F.when(turn, 0).otherwise(s["count"]) + 1, F.when(turn, 0.0).otherwise(s["chars"]) + p["n"]
+        return F.struct(F.concat(s["out"], F.array(F.struct(p["page"].alias("page"), window.alias("window")))).alias("out"), window.alias("window"), count.alias("count"), chars.alias("chars"))
+
+    page = F.struct(F.col("page").isNull().alias("last"), F.col("page").cast("int").alias("page"), F.col("n_chars").cast("double").alias("n"))
+    docs = pages.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    none = F.struct(F.array().cast("array<struct<page:int,window:int>>").alias("out"), F.lit(0).alias("window"), F.lit(0).alias("count"), F.lit(0.0).alias("chars"))
+    return docs.select("doc_id", F.explode(F.aggregate("pages", none, pack, lambda s: s["out"])).alias("p")).select("doc_id", "p.page", "p.window")
 
 
 def basing(occupancy: DataFrame, formation: DataFrame) -> DataFrame:
