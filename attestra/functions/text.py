@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from attestra.operators.graph import written
+
 #: Fixed set of scripts that a name keeps: digits, Latin, CJK, Cyrillic, Arabic, Devanagari.
 _KEPT = r"[^0-9a-zÀ-ɏ一-鿿Ѐ-ӿ؀-ۿऀ-ॿ]+"
 
@@ -114,14 +116,16 @@ def _same_as(term: str):
 
 
 def bm25(docs: DataFrame, query: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(id, score) of docs (id, tokens) for the query's terms, which are few: one pass for statistics, one to score."""
-    n = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg"), *[F.count(F.when(F.array_contains("tokens", t), 1)).alias(f"d{i}") for i, t in enumerate(query)]).first()
+    """(id, score) of docs (id, tokens) for the query's terms, which are few: one pass over the tokens, for their number and those of the
+    query, which are kept; statistics and scores come from these."""
+    docs = written(docs.select("id", F.size("tokens").alias("size"), F.filter("tokens", lambda t: t.isin(query)).alias("hits")))
+    n = docs.agg(F.count("*").alias("n"), F.avg("size").alias("avg"), *[F.count(F.when(F.array_contains("hits", t), 1)).alias(f"d{i}") for i, t in enumerate(query)]).first()
     score = F.lit(0.0)
     for i, t in enumerate(query):
         df = n[f"d{i}"]
         idf = F.log(F.lit((n.n - df + 0.5) / (df + 0.5) + 1.0))
-        tf = F.size(F.array_remove(F.transform("tokens", _same_as(t)), False)).cast("double")
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("tokens") / F.lit(n.avg or 1.0)))
+        tf = F.size(F.filter("hits", _same_as(t))).cast("double")
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("size") / F.lit(n.avg or 1.0)))
     return docs.select("id", score.alias("score")).where("score > 0")
 
 

@@ -1,7 +1,9 @@
 """Steps that meet their rows once: what they come to, and how often or with how many rows they go there."""
 
+import math
 import random
 
+from attestra.functions import text
 from attestra.operators import ingest
 
 
@@ -45,3 +47,18 @@ def test_pages_are_packed_without_a_call_for_each_document(spark):
     got = ingest.pack_windows(spark.createDataFrame(pages, "doc_id long, page int, n_chars int"))
     assert rows(got) == sorted(want, key=repr) and got.dtypes == [("doc_id", "bigint"), ("page", "int"), ("window", "int")]
     assert "InPandas" not in plan(got).toString()
+
+
+def test_bm25_reads_tokens_once(spark, monkeypatch):
+    docs, query = [(1, ["a", "b", "a"]), (2, ["c"]), (3, ["b", "c", "d", "d"]), (4, [])], ["a", "d", "zz", "a"]
+    kept, keep = [], text.written
+    monkeypatch.setattr(text, "written", lambda df: kept.append(df.columns) or keep(df))
+    got = {r.id: r.score for r in text.bm25(spark.createDataFrame(docs, "id int, tokens array<string>"), query).collect()}
+    want, mean = {}, sum(len(t) for _, t in docs) / len(docs)
+    for i, t in docs:
+        for q in query:
+            df = sum(q in u for _, u in docs)
+            want[i] = want.get(i, 0.0) + math.log((len(docs) - df + 0.5) / (df + 0.5) + 1) * t.count(q) * 2.5 / (t.count(q) + 1.5 * (0.25 + 0.75 * len(t) / mean))
+    want = {i: s for i, s in want.items() if s > 0}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert kept == [["id", "size", "hits"]]
