@@ -92,18 +92,19 @@ def resolve_anchors(anchors: DataFrame, nodes: DataFrame, registry: DataFrame, c
 
     nodes: (id, type, forms array, ord), of several that fit the first by ord is taken; registry: (entity_id, type, forms array), whose
     entry's name or alias a node of its type must bear; classes: (name, root). Each tier is one equi-join, and a later one
-    only meets the anchors that the earlier ones left.
+    only meets the anchors that the earlier ones left. Anchors meet the first node of a form or class, never all that bear it.
     """
     anchors = anchors.select("anchor").distinct()
     literal = anchors.join(nodes.select(F.col("id").alias("anchor")).distinct(), "anchor", "left_semi").select("anchor", F.col("anchor").alias("node"), F.lit("literal").alias("via"))
     left = anchors.join(literal.select("anchor"), "anchor", "left_anti")
     form = lambda df, *keep: df.select(*keep, F.explode("forms").alias("_f")).withColumn("form", F.nullif(normalise_name(F.col("_f")), F.lit(""))).where("form is not null").drop("_f").distinct()
     borne = form(nodes, "id", "type", "ord")
-    first = F.min_by(F.col("id"), F.struct("ord", "id")).alias("node")
+    first = F.min(F.struct("ord", "id")).alias("first")
+    least = lambda met: met.groupBy("anchor").agg(F.min("first").alias("first")).select("anchor", F.col("first.id").alias("node"))
     wanted = form(registry.withColumnRenamed("entity_id", "anchor"), "anchor", "type")
-    by_registry = left.join(wanted, "anchor").join(borne, ["type", "form"]).groupBy("anchor").agg(first).withColumn("via", F.lit("registry-alias"))
+    by_registry = least(left.join(wanted, "anchor").join(borne.groupBy("type", "form").agg(first), ["type", "form"])).withColumn("via", F.lit("registry-alias"))
     rest = left.join(by_registry.select("anchor"), "anchor", "left_anti")
-    by_class = with_class(rest, "anchor", classes).join(with_class(borne, "form", classes).select("id", "ord", "key"), "key").groupBy("anchor").agg(first).withColumn("via", F.lit("alias-class"))
+    by_class = least(with_class(rest, "anchor", classes).join(with_class(borne, "form", classes).groupBy("key").agg(first), "key")).withColumn("via", F.lit("alias-class"))
     found = literal.unionByName(by_registry).unionByName(by_class)
     return anchors.join(found, "anchor", "left")
 

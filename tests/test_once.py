@@ -4,7 +4,7 @@ import math
 import random
 
 from attestra.functions import text
-from attestra.operators import ingest
+from attestra.operators import ingest, linking
 
 
 def rows(df):
@@ -62,3 +62,14 @@ def test_bm25_reads_tokens_once(spark, monkeypatch):
     want = {i: s for i, s in want.items() if s > 0}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
     assert kept == [["id", "size", "hits"]]
+
+
+def test_anchors_meet_one_node_of_a_name(spark):
+    nodes = spark.createDataFrame([(f"n{i}", "t", ["One Name"], -i) for i in range(300)], "id string, type string, forms array<string>, ord int")
+    registry = spark.createDataFrame([(f"e{i}", "t", ["one name"]) for i in range(200)], "entity_id string, type string, forms array<string>")
+    anchors = spark.createDataFrame([(f"e{i}",) for i in range(200)] + [("ONE" + " " * i + "NAME",) for i in range(1, 201)] + [("n7",), ("gone",)], "anchor string")
+    classes = spark.createDataFrame([("one name", "1")], "name string, root string")
+    got = linking.resolve_anchors(anchors, nodes, registry, classes)
+    want = {f"e{i}": ("n299", "registry-alias") for i in range(200)} | {"ONE" + " " * i + "NAME": ("n299", "alias-class") for i in range(1, 201)} | {"n7": ("n7", "literal"), "gone": (None, None)}
+    assert {r.anchor: (r.node, r.via) for r in got.collect()} == want
+    assert most_joined(got) < 1_000
