@@ -139,18 +139,17 @@ def unmoved_neighbours(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     edges: (predicate, subject, object, instance). Two sites of one instance are where something was and is, so it tells nothing about
     the sites being one: those edges are left out for that pair, and relocated says so.
     """
-    ends = edges.select("instance", F.col("subject").alias("id"), F.lit("s").alias("end")).unionByName(edges.select("instance", F.col("object").alias("id"), F.lit("o").alias("end"))).where("instance is not null").distinct()
     mine = pairs.select("a", "b").distinct()
-    co = mine.join(ends.withColumnRenamed("id", "a"), "a").join(ends.withColumnRenamed("id", "b"), ["b", "instance", "end"]).select("a", "b", "instance").distinct()
-    n = edges.select(F.col("subject").alias("id"), F.concat_ws(">", "predicate", F.lit("out"), "object").alias("n"), "instance").unionByName(edges.select(F.col("object").alias("id"), F.concat_ws(">", "predicate", F.lit("in"), "subject").alias("n"), "instance")).distinct()
-
-    def of(side: str) -> DataFrame:
-        return mine.join(n.withColumnRenamed("id", side), side).join(co, ["a", "b", "instance"], "left_anti").select("a", "b", "n", F.lit(side).alias("side"))
-
-    sides = of("a").unionByName(of("b")).groupBy("a", "b", "n").agg(F.countDistinct("side").alias("sides"))
-    met = sides.groupBy("a", "b").agg(F.count(F.when(F.col("sides") == 2, 1)).alias("shared"), F.count("*").alias("either"))
-    moved = co.select("a", "b").distinct().withColumn("moved", F.lit(True))
-    return mine.join(moved, ["a", "b"], "left").join(met, ["a", "b"], "left").select("a", "b", F.coalesce("moved", F.lit(False)).alias("relocated"), F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("either", F.lit(0)).alias("either"))
+    end = lambda e, other, way: F.struct(F.col(e).alias("id"), F.lit(way).alias("end"), F.concat_ws(">", "predicate", F.lit(way), other).alias("n"))
+    n = edges.select("instance", F.explode(F.array(end("subject", "object", "out"), end("object", "subject", "in"))).alias("e")).select("instance", "e.*")
+    sides = mine.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("side")), F.struct(F.col("b").alias("id"), F.lit(2).alias("side")))).alias("s"))
+    # a pair's edges meet once, and stay for all that follows
+    met = sides.select("a", "b", "s.*").join(n, "id").repartition("a", "b")
+    both = (F.bit_or("side").over(Window.partitionBy("a", "b", "instance", "end")) == 3) & F.col("instance").isNotNull()
+    met = met.withColumn("both", both).withColumn("moved", F.max("both").over(Window.partitionBy("a", "b", "instance")))
+    each = met.groupBy("a", "b", "n").agg(F.bit_or(F.when(~F.col("moved"), F.col("side"))).alias("sides"), F.max("moved").alias("moved"))
+    out = each.groupBy("a", "b").agg(F.max("moved").alias("moved"), F.count_if(F.col("sides") == 3).alias("shared"), F.count("sides").alias("either"))
+    return mine.join(out, ["a", "b"], "left").select("a", "b", F.coalesce("moved", F.lit(False)).alias("relocated"), F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("either", F.lit(0)).alias("either"))
 
 
 def numeric_conflict(a: Column, b: Column, tolerance: float) -> Column:

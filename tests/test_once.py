@@ -4,7 +4,7 @@ import math
 import random
 
 from attestra.functions import text
-from attestra.operators import ingest, linking
+from attestra.operators import ingest, linking, resolve
 
 
 def rows(df):
@@ -73,3 +73,10 @@ def test_anchors_meet_one_node_of_a_name(spark):
     want = {f"e{i}": ("n299", "registry-alias") for i in range(200)} | {"ONE" + " " * i + "NAME": ("n299", "alias-class") for i in range(1, 201)} | {"n7": ("n7", "literal"), "gone": (None, None)}
     assert {r.anchor: (r.node, r.via) for r in got.collect()} == want
     assert most_joined(got) < 1_000
+
+
+def test_neighbours_of_a_pair_meet_once(spark):
+    edges = spark.createDataFrame([("at", "u", "x", "i"), ("at", "u", "y", "i")], "predicate string, subject string, object string, instance string")
+    got = resolve.unmoved_neighbours(edges, spark.createDataFrame([("x", "y")], "a string, b string"))
+    assert rows(got) == [("x", "y", True, 0, 0)]
+    assert plan(got.hint("merge")).toString().count("Exchange hashpartitioning") <= 6
