@@ -93,10 +93,24 @@ def canonical_names(cluster_rows: DataFrame, entities: DataFrame) -> DataFrame:
     return met.groupBy("cluster").agg(F.min_by("raw", F.struct((~F.col("registered")).alias("r"), (~F.col("alias_named")).alias("n"), (-F.col("degree")).alias("d"), "raw")).alias("canonical"))
 
 
-def identifier_conflicts(entities: DataFrame) -> DataFrame:
-    """(a, b) of one type and name whose identifiers differ. entities: (id, type, name, ident)."""
-    x = entities.where("ident is not null")
-    return x.select(F.col("id").alias("a"), "type", "name", F.col("ident").alias("ia")).join(x.select(F.col("id").alias("b"), "type", "name", F.col("ident").alias("ib")), ["type", "name"]).where("a < b and ia <> ib").select("a", "b")
+def identifier_conflicts(entities: DataFrame, block: int = 1000, tiles: int = 8) -> DataFrame:
+    """(a, b) of one type and name whose identifiers differ, each once. entities: (id, type, name, ident).
+
+    Pairs are as many as the square of a group. Its members are dealt over blocks of some block rows, two blocks are a tile, and a task
+    has some tiles tiles: a large group is no task's alone, and a task's pairs are as many however large the input is.
+    """
+    # of an id that states several identifiers, the least and the greatest tell whether it differs from another
+    x = entities.where("ident is not null").groupBy("id", "type", "name").agg(F.min("ident").alias("lo"), F.max("ident").alias("hi"))
+    blocks = F.ceil(F.col("n") / block).cast("int").alias("blocks")
+    groups = x.where("type is not null and name is not null").groupBy("type", "name").agg(F.count("*").alias("n")).select("type", "name", blocks)
+    n = groups.agg(F.sum(F.expr("blocks * (blocks + 1L) div 2"))).first()[0] or 0
+    parts = max(x.sparkSession.sparkContext.defaultParallelism, -(-n // tiles))
+    dealt = x.join(groups, ["type", "name"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    key = ["type", "name", "i", "j"]
+    a = dealt.withColumns({"i": F.col("own"), "j": F.explode(F.sequence("own", F.col("blocks") - 1))}).select(*key, F.col("id").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    b = dealt.withColumns({"i": F.explode(F.sequence(F.lit(0), "own")), "j": F.col("own")}).select(*key, F.col("id").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    met = a.repartition(parts, *key).hint("merge").join(b.repartition(parts, *key), key)
+    return met.where("(i < j or a < b) and (la <> hb or ha <> lb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def identifier_vetoes(pairs: DataFrame, idents: DataFrame) -> DataFrame:

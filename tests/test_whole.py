@@ -6,7 +6,9 @@ import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from attestra.operators import resolve
 from attestra.plans import catalogue
 
 
@@ -104,3 +106,15 @@ def test_replay_and_supersession(spark, tmp_path):
     got = {(r.instance, r.target): (r.lo.day, r.hi.day, r.newest, r.relation) for r in catalogue.supersede_relations(spark, d).collect()}
     assert got == {("u1:202401", "a"): (1, 3, "c", "ordered"), ("u1:202401", "b"): (5, 6, "c", "ordered"), ("u1:202401", "c"): (9, 9, "c", "newest"), ("u2:202401", "a"): (2, 2, None, "single")}
     assert rows(catalogue.supersede_promote(spark, d).select("instance", "target", "newest", "newest_confidence", "verdict")) == [("u1", "a", "c", 0.05, "held"), ("u1", "b", "c", 0.05, "held")]
+
+
+def test_identifier_conflicts_once_and_in_tiles(spark):
+    rnd = random.Random(11)
+    ents = [(f"p{i}", "t" if i % 3 else "u", f"n{i % 2}", f"x{rnd.randrange(4)}") for i in range(300)]
+    ents += [("p1", "t", "n1", "x0"), ("p1", "t", "n1", "x1"), ("p1", "t", "n1", "x1"), ("p5", "t", "n1", None), ("q", None, "n1", "x9"), ("r", None, "n1", "x8")]
+    want = {(a[0], b[0]) for a in ents for b in ents if a[0] < b[0] and None not in (a[1], a[3], b[1], b[3]) and a[1:3] == b[1:3] and a[3] != b[3]}
+    got = resolve.identifier_conflicts(spark.createDataFrame(ents, "id string, type string, name string, ident string"), block=20, tiles=2)
+    assert rows(got) == sorted(want, key=repr)
+    # four groups of some 100 and 50 rows in blocks of 20: more tasks than cores, and none of them has a group's pairs alone
+    each = sorted(n for _, n in got.groupBy(F.spark_partition_id()).count().collect())
+    assert len(each) > 8 and each[-1] < len(want) / 4
