@@ -12,7 +12,7 @@ from attestra.config import DEFAULT, Settings
 from attestra.functions.geo import EARTH_KM, haversine_km
 from attestra.functions.text import acronym, contains_name, name_similarity, tokens
 from attestra.operators.clustering import clusters as clusters
-from attestra.operators.graph import components
+from attestra.operators.graph import components, written
 
 
 def pair_key(a: Column, b: Column) -> Column:
@@ -208,22 +208,65 @@ def top_in_group(df: DataFrame, group: list[str], order: list[Column], n: int =
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
-def sign_pairs(signs: DataFrame, within: int = 12, bands: int = 7) -> DataFrame:
+def sign_bands(within: int, bands: int) -> list[tuple[int, int, list[int]]]:
+    """(lowest bit, width, changes) of each of so many bands of 64 bits. changes are masks of few bits: the bits that all bands may change
+    come to within - bands + 1, so of two values that differ in at most within bits one band differs by no more than its own."""
+    cut = lambda n: [n // bands + (k < n % bands) for k in range(bands)]
+    widths, few = cut(64), cut(within - bands + 1)
+    masks = lambda n, r: [sum(1 << i for i in c) for k in range(r + 1) for c in itertools.combinations(range(n), k)]
+    return [(sum(widths[:k]), widths[k], masks(widths[k], few[k])) for k in range(bands)]
+
+
+def _sign_cost(within: int, bands: int, n: int) -> float:
+    """What a value costs among n, in comparisons: each look-up counts as 50, each candidate of even values as one."""
+    widths, few = [64 // bands + (k < 64 % bands) for k in range(bands)], [(within - bands + 1) // bands + (k < (within - bands + 1) % bands) for k in range(bands)]
+    asked = [sum(math.comb(w, k) for k in range(r + 1)) for w, r in zip(widths, few, strict=True)]
+    return sum(25 * a + n * a / 2 ** (w + 1) for a, w in zip(asked, widths, strict=True))
+
+
+def sign_pairs(signs: DataFrame, within: int = 12, bands: int | None = None, block: int = 1000, work: int = 10**8) -> DataFrame:
     """(a, b, distance): all pairs a < b of (vec_id, signs long) whose 64 bits differ in at most within places.
 
-    So few differences over so many bands leave a band with at most within // bands of them; one side's bands are looked up as they are,
-    the other's with each such change, and every candidate is compared in full. Equal signs are met once, then stand for all their ids.
+    One side's bands are looked up as they are, the other's with the few changes of sign_bands, and every candidate is compared in full.
+    A pair is asked for by its greater band alone and counted in the first band that finds it. There are the fewer bands the more values
+    there are. Look-ups are dealt over tasks of some work comparisons, those of a frequent band over several. Equal signs meet once, then
+    stand for all their ids, in blocks of some block of them.
     """
-    width, few = 64 // bands, within // bands
-    at = [(k, k * width, width if k < bands - 1 else 64 - k * width) for k in range(bands)]
-    flips = lambda n: [sum(1 << i for i in c) for r in range(few + 1) for c in itertools.combinations(range(n), r)]
-    band = lambda lo, n: F.shiftrightunsigned("signs", lo).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
-    key = lambda k, value: F.struct(F.lit(k).alias("band"), value.alias("value"))
-    one = signs.select("signs").distinct()
-    held = one.select(F.explode(F.array(*[key(k, band(lo, n)) for k, lo, n in at])).alias("k"), F.col("signs").alias("q")).select("k.*", "q")
-    asked = one.select(F.explode(F.array(*[key(k, band(lo, n).bitwiseXOR(F.lit(x))) for k, lo, n in at for x in flips(n)])).alias("k"), F.col("signs").alias("p")).select("k.*", "p")
-    distance = F.bit_count(F.col("p").bitwiseXOR(F.col("q"))).alias("distance")
-    near = asked.join(held, ["band", "value"]).where("p < q").select("p", "q", distance).where(F.col("distance") <= within).distinct()
-    near = near.unionByName(one.select(F.col("signs").alias("p"), F.col("signs").alias("q"), F.lit(0).alias("distance")))
-    met = near.join(signs.select(F.col("signs").alias("p"), F.col("vec_id").alias("i")), "p").join(signs.select(F.col("signs").alias("q"), F.col("vec_id").alias("j")), "q")
-    return met.where("i < j or (p < q and i > j)").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
+    one = written(signs.groupBy("signs").agg(F.count("*").alias("size")))
+    n, cores = one.count(), signs.sparkSession.sparkContext.defaultParallelism
+    bands = bands or min(range(min(4, within + 1), within + 2), key=lambda k: _sign_cost(within, k, n))
+    parts = max(cores, math.ceil(n * _sign_cost(within, bands, n) / work))
+    cut = sign_bands(within, bands)
+    band = lambda c, lo, w: F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1))
+    held = one.select(F.col("signs").alias("q"), F.explode(F.array(*[F.struct(F.lit(k).alias("band"), band("signs", lo, w).alias("value")) for k, (lo, w, _) in enumerate(cut)])).alias("k")).select("k.*", "q")
+    changes = F.broadcast(signs.sparkSession.createDataFrame([(k, x) for k, (*_, m) in enumerate(cut) for x in m], "band int, x long"))
+    asked = held.repartition(cores).join(changes, "band").withColumn("at", F.col("value").bitwiseXOR(F.col("x")))
+    asked = asked.where("at <= value").select("band", F.col("at").alias("value"), (F.col("x") != 0).alias("changed"), F.col("q").alias("p"))
+
+    key = ["band", "value"]
+    times = held.groupBy(key).agg(F.count("*").alias("h")).join(asked.groupBy(key).agg(F.count("*").alias("m")), key)
+    often = F.broadcast(written(times.select(*key, F.ceil(F.col("h") * F.col("m") / work).cast("int").alias("deals")).where("deals > 1")))
+    deals = F.coalesce("deals", F.lit(1))
+    asked = asked.join(often, key, "left").select(*key, F.pmod(F.xxhash64("p"), deals).cast("int").alias("deal"), "changed", "p")
+    held = held.join(often, key, "left").select(*key, F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), "q")
+    key = [*key, "deal"]
+    apart = F.col("p").bitwiseXOR(F.col("q"))
+    # bands that differ by no more than their own number of bits would have found the pair
+    found = [F.bit_count(band(apart, lo, w)) <= max(x.bit_count() for x in m) for lo, w, m in cut]
+    first = F.lit(0)
+    for k in reversed(range(bands)):
+        first = F.when(found[k], k).otherwise(first)
+    near = asked.repartition(parts, *key).hint("merge").join(held.repartition(parts, *key), key).where((F.col("changed") | (F.col("p") < F.col("q"))) & (F.bit_count(apart) <= within))
+    near = near.where(F.col("band") == first).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.bit_count(apart).alias("distance"))
+    near = near.unionByName(one.where("size > 1").select(F.col("signs").alias("p"), F.col("signs").alias("q"), F.lit(0).alias("distance")))
+
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    size = lambda c, x: one.select(F.col("signs").alias(c), F.col("size").alias(x), blocks.alias(f"{x}_blocks"))
+    near = written(near.join(size("p", "np"), "p").join(size("q", "nq"), "q"))
+    parts = max(cores, -(-(near.agg(F.sum(F.col("np") * F.col("nq"))).first()[0] or 0) // (work // 10)))
+    tiles = near.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("np_blocks") - 1))).withColumn("j", F.explode(F.sequence(F.when(F.col("p") == F.col("q"), F.col("i")).otherwise(0), F.col("nq_blocks") - 1)))
+    ids = signs.join(one, "signs").groupBy("signs", F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("at")).agg(F.collect_list("vec_id").alias("ids"))
+    of = lambda c, at, x: ids.select(F.col("signs").alias(c), F.col("at").alias(at), F.col("ids").alias(x))
+    met = tiles.join(of("p", "i", "ip"), ["p", "i"]).join(of("q", "j", "iq"), ["q", "j"]).repartition(parts, "p", "q", "i", "j")
+    met = met.withColumn("a", F.explode("ip")).withColumn("b", F.explode("iq")).where("a <> b and (p < q or i < j or a < b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")

@@ -118,3 +118,21 @@ def test_identifier_conflicts_once_and_in_tiles(spark):
     # four groups of some 100 and 50 rows in blocks of 20: more tasks than cores, and none of them has a group's pairs alone
     each = sorted(n for _, n in got.groupBy(F.spark_partition_id()).count().collect())
     assert len(each) > 8 and each[-1] < len(want) / 4
+
+
+def test_sign_pairs_of_copies_and_frequent_bands(spark):
+    """Many values of the same bands and many ids of one value, dealt over tasks: each pair once, whatever the number of bands."""
+    rnd = random.Random(5)
+    base = [rnd.getrandbits(64) for _ in range(3)]
+    values = [base[i % 3] ^ sum(1 << b for b in rnd.sample(range(64), i % 9)) for i in range(150)] + [base[0]] * 60 + [~base[0] & (2**64 - 1)]
+    values = [v - 2**64 if v >> 63 else v for v in values]
+    signs = spark.createDataFrame(list(enumerate(values)), "vec_id long, signs long").repartition(1)
+    far = {(i, j): ((x ^ y) & (2**64 - 1)).bit_count() for (i, x), (j, y) in itertools.combinations(enumerate(values), 2)}
+    want = sorted([(*k, v) for k, v in far.items() if v <= 12], key=repr)
+    for bands in (4, 7):
+        assert rows(resolve.sign_pairs(signs, 12, bands, block=10, work=10**5)) == want
+    got = resolve.sign_pairs(signs, 12, block=10, work=3000)
+    assert rows(got) == want
+    each = sorted(n for _, n in got.groupBy(F.spark_partition_id()).count().collect())
+    assert len(each) > 8 and each[-1] < len(want) / 3
+    assert rows(resolve.sign_pairs(signs, 0, block=50)) == sorted([(*k, v) for k, v in far.items() if v == 0], key=repr)
