@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.operators.graph import written, components
+from attestra.operators.graph import components, kept
 
 #: Rounds after which the labels' lineage is cut.
 CUT = 4
@@ -39,13 +39,13 @@ def _joined(taken: DataFrame) -> DataFrame:
     up = taken.join(back, (taken.a == back.a) & (taken.b == back._b), "left").select(taken.a, F.when(F.col("_b").isNotNull(), F.least(taken.a, taken.b)).otherwise(taken.b).alias("b"))
     while True:
         over = up.select(F.col("a").alias("b"), F.col("b").alias("_up"))
-        up = written(up.join(over, "b", "left").select("a", F.coalesce("_up", "b").alias("b"), (F.coalesce("_up", "b") != F.col("b")).alias("rose")))
+        up = kept(up.join(over, "b", "left").select("a", F.coalesce("_up", "b").alias("b"), (F.coalesce("_up", "b") != F.col("b")).alias("rose")))
         if up.where("rose").isEmpty():
             break
         up = up.drop("rose")
     least = up.groupBy("b").agg(F.min(F.least("a", "b")).alias("root"))
     all_ = up.select("a", "b").unionByName(up.select(F.col("b").alias("a"), "b")).distinct()
-    return written(all_.join(least, "b").select(F.col("a").alias("node"), "root"))
+    return kept(all_.join(least, "b").select(F.col("a").alias("node"), "root"))
 
 
 def clusters(pairs: DataFrame, vetoes: DataFrame) -> DataFrame:
@@ -64,28 +64,28 @@ def clusters(pairs: DataFrame, vetoes: DataFrame) -> DataFrame:
     root = components(pairs.select("a", "b"))
     at = lambda end: root.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
     inside = vetoes.select("a", "b").join(at("a"), "a").join(at("b"), "b").where("ra = rb")
-    contested = written(inside.select(F.col("ra").alias("root")).distinct())
+    contested = kept(inside.select(F.col("ra").alias("root")).distinct())
     free = root.join(contested, "root", "left_anti").select(F.col("node").alias("raw"), F.col("root").alias("cluster"))
     some = root.join(contested, "root", "left_semi")
-    open_ = written(pairs.join(some.select(F.col("node").alias("a")), "a", "left_semi").where("a <> b").select("a", "b", _order().alias("o")))
-    bars = written(both_ways(inside))
-    labels = written(some.select(F.col("node").alias("raw"), F.col("node").alias("cluster")))
+    open_ = kept(pairs.join(some.select(F.col("node").alias("a")), "a", "left_semi").where("a <> b").select("a", "b", _order().alias("o")))
+    bars = kept(both_ways(inside))
+    labels = kept(some.select(F.col("node").alias("raw"), F.col("node").alias("cluster")))
     turn = 0
     while True:
         open_ = open_.join(bars, ["a", "b"], "left_anti")
         ends = open_.select(F.col("a").alias("c"), F.col("b").alias("to"), "o").unionByName(open_.select(F.col("b").alias("c"), F.col("a").alias("to"), "o"))
-        best = written(ends.groupBy("c").agg(F.min(F.struct("o", "to")).alias("m")).select("c", "m.o", "m.to"))
+        best = kept(ends.groupBy("c").agg(F.min(F.struct("o", "to")).alias("m")).select("c", "m.o", "m.to"))
         first = bars.join(best.select(F.col("c").alias("b"), "o"), "b").groupBy(F.col("a").alias("c")).agg(F.min("o").alias("barred_at"))
         twice = best.groupBy("o").agg(F.count("*").alias("n")).where("n = 2").select("o", F.lit(True).alias("mutual"))
         met = best.join(first, "c", "left").join(twice, "o", "left")
-        taken = written(met.where(F.coalesce("mutual", F.col("barred_at").isNull() | (F.col("barred_at") > F.col("o")))).select(F.col("c").alias("a"), F.col("to").alias("b")))
+        taken = kept(met.where(F.coalesce("mutual", F.col("barred_at").isNull() | (F.col("barred_at") > F.col("o")))).select(F.col("c").alias("a"), F.col("to").alias("b")))
         if taken.isEmpty():
             return free.unionByName(labels)
         moved = _joined(taken)
         ends = relabelled(open_, moved).where("a <> b")
-        open_ = written(ends.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("o").alias("o")))
-        bars = written(relabelled(bars, moved).distinct())
+        open_ = kept(ends.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("o").alias("o")))
+        bars = kept(relabelled(bars, moved).distinct())
         labels = labels.join(moved.select(F.col("node").alias("cluster"), F.col("root").alias("_to")), "cluster", "left").select("raw", F.coalesce("_to", "cluster").alias("cluster"))
         turn += 1
         if turn % CUT == 0:
-            labels = written(labels)
+            labels = kept(labels)

@@ -16,7 +16,7 @@ from attestra.config import DEFAULT, Settings
 from attestra.functions.geo import haversine_km
 from attestra.functions.text import acronym, contains_name, name_similarity, tokens
 from attestra.operators.clustering import both_ways, clusters, relabelled
-from attestra.operators.graph import written
+from attestra.operators.graph import kept
 
 
 @dataclass
@@ -109,32 +109,32 @@ def resolve(pairs: DataFrame, edges: DataFrame, vetoes: DataFrame, settings: Set
     merge_review on or if raised, of different types only if raised, else none.
     """
     w = settings.merge_weights
-    neighbours = written(_neighbours(edges))
-    pairs = written(pairs)
-    relocated = written(co_instances(edges, pairs))
-    barred = written(both_ways(vetoes))
+    neighbours = kept(_neighbours(edges))
+    pairs = kept(pairs)
+    relocated = kept(co_instances(edges, pairs))
+    barred = kept(both_ways(vetoes))
     moving = relocated.select("a", "b").distinct().withColumn("_reloc", F.lit(True))
     known = pairs.join(barred.withColumn("vetoed", F.lit(True)), ["a", "b"], "left").join(moving, ["a", "b"], "left")
     temporal = F.when(F.col("_reloc"), 0.0).otherwise(1.0)
     known = known.withColumns({"vetoed": F.coalesce("vetoed", F.lit(False)), "fixed": w["attribute"] * F.col("attribute") + w["temporal"] * temporal}).drop("_reloc")
-    known = written(known)
-    merged = written(clusters(known.where("boot and not vetoed").select("a", "b", F.lit(1.0).alias("score")), barred).where("raw <> cluster"))
+    known = kept(known)
+    merged = kept(clusters(known.where("boot and not vetoed").select("a", "b", F.lit(1.0).alias("score")), barred).where("raw <> cluster"))
     scored = todo = None
     rounds: list[tuple[int, int]] = [(0, merged.count())]
     while True:
         todo = known.select("a", "b") if scored is None else todo
         fresh = overlap(todo, neighbours, merged, relocated)
-        scored = written(fresh if scored is None else scored.join(todo, ["a", "b"], "left_anti").unionByName(fresh))
+        scored = kept(fresh if scored is None else scored.join(todo, ["a", "b"], "left_anti").unionByName(fresh))
         both = known.join(scored, ["a", "b"])
         near = F.when(F.col("counts") & (F.col("either") > 0), F.col("shared") / F.col("either") * F.least(F.lit(1.0), F.col("shared") / support)).otherwise(0.0)
         both = both.withColumn("score", F.round(F.col("fixed") + w["relational"] * near, 9))
         at = relabelled(both.withColumns({"raw_a": F.col("a"), "raw_b": F.col("b")}), merged.select(F.col("raw").alias("node"), F.col("cluster").alias("root")))
         auto = at.where("not vetoed and score >= floor and a <> b")
-        auto = written(auto.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score")))
+        auto = kept(auto.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score")))
         moved = None
         if not auto.isEmpty():
             apart = relabelled(barred, merged.select(F.col("raw").alias("node"), F.col("cluster").alias("root"))).distinct()
-            moved = written(clusters(auto, apart).where("raw <> cluster").select(F.col("raw").alias("node"), F.col("cluster").alias("root")))
+            moved = kept(clusters(auto, apart).where("raw <> cluster").select(F.col("raw").alias("node"), F.col("cluster").alias("root")))
         n_moved = moved.count() if moved is not None else 0
         rounds.append((todo.count(), n_moved))
         if not n_moved:
@@ -142,8 +142,8 @@ def resolve(pairs: DataFrame, edges: DataFrame, vetoes: DataFrame, settings: Set
         # what moved, and all that had been merged into it
         again = merged.join(moved.withColumnRenamed("node", "cluster"), "cluster", "left")
         gone = again.where("root is not null").select(F.col("raw").alias("node")).unionByName(moved.select("node"))
-        merged = written(again.select("raw", F.coalesce("root", "cluster").alias("cluster")).unionByName(moved.select(F.col("node").alias("raw"), F.col("root").alias("cluster"))))
-        todo = written(touched(known, neighbours, gone))
+        merged = kept(again.select("raw", F.coalesce("root", "cluster").alias("cluster")).unionByName(moved.select(F.col("node").alias("raw"), F.col("root").alias("cluster"))))
+        todo = kept(touched(known, neighbours, gone))
 
 
 def _judged(at: DataFrame, settings: Settings) -> DataFrame:
@@ -156,7 +156,7 @@ def _judged(at: DataFrame, settings: Settings) -> DataFrame:
 
 def scored_names(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     """pairs (a, b) with the struct columns _a and _b of entities and attribute, the likeness of their names, each pair of names once."""
-    e = entities.withColumn("_s", F.struct(*[c for c in entities.columns if c != "id"]))
+    e = entities.withColumn("_s", F.struct(*[c for c in entities.columns if c != "id"])).hint("merge")
     met = pairs.join(e.select(F.col("id").alias("a"), F.col("_s").alias("_a")), "a").join(e.select(F.col("id").alias("b"), F.col("_s").alias("_b")), "b")
     names = met.select(F.col("_a.name").alias("_x"), F.col("_b.name").alias("_y")).distinct().withColumn("attribute", name_similarity(F.col("_x"), F.col("_y")))
     return met.withColumns({"_x": F.col("_a.name"), "_y": F.col("_b.name")}).join(names, ["_x", "_y"]).drop("_x", "_y")

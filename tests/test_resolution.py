@@ -183,3 +183,15 @@ def test_jaro_winkler_of_many_pairs(spark):
     assert np.allclose(got, [slow_jaro_winkler(a, b) for a, b in pairs], atol=1e-12)
     d = spark.createDataFrame([*pairs[:500], (None, "a")], AB)
     assert np.allclose([r.s for r in d.select(text.jaro_winkler("a", "b").alias("s")).collect()], [slow_jaro_winkler(a or "", b) for a, b in [*pairs[:500], (None, "a")]], atol=1e-12)
+
+
+def test_rounds_send_no_table_through_the_driver(spark, capsys):
+    """What rounds keep is met by sorting, however small its files are."""
+    pairs = [(f"e{i:02}", f"e{i + 1:02}", i % 10 / 10, i % 7 == 0) for i in range(40)]
+    given = spark.createDataFrame(pairs, AB + ", attribute double, boot boolean").withColumns({"floor": F.lit(0.6), "asserted": F.lit(0.0), "raised": F.lit(False), "counts": F.lit(True), "same_type": F.lit(True)})
+    vetoes = spark.createDataFrame([("e01", "e03"), ("e07", "e09")], AB)
+    got = fixpoint.resolve(given, spark.createDataFrame([("p", "e01", "e05", None)], "predicate string, subject string, object string, instance string"), vetoes)
+    for df in (got.pairs, clustering.clusters(given.select("a", "b", F.col("attribute").alias("score")), vetoes)):
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
