@@ -6,6 +6,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from attestra.operators import assessment, credibility, filters
+from attestra.plans import catalogue
 from attestra.sources import star
 
 SF = "/root/testdata/sf0.001"
@@ -35,6 +36,14 @@ def test_standing_moves_once_more_by_element(spark):
     assert sum("element_id" in line.split("ENSURE")[0] for line in moved) == 1
 
 
+def test_claims_move_by_element_without_their_ids(spark):
+    for name in ("sufficiency_slots", "sufficiency_any", "gate_flags", "freshness_decay", "retraction_filter"):
+        got = catalogue.QUERIES[name](spark, SF)
+        text = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+        (moved,) = [b for b in text.split("\n\n") if ") Exchange\n" in b and "Arguments: hashpartitioning(element_id" in b]
+        assert "l_orderkey" in moved and "claim_id" not in moved, name
+
+
 def test_standing_leaves_what_the_lists_leave(spark):
     log = star.claims(spark, SF)
     want = filters.drop_excluded(filters.drop_retracted(log, star.retractions(log)), star.exclusions(spark, SF, log))
