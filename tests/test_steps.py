@@ -2,10 +2,10 @@
 
 import datetime
 
-from pyspark.sql import Row
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
-from attestra.operators import assessment, credibility, filters
+from attestra.operators import assessment, credibility, filters, graph
 from attestra.plans import catalogue
 from attestra.sources import star
 
@@ -106,3 +106,33 @@ def test_groups_of_small_elements_take_no_rounds(spark):
     got = assessment.independence_groups(c)
     # nothing was kept on the way: the plan begins with the claims
     assert "Scan ExistingRDD" in plan(got) and "Window" not in plan(got) and got.count() == 4
+
+
+def moves(df, spark):
+    """The shuffles in the plan of df, each with its columns."""
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [b for b in text.split("\n\n") if ") Exchange\n" in b]
+
+
+def test_what_is_placed_is_not_moved_again(spark):
+    df = spark.range(1000).select((F.col("id") % 37).cast("string").alias("k"), "id")
+    got = graph.placed(df, "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    n = got.groupBy("k").agg(F.count("*").alias("n"))
+    assert not moves(got.join(n, "k").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("id"))), spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("placed")]
+
+
+def test_claims_are_first_where_they_lie(spark):
+    day = datetime.date(2001, 1, 1)
+    c = spark.createDataFrame([(f"c{i}", f"e{i % 7}", f"h{i // 3}" if i < 30 else None, None if i % 3 == 0 else day) for i in range(90)], "claim_id string, element_id string, fingerprint string, event_date date")
+    want = sorted(map(tuple, credibility.recycled(c).select("claim_id", "first_seen").collect()))
+    got = credibility.recycled(graph.placed(c, "element_id"), by="element_id")
+    assert sorted(map(tuple, got.select("claim_id", "first_seen").collect())) == want
+    assert sum(s == "original" for _, s in want) == 10 and sum(s == "recycled" for _, s in want) == 20
+
+
+def test_status_leaves_claims_where_they_met(spark):
+    # only the first claims of images go to the others
+    moved = moves(catalogue.QUERIES["status_machine"](spark, SF), spark)
+    assert moved and all("fingerprint" in b or "_groupingexpression" in b for b in moved)
