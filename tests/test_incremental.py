@@ -1,9 +1,13 @@
 import datetime
+import glob
+import os
 import random
+import tempfile
+import time
 
 from pyspark.sql import functions as F
 
-from attestra.operators import view
+from attestra.operators import graph, incremental, view
 from attestra.operators.incremental import LiveView
 
 CLAIM = "claim_id string, element_id string, subject string, predicate string, object string, source_id string, event_date date, report_date date, kind string, decoy boolean, artifact string, fingerprint string, caption string, coordination string"
@@ -38,3 +42,38 @@ def test_each_batch_gives_the_view_of_all_claims(spark):
     assert live.edges.where("source = 'p77'").count() == 0 and {r.status for r in live.edges.collect()} > {"insufficient"}
     nodes = {r.id: r.type for r in live.nodes(spark.createDataFrame([("p2", "part", "two", 0), ("p3", "part", "three", 0)], "id string, type string, name string, n_claims long")).collect()}
     assert nodes["p2"] == "part" and "p3" not in nodes and nodes["r1"] == "unknown"
+
+
+def test_a_batch_leaves_the_log_where_it_lies(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [claim(i, rnd) for i in range(40)]
+    sources = spark.createDataFrame([(f"s{k}", "press", "none", None, False, False, None) for k in range(8)], SOURCE)
+    merges = spark.createDataFrame([("p3", "p2")], "member string, canonical string")
+    few = lambda kept: kept.groupBy("element_id").agg((F.count("*") < 2).alias("insufficient"))
+    live = LiveView.begin(spark.createDataFrame(rows[:30], CLAIM), sources, merges, few, ("maintains",))
+    plans = []
+    for name in ("written", "placed"):
+        keep = getattr(incremental, name)
+        monkeypatch.setattr(incremental, name, lambda df, *more, keep=keep: plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")) or keep(df, *more))
+    # a claim that is there already stays as it is, also when it comes again for another element
+    again = (rows[0][0], "e:p88:supplies:r1", "p88", "supplies", "r1", *rows[0][5:])
+    live = live.advance(spark.createDataFrame([*rows[30:], again], CLAIM), spark.createDataFrame([(rows[1][0],)], "claim_id string"))
+    assert {r.claim_id for r in live.log.collect()} == {r[0] for r in rows} - {rows[1][0]} and live.log.count() == 39
+    assert live.log.where("subject = 'p88'").isEmpty()
+    # its ids don't go through a shuffle, only hashes of them
+    (ids,) = [t for t in plans if "xxhash64" in t]
+    assert not any("claim_id" in b for b in ids.split("\n\n") if ") Exchange\n" in b and "element_id" in b)
+
+
+def test_tables_that_are_kept_leave_no_shuffled_files(spark):
+    found = lambda: {f for f in glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*.data") if os.path.getsize(f)}
+    before, plain = found(), spark.range(5000).repartition(3, "id")
+    assert plain.count() == 5000 and found() - before
+    before = found()
+    for keep in (graph.written, lambda df: graph.placed(df, "k")):
+        keep(spark.range(5000).select((F.col("id") % 700).alias("k"), F.col("id")).repartition(3, "id"))
+    for _ in range(50):
+        if not found() - before:
+            break
+        time.sleep(0.2)
+    assert not found() - before
