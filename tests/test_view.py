@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from attestra.functions import marks
 from attestra.operators import analyses, view
 from attestra.plans import view_queries
+from attestra.sources import star
 
 D = datetime.date
 
@@ -75,3 +76,31 @@ def test_rebuild_keeps_what_is_read_again_and_no_lists_of_claims(spark, monkeypa
     # merges and sources met claims by guessed sizes before, and lists of claims moved with intervals
     assert ["member", "canonical", "confidence"] in kept and any("grade" in c for c in kept)
     assert any("relation" in c for c in kept) and not any("claim_ids" in c for c in kept)
+
+
+def test_standing_claims_with_merged_ends_move_by_element_once(spark):
+    sf = "/root/testdata/sf0.001"
+    merges = view.written(view_queries._merges(star.table(spark, sf, "part")))
+    got = star.standing_placed(spark, sf, merges)
+    want = view.canonical(star.standing(spark, sf), merges)
+    assert got.columns == want.columns and rows(got) == rows(want)
+    # retractions take back a claim of the element as it was stated, not of all that it was merged with
+    assert got.count() > star.standing_placed(spark, sf).join(merges.select(F.col("member").alias("subject")), "subject", "left_anti").count()
+
+
+def test_edges_are_assessed_where_their_claims_lie(spark, monkeypatch):
+    moved = []
+
+    def look(keep):
+        def step(df, *more):
+            text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+            moved.extend(b for b in text.split("\n\n") if ") Exchange\n" in b)
+            return keep(df, *more)
+
+        return step
+
+    monkeypatch.setattr(view, "written", look(view.written))
+    monkeypatch.setattr(view, "placed", look(view.placed))
+    assert not view_queries.rebuild_nodes(spark, "/root/testdata/sf0.001").isEmpty()
+    # rows of elements and the first claims of images move, claims do not
+    assert moved and not any("event_date" in b and "fingerprint" not in b or "source_id#" in b and "s_nationkey" not in b for b in moved)
