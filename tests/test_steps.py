@@ -136,3 +136,8 @@ def test_status_leaves_claims_where_they_met(spark):
     # only the first claims of images go to the others
     moved = moves(catalogue.QUERIES["status_machine"](spark, SF), spark)
     assert moved and all("fingerprint" in b or "_groupingexpression" in b for b in moved)
+
+
+def test_groups_and_evidence_leave_claims_where_they_met(spark):
+    assert not moves(catalogue.QUERIES["independence_groups"](spark, SF), spark)
+    assert not moves(catalogue.QUERIES["evidence_drawer"](spark, SF), spark)
