@@ -1,6 +1,6 @@
 """Supply chains, on a small graph worked out by hand."""
 
-from attestra.operators import analyses
+from attestra.operators import analyses, graph
 
 BAND = ("confirmed", "probable")
 EDGES = [("e1", "based-at", "u1", "site1"), ("e2", "fields", "u1", "v1"), ("e3", "part-of", "c1", "v1"), ("e4", "makes", "m1", "c1"), ("e5", "builds", "m2", "v2"), ("e6", "part-of", "c2", "v2"), ("e7", "part-of", "c3", "v3"), ("e8", "based-at", "u3", "site3"), ("e9", "fields", "u3", "v3")]
@@ -34,3 +34,23 @@ def test_supply_chains(spark):
     none = analyses.supply_chains(subjects, variants, pool, links, edges, (), unmet)
     assert {r.id: r.maker for r in none.collect()} == dict.fromkeys(said)
     assert analyses.supply_chains(subjects.where("false"), variants, pool, links, edges, BAND, unmet).count() == 0
+
+
+def test_paths_move_numbers_of_steps_and_edges_three_times(spark, monkeypatch):
+    moved = []
+
+    def look(keep):
+        def step(df, *more):
+            text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+            moved.extend(b for b in text.split("\n\n") if ") Exchange\n" in b)
+            return keep(df, *more)
+
+        return step
+
+    monkeypatch.setattr(graph, "written", look(graph.written))
+    monkeypatch.setattr(graph, "placed", look(graph.placed))
+    edges = spark.createDataFrame([(f"e{i}", "t", f"n{i}", f"n{i + 1}") for i in range(4)] + [("f0", "a", "n0", "n1"), ("f9", "t", "n0", "n9")], "id string, type string, a string, b string")
+    got = graph.shortest_paths(edges, spark.createDataFrame([("n0", "n4"), ("n4", "n0"), ("n0", "n3"), ("n9", "n4")], "src string, dst string"))
+    assert {(r.src, r.dst): r.edges for r in got.collect()} == {("n0", "n4"): ["f0", "e1", "e2", "e3"], ("n4", "n0"): ["e3", "e2", "e1", "f0"], ("n0", "n3"): ["f0", "e1", "e2"]}
+    # what a step is, its id and type, moves with the table of edges alone: to tell doubles, to number ways, to be taken
+    assert sum("id#" in b and "dst#" not in b for b in moved) <= 3 and not any("id#" in b and "dst#" in b and "src#" not in b for b in moved)
